@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import bpe, packing, quality, toxicity
+from skyfold.llm import bpe, jaccard, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op6_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_votes, op6_packed_windows, op9_bpe_digests, op10_toxicity_grades)}
+    return {f.__name__: f for f in (op4_quality_votes, op5_shingle_components, op6_packed_windows, op9_bpe_digests, op10_toxicity_grades)}
 
 
 def oracle_sql() -> dict[str, str]:
