@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import bpe, jaccard, packing, quality, toxicity
+from skyfold.llm import bpe, jaccard, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,8 +38,8 @@ def op10_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_votes, op5_shingle_components, op6_packed_windows, op9_bpe_digests, op10_toxicity_grades)}
+    return {f.__name__: f for f in (op3_warc_records, op4_quality_votes, op5_shingle_components, op6_packed_windows, op9_bpe_digests, op10_toxicity_grades)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_records": warc.ORACLE_SQL}
