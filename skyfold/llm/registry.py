@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import bpe, jaccard, packing, quality, toxicity, warc
+from skyfold.llm import bpe, jaccard, mtree, nndescent, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -29,6 +33,10 @@ def op6_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,8 @@ def op10_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc_records, op4_quality_votes, op5_shingle_components, op6_packed_windows, op9_bpe_digests, op10_toxicity_grades)}
+    return {f.__name__: f for f in (op2_mtree_top_k, op3_warc_records, op4_quality_votes, op5_shingle_components, op6_packed_windows, op8_graph_neighbours, op9_bpe_digests, op10_toxicity_grades)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_records": warc.ORACLE_SQL}
+    return {"op2_mtree_top_k": mtree.ORACLE_SQL, "op3_warc_records": warc.ORACLE_SQL}
