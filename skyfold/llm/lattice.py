@@ -4,13 +4,14 @@ A text is a sequence of words (A-Z lower-cased) and one end token.  A word's
 spelling probability sums over all its segmentations into pieces of an existing
 vocabulary: a forward recursion in log space runs over the lattice of matching
 pieces (any byte can stand alone, so every word has a path).  The pieces' first
-weights are the vocabulary's own scores; one expectation step over the distinct
-training words, weighted by all segmentations, sets them for the corpus.
+weights are the vocabulary's own scores; ``STEPS`` expectation steps over the distinct training
+words, weighted by all segmentations, set them for the corpus.
 
 Word probabilities interpolate with absolute discounting: counts in the
 training texts of a class (the values of ``classes``), over counts in all
-training texts, over the spelling probability.  Each level passes exactly the
-mass it discounts to the next, so the probabilities of all words sum to one.  A
+training texts, over the spelling probability of words that no training text
+holds.  Each level passes exactly the mass it discounts to the next, so the
+probabilities of all words sum to one.  A
 text's probability is the marginal over the classes, with their shares of the
 training texts as weights.
 
@@ -53,7 +54,9 @@ MAX_CLASSES = 7
 DISCOUNT = 0.75
 #: Bytes of the longest piece that is used, and weight of the first scores after the expectation step.
 LONGEST = 16
-KEEP_SCORES = 0.05
+KEEP_SCORES = 0.02
+#: Expectation steps.
+STEPS = 2
 WORD_GROUP = 100_000
 LOG10 = math.log(10.0)
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -170,14 +173,14 @@ def spell(words: list[bytes], pieces: Pieces, expect: np.ndarray | None = None)
     return out
 
 
-def reweigh(pieces: Pieces, expect: np.ndarray, words: float) -> Pieces:
+def reweigh(pieces: Pieces, first: Pieces, expect: np.ndarray, words: float) -> Pieces:
     """Weights from expected numbers, with a share of the first ones kept."""
     total = float(expect.sum())
     if not total or not words:
         return pieces
     stop = words / (words + total)
-    first = np.exp(pieces.log_p) / np.exp(pieces.log_p).sum()
-    p = (1 - KEEP_SCORES) * expect / total + KEEP_SCORES * first
+    own = np.exp(first.log_p) / np.exp(first.log_p).sum()
+    p = (1 - KEEP_SCORES) * expect / total + KEEP_SCORES * own
     return Pieces(pieces.keys, np.log(p * (1 - stop)), math.log(stop))
 
 
@@ -283,32 +286,36 @@ def _fragment_words(blob, n_classes: int) -> tuple[list[bytes], np.ndarray]:
     return text.tobytes().split(b" "), counts.reshape(-1, n_classes)
 
 
-def _expectations(words: DataFrame, pieces, n_classes: int) -> tuple[np.ndarray, float]:
-    """Expected numbers of the pieces over the distinct training words."""
+def _expectations(words: DataFrame, pieces, n_classes: int, steps: bool = True) -> tuple[np.ndarray, float, float]:
+    """Over the distinct training words: expected numbers of the pieces (if
+    ``steps``), number of words, sum of their spelling probabilities.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces.value
-        expect, n = np.zeros(len(vocabulary.keys)), 0
+        expect, n, mass = np.zeros(len(vocabulary.keys)), 0, 0.0
         for batch in batches:
             for blob in column_blobs(pa.Table.from_batches([batch]), "payload"):
                 names, counts = _fragment_words(blob, n_classes)
                 known = [w for w, c in zip(names, counts.sum(axis=1).tolist(), strict=True) if c]
                 n += len(known)
-                spell(known, vocabulary, expect)
+                mass += float(np.exp(spell(known, vocabulary, expect if steps else None)).sum())
         used = np.flatnonzero(expect)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(expect[used], float(n)))], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(expect[used], [float(n), mass]))], names=["piece", "n"])
 
     found = words.select("payload").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    expect, n = np.zeros(len(pieces.value.keys)), 0.0
+    expect, n, mass = np.zeros(len(pieces.value.keys)), 0.0, 0.0
     for r in found:
-        if r.piece < 0:
+        if r.piece == -1:
             n = r.n
+        elif r.piece == -2:
+            mass = r.n
         else:
             expect[r.piece] = r.n
-    return expect, n
+    return expect, n, mass
 
 
-def _partial_sums(pieces, totals: np.ndarray, distinct: np.ndarray, n_classes: int):
+def _partial_sums(pieces, totals: np.ndarray, distinct: np.ndarray, mass: float, n_classes: int):
     """Sums over a fragment's words for each text of each batch: log10 of every
     class's word probability, log10(c + 1), and tokens with c > 0.
     """
@@ -318,7 +325,8 @@ def _partial_sums(pieces, totals: np.ndarray, distinct: np.ndarray, n_classes: i
         spelled = np.exp(spell(names, pieces.value))
         c = counts.sum(axis=1)
         n, v = float(totals.sum()), float(distinct[-1])
-        everywhere = (np.maximum(c - DISCOUNT, 0.0) + DISCOUNT * v * spelled) / n if n else spelled
+        # What seen words lose goes to unseen ones, by their share of the unseen spellings.
+        everywhere = np.where(c > 0, c - DISCOUNT, DISCOUNT * v * spelled / max(1.0 - mass, 1e-9)) / n if n else spelled
         values = np.empty((len(names), n_classes + 2))
         for k in range(n_classes):
             p = (np.maximum(counts[:, k] - DISCOUNT, 0.0) + DISCOUNT * distinct[k] * everywhere) / totals[k] if totals[k] else everywhere
@@ -351,7 +359,7 @@ def _sum_batch(n_classes: int):
     return run
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: str | None = "lang", folds: int = 7, fold: int = 2, path: str | None = None, fragment_tokens: int = FRAGMENT_TOKENS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: str | None = "lang", folds: int = 7, fold: int = 2, path: str | None = None, fragment_tokens: int = FRAGMENT_TOKENS, steps: int = STEPS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     work = Workspace(spark, "lattice")
@@ -380,9 +388,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: str
     for r in words.select(F.posexplode("distinct")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         distinct[r.pos] = r.n
     first = spark.sparkContext.broadcast(load_pieces(path))
-    expect, n = _expectations(words, first, n_classes)
-    pieces = spark.sparkContext.broadcast(reweigh(first.value, expect, n))
-    sums = parts.groupBy("frag").cogroup(words.select(F.col("frag").alias("f"), F.col("payload").alias("payload")).groupBy("f")).applyInArrow(_partial_sums(pieces, totals, distinct, n_classes), "batch long, payload binary")
+    pieces = first
+    for _ in range(steps):
+        expect, n, _ = _expectations(words, pieces, n_classes)
+        pieces = spark.sparkContext.broadcast(reweigh(pieces.value, first.value, expect, n))
+    _, _, mass = _expectations(words, pieces, n_classes, steps=False)
+    sums = parts.groupBy("frag").cogroup(words.select(F.col("frag").alias("f"), F.col("payload").alias("payload")).groupBy("f")).applyInArrow(_partial_sums(pieces, totals, distinct, mass, n_classes), "batch long, payload binary")
     sums = sums.groupBy("batch").applyInArrow(_sum_batch(n_classes), "batch long, row int, sums array<double>")
     tokens, v = int(totals.sum()), int(distinct[-1])
     with_prior = [F.get("sums", F.lit(k)) + F.lit(math.log10(shares[k] / shares.sum())) for k in range(n_classes) if shares[k]] or [F.get("sums", F.lit(0))]
