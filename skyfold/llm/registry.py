@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import bpe, jaccard, mtree, nndescent, packing, quality, toxicity, warc
+from skyfold.llm import bpe, jaccard, lattice, mtree, nndescent, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def op8_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +50,7 @@ def op10_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mtree_top_k, op3_warc_records, op4_quality_votes, op5_shingle_components, op6_packed_windows, op8_graph_neighbours, op9_bpe_digests, op10_toxicity_grades)}
+    return {f.__name__: f for f in (op2_mtree_top_k, op3_warc_records, op4_quality_votes, op5_shingle_components, op6_packed_windows, op7_subword_lattice, op8_graph_neighbours, op9_bpe_digests, op10_toxicity_grades)}
 
 
 def oracle_sql() -> dict[str, str]:
