@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import bpe, jaccard, lattice, mtree, nndescent, packing, quality, toxicity, warc
+from skyfold.llm import bpe, jaccard, lattice, mtree, nndescent, packing, pii, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, pii.DEMO_KEY, count="n_entities")
+
+
 def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +55,7 @@ def op10_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mtree_top_k, op3_warc_records, op4_quality_votes, op5_shingle_components, op6_packed_windows, op7_subword_lattice, op8_graph_neighbours, op9_bpe_digests, op10_toxicity_grades)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_mtree_top_k, op3_warc_records, op4_quality_votes, op5_shingle_components, op6_packed_windows, op7_subword_lattice, op8_graph_neighbours, op9_bpe_digests, op10_toxicity_grades)}
 
 
 def oracle_sql() -> dict[str, str]:
