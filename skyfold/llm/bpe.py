@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS
+from skyfold.llm.common import CHUNK_ROWS, kept_by_worker
 
 #: Entries that a worker keeps of what it has encoded.
 CACHE_ENTRIES = 200_000
@@ -149,9 +149,21 @@ class WordBPE:
         """NFC, then each character in lower case (a final sigma is no exception)."""
         return unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
 
+    def words_of(self, run: str) -> list[str]:
+        """Words of a normalised run by the file's split pattern.
+
+        A character that Python's tables do not know is neither letter nor number
+        for the library; newer tables of the pattern engine may say otherwise, so
+        it is looked at as a private one.
+        """
+        if max(run, default="") > "\u024f" and any(unicodedata.category(c) == "Cn" for c in run):
+            seen = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in run)
+            return [run[m.start() : m.end()] for m in self.pattern.finditer(seen)]
+        return self.pattern.findall(run)
+
     def learn(self, runs: list[str]) -> None:
         """Encode runs without white space and keep (ids, their number, decoded)."""
-        pieces = [self.pattern.findall(self.normalise(r)) for r in runs]
+        pieces = [self.words_of(self.normalise(r)) for r in runs]
         words = list({w for p in pieces for w in p})
         coded: dict[str, tuple[str, int, str]] = {}
         if words:
@@ -221,7 +233,7 @@ class WordBPE:
         return " ".join(self.names[i] for i in ids)
 
 
-_LOADED: dict[str, WordBPE] = {}
+_LOADED: dict[str, WordBPE] = kept_by_worker({})
 
 
 def vocabulary(path: str | None) -> WordBPE:

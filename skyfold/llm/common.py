@@ -8,6 +8,7 @@ re-read and never a wrong result.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised hashing takes at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows of text that one step of a Python worker handles.
 CHUNK_ROWS = 1000
 
@@ -73,6 +74,30 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_KEPT: list[dict] = []
+
+
+def kept_by_worker(cache: dict) -> dict:
+    """Mark a module's cache as one that a reused Python worker can do without."""
+    _KEPT.append(cache)
+    return cache
+
+
+def lean() -> None:
+    """Give back what earlier tasks of a reused Python worker left behind.
+
+    Steps that hold large arrays call this before they begin.
+    """
+    for cache in _KEPT:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import Workspace, column_blobs, pack, unpack
+from skyfold.llm.common import Workspace, column_blobs, lean, pack, unpack
 from skyfold.llm.quality import held_out
 
 #: Tokens that a fragment is meant to hold.
@@ -264,6 +264,7 @@ def _count_words(n_classes: int):
     """A fragment's words with their numbers in the training texts of each class."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         index: dict[bytes, int] = {}
         at, num = [], []
         for blob in column_blobs(table, "payload"):
@@ -321,6 +322,7 @@ def _partial_sums(pieces, totals: np.ndarray, distinct: np.ndarray, mass: float,
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         names, counts = _fragment_words(next(iter(column_blobs(right, "payload"))), n_classes)
         spelled = np.exp(spell(names, pieces.value))
         c = counts.sum(axis=1)

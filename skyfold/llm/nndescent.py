@@ -177,7 +177,8 @@ def build(points: DataFrame, n: int, k: int = NEIGHBOURS, reversed_: int = REVER
         graph = work.save(own.groupBy(*by).cogroup(fetched.groupBy(*by)).applyInArrow(_improve(k), GRAPH), f"graph-{i + 1}")
         work.drop(f"graph-{i}")
         work.drop(f"around-{i}")
-    return work.save(graph.join(_around(graph, reversed_, iterations), ["shard", "dim", "node"], "left"), "final")
+    final = graph.join(_around(graph, reversed_, iterations), ["shard", "dim", "node"], "left")
+    return work.save(final.withColumn("around", F.coalesce("around", F.array().cast("array<long>"))), "final")
 
 
 def greedy(x: np.ndarray, around: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyfold.llm.common import kept_by_worker
+
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group.
 STEP_TOKENS = 16_384
@@ -72,7 +74,7 @@ class Tokens:
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
 
-_LOADED: dict[str, Tokens] = {}
+_LOADED: dict[str, Tokens] = kept_by_worker({})
 
 
 def tokens(path: str | None) -> Tokens:

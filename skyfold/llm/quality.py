@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS
+from skyfold.llm.common import CHUNK_ROWS, kept_by_worker
 
 SLOTS = 4096
 RANK = 32
 NEIGHBOURS = 25
 #: Labelled rows that are learnt from, at most.
 MAX_LABELLED = 4096
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
+#: Rows whose cosines with all labelled vectors are held at a time.
+SCORE_ROWS = 256
 
 
 class _Classes(dict):
@@ -51,7 +53,7 @@ class _Classes(dict):
 
 _CLASSES = _Classes()
 _RUN = re.compile(r"(.)\1+", re.S)
-_SHAPES: dict[str, int] = {}
+_SHAPES: dict[str, int] = kept_by_worker({})
 
 
 def slot(term: str) -> int:
@@ -201,7 +203,7 @@ def score_column(docs: DataFrame, model: Model, text: str = "text") -> F.Column:
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        parts = [shared.value.score(texts.slice(lo, CHUNK_ROWS).to_pylist()) for lo in range(0, len(texts), CHUNK_ROWS)]
+        parts = [shared.value.score(texts.slice(lo, SCORE_ROWS).to_pylist()) for lo in range(0, len(texts), SCORE_ROWS)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score(F.col(text))

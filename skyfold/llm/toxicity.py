@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS
+from skyfold.llm.common import CHUNK_ROWS, kept_by_worker
 from skyfold.llm.quality import labelled_sample
 
 GRADES = 3
@@ -41,7 +41,7 @@ MAX_TERMS = 1024
 #: Families of toxic texts that must hold a word, and its least share of them.
 LEAST_FAMILIES = 3
 LEAST_SHARE = 0.9
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -66,7 +66,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-_SEEN: dict[str, tuple[int, ...]] = {}
+_SEEN: dict[str, tuple[int, ...]] = kept_by_worker({})
 _SEEN_FOR: list[int] = [0]
 
 
