@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skyfold.functions import cplx, sky
 from skyfold.functions.cplx import Complex
 from skyfold.operators.lineage import cut
-from skyfold.operators.predict import _sum, apply_jones, as_array
+from skyfold.operators.predict import _sum, apply_jones, as_array, small
 
 DIAG_DIAG, DIAG, FULL = "DIAG_DIAG", "DIAG", "FULL"
 
@@ -139,27 +139,56 @@ def gauss_newton(main: DataFrame, jones: DataFrame, vis: DataFrame, model: DataF
             return both.withColumn("vis", as_array([x.scale(F.col("_w")) for x in cplx.entries(F.col("vis"), n)])).drop("_w")
 
         vis, model = white(vis), white(model)
-    vis, model = cut(vis), cut(model)
-    flags = vis.select("row_id", "chan", "flag") if "flag" in vis.columns else None
-    jhj = normal_equations(main, jones, None, model, flags, n).select("time_idx", "ant", "chan", "dir", "corr", "jhj")
-    jhj = cut(jhj)
-    eps, k = 1.0, 0
+    check_type(n, n)
+    if n > 2:
+        raise NotImplementedError("only diagonal gains and visibilities are solved for")
     key = ["time_idx", "ant", "chan", "dir"]
+    rows = main.select("row_id", "time_idx", "antenna1", "antenna2")
+    data = vis.filter("not flag") if "flag" in vis.columns else vis
+    # What no step changes is joined once.
+    cells = cut(model.withColumnRenamed("vis", "m").join(data.select("row_id", "chan", F.col("vis").alias("r")), ["row_id", "chan"]).join(rows, "row_id"))
+    one_direction = jones.select("dir").distinct().limit(2).count() == 1
+    jones = cut(jones.select(*key, "g"))
+    jhj = cut(_jacobian_sums(cells, jones, n, one_direction, False))
+    eps, k = 1.0, 0
     while eps > tol and k < maxiter:
-        residual = residual_vis(main, jones, vis, model, n)
-        step = normal_equations(main, jones, residual, model, flags, n).drop("jhj").join(jhj, [*key, "corr"])
-        step = step.select(*key, "corr", (0.5 * F.coalesce(F.try_divide(F.col("jhr_re"), F.col("jhj")), F.lit(0.0))).alias("step"))
-        steps = step.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("corr", "step"))).alias("steps"), F.max(F.abs("step")).alias("most"))
+        step = _jacobian_sums(cells, jones, n, one_direction, True).join(jhj, key)
+        ratio = [0.5 * F.coalesce(F.try_divide(F.col(f"jr{c}"), F.col(f"jj{c}")), F.lit(0.0)) for c in range(n)]
+        steps = step.select(*key, *(r.alias(f"step{c}") for c, r in enumerate(ratio)))
         moved = jones.join(steps, key, "left")
-        phases = [F.atan2(x.im, x.re) + F.coalesce(F.col("steps")[i], F.lit(0.0)) for i, x in enumerate(cplx.entries(F.col("g"), n))]
-        moved = moved.select(*key, as_array([cplx.expi(p) for p in phases]).alias("g"), F.coalesce("most", F.lit(0.0)).alias("most"))
+        by = [F.coalesce(f"step{c}", F.lit(0.0)) for c in range(n)]
+        phases = [F.atan2(x.im, x.re) + b for x, b in zip(cplx.entries(F.col("g"), n), by, strict=True)]
+        moved = cut(moved.select(*key, as_array([cplx.expi(p) for p in phases]).alias("g"), F.greatest(*map(F.abs, by), F.lit(0.0)).alias("most") if n > 1 else F.abs(by[0]).alias("most")))
         k += 1
-        moved = cut(moved)
         eps = moved.agg(F.max("most")).first()[0] or 0.0
         jones = moved.drop("most")
     return jones, k
 
 
+def _jacobian_sums(cells: DataFrame, jones: DataFrame, n: int, one_direction: bool, with_residual: bool) -> DataFrame:
+    """(time_idx, ant, chan, dir, jr0, ...) real parts of jhr, or (..., jj0, ...) of jhj."""
+    both = _both(cells, small(jones), ["time_idx", "chan", "dir"])
+    product = apply_jones(cplx.entries(F.col("m"), n), F.col("gp"), F.col("gq"), n)
+    both = both.select("row_id", "time_idx", "antenna1", "antenna2", "chan", "dir", "r", as_array(product).alias("j"))
+    j = cplx.entries(F.col("j"), n)
+    if not with_residual:
+        values = [x.abs2() for x in j]
+        signs, name = (1.0, 1.0), "jj"
+    else:
+        if one_direction:
+            total = j
+        else:
+            summed = both.groupBy("row_id", "chan").agg(*_sum(j)).select("row_id", "chan", _packed(n).alias("total"))
+            both = both.join(summed, ["row_id", "chan"])
+            total = cplx.entries(F.col("total"), n)
+        left = [r - t for r, t in zip(cplx.entries(F.col("r"), n), total, strict=True)]
+        values = [(Complex(-x.im, x.re).conj() * e).re for x, e in zip(j, left, strict=True)]
+        signs, name = (1.0, -1.0), "jr"
+    ends = [F.struct(F.col(a).alias("ant"), *((x * s).alias(f"x{c}") for c, x in enumerate(values))) for a, s in zip(("antenna1", "antenna2"), signs, strict=True)]
+    long = both.select("time_idx", "chan", "dir", F.inline(F.array(*ends)))
+    return long.groupBy("time_idx", "ant", "chan", "dir").agg(*(F.sum(f"x{c}").alias(f"{name}{c}") for c in range(n)))
+
+
 def fit_spi(components: DataFrame, freq0: float, tol: float = 1e-4, maxiter: int = 100, mindet: float = 1e-12, alpha0: float = -0.7) -> DataFrame:
     """(comp, alpha, alpha_var, i0, i0_var): power law through each component's fluxes.
 

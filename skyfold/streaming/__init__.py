@@ -1,0 +1 @@
+"""Time averaging of a stream of measurement rows (an extension)."""
