@@ -23,6 +23,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,7 @@ class WordBPE:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -150,20 +152,33 @@ class WordBPE:
         return unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
 
     def words_of(self, run: str) -> list[str]:
-        """Words of a normalised run by the file's split pattern.
+        """Words of a run by the file's normaliser and split pattern.
 
-        A character that Python's tables do not know is neither letter nor number
-        for the library; newer tables of the pattern engine may say otherwise, so
-        it is looked at as a private one.
+        Unicode versions differ in what they know.  A run with a character that
+        Python's tables do not have goes through the library's own normaliser and
+        splitter, whose tables decide.
         """
         if max(run, default="") > "\u024f" and any(unicodedata.category(c) == "Cn" for c in run):
-            seen = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in run)
-            return [run[m.start() : m.end()] for m in self.pattern.finditer(seen)]
-        return self.pattern.findall(run)
+            return [w for w, _ in self.library_split(self.library_normalise(run))]
+        return self.pattern.findall(self.normalise(run))
+
+    def library_normalise(self, run: str) -> str:
+        return self.library.normalizer.normalize_str(run)
+
+    def library_split(self, run: str) -> list:
+        from tokenizers import Regex, pre_tokenizers
+
+        return pre_tokenizers.Split(Regex(self.pattern.pattern), behavior="removed", invert=True).pre_tokenize_str(run)
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def learn(self, runs: list[str]) -> None:
         """Encode runs without white space and keep (ids, their number, decoded)."""
-        pieces = [self.words_of(self.normalise(r)) for r in runs]
+        pieces = [self.words_of(r) for r in runs]
         words = list({w for p in pieces for w in p})
         coded: dict[str, tuple[str, int, str]] = {}
         if words:

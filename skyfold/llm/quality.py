@@ -37,6 +37,8 @@ NEIGHBOURS = 25
 #: Labelled rows that are learnt from, at most.
 MAX_LABELLED = 4096
 CACHE_ENTRIES = 100_000
+#: Shares of tokens equal to the one before that count as a term each.
+AGAIN = (0.05, 0.15, 0.4)
 #: Rows whose cosines with all labelled vectors are held at a time.
 SCORE_ROWS = 256
 
@@ -77,11 +79,12 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
             s = kept[t] = slot(shape(t))
         out.append(s)
     slots, counts = np.unique(np.array(out, dtype=np.int64), return_counts=True)
-    again = sum(map(str.__eq__, tokens, tokens[1:]))
-    seen_before = n - len(set(tokens))
-    extra = [(slot("#again"), again), (slot("#seen"), seen_before / 4)]
-    slots = np.append(slots, [s for s, _ in extra])
-    counts = np.append(counts, [c for _, c in extra])
+    again = sum(map(str.__eq__, tokens, tokens[1:])) / n
+    # Repetition has terms of its own, by degrees.
+    extra = [slot(f"#again {least}") for least in AGAIN if again >= least]
+    if extra:
+        slots = np.append(slots, extra)
+        counts = np.append(counts, [n * max(again, 0.25)] * len(extra))
     return slots, np.log1p(100.0 * counts / n).astype(np.float32)
 
 

@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mtree_top_k": mtree.ORACLE_SQL, "op3_warc_records": warc.ORACLE_SQL}
+    return {"op2_mtree_top_k": mtree.ORACLE_SQL, "op3_warc_records": warc.ORACLE_SQL, "op5_shingle_components": jaccard.ORACLE_SQL}

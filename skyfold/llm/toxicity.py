@@ -6,8 +6,8 @@ weight vector for all ordered thresholds.  ``x`` holds the damped counts of
 
 Grade 0 is an unlabelled-as-toxic row; rows labelled toxic are graded 1 to 3 by
 the thirds of their number of hits on the chosen words.  A word is chosen if
-toxic texts of several families hold it (near copies of one text, told by the
-least word hash, count once) and clean texts hardly do.  Both the words and the
+toxic texts of several families hold it (near copies of one text, told by
+pairs of least word hashes, count once) and clean texts hardly do.  Both the words and the
 weights are learnt from a bounded sample of labelled rows (``MAX_TOXIC`` toxic
 and ``MAX_CLEAN`` clean rows); every row is scored whole.
 
@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS, kept_by_worker
+from skyfold.llm.common import CHUNK_ROWS, kept_by_worker, mix
 from skyfold.llm.quality import labelled_sample
 
 GRADES = 3
@@ -41,6 +42,10 @@ MAX_TERMS = 1024
 #: Families of toxic texts that must hold a word, and its least share of them.
 LEAST_FAMILIES = 3
 LEAST_SHARE = 0.9
+#: Least part of the toxic families, once there are many.
+LEAST_PART = 0.005
+#: Pairs of least word hashes by which near copies are told.
+BANDS = 4
 CACHE_ENTRIES = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -113,23 +118,50 @@ def train(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 1
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
+    """(k, y, bands, words): a text's distinct words, and pairs of least word hashes."""
+    seeds = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
     for batch in batches:
         words = [sorted(set(_WORD.findall((t or "").lower()))) for t in batch.column(0).to_pylist()]
-        family = [min((zlib.crc32(w.encode()) for w in ws), default=0) for ws in words]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(family, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["y", "family", "words"])
+        bands = []
+        for ws in words:
+            h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws] or [0], dtype=np.uint64)
+            least = np.array([mix(h ^ s).min() for s in seeds])
+            bands.append(mix(least[::2] ^ mix(least[1::2])).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], names=["k", "y", "bands", "words"])
+
+
+def _families(rows: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+    """(k, family): texts that share a pair of least hashes, directly or by way of others."""
+    parent = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for b in range(BANDS):
+        first: dict[int, int] = {}
+        for i, (_, bands) in enumerate(rows):
+            parent[find(i)] = find(first.setdefault(bands[b], i))
+    return [(k, find(i)) for i, (k, _) in enumerate(rows)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Choose words and fit the ordinal model on a bounded labelled sample."""
     per = [labelled_sample(docs, labels.filter(F.col(label) == y), key, text, label, F.lit(True), n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = per[0].unionByName(per[1]).groupBy("k").agg(F.max_by("t", "y").alias("t"), F.max("y").alias("y"))
-    seen = sample.select("t", "y").mapInArrow(_words, "y int, family long, words array<string>").select("y", "family", F.explode("words").alias("word"))
+    keyed = sample.select("t", "y", F.xxhash64(F.col("k").cast("string")).alias("k"))
+    seen = keyed.mapInArrow(_words, "k long, y int, bands array<long>, words array<string>")
+    # Families are told on the driver, for the bounded sample's toxic rows alone.
+    toxic_rows = sorted((r.k, r.bands) for r in seen.filter("y = 1").select("k", "bands").collect())
+    families = docs.sparkSession.createDataFrame(_families(toxic_rows), "fk long, family int")
+    seen = seen.join(F.broadcast(families), (F.col("k") == F.col("fk")) & (F.col("y") == 1), "left").select("k", "y", "family", F.explode("words").alias("word"))
+    least = max(LEAST_FAMILIES, round(LEAST_PART * len({f for _, f in _families(toxic_rows)})))
     counts = (
         seen.groupBy("word")
-        .agg(F.countDistinct(F.when(F.col("y") == 1, F.col("family"))).alias("bad"), F.countDistinct(F.when(F.col("y") == 0, F.col("family"))).alias("good"))
-        .filter((F.col("bad") >= LEAST_FAMILIES) & (F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good"))))
+        .agg(F.countDistinct("family").alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
+        .filter((F.col("bad") >= least) & (F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good"))))
         .orderBy(F.desc("bad"), "word")
         .limit(MAX_TERMS)
         .collect()
@@ -144,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = [hits(t or "", shared.value) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([list(h) for h in found], pa.list_(pa.int32())), pa.array([list(h.values()) for h in found], pa.list_(pa.int32()))], names=["k", "y", "terms", "counts"])
 
-    rows = sample.select("t", "y", F.xxhash64(F.col("k").cast("string")).alias("k")).mapInArrow(run, "k long, y int, terms array<int>, counts array<int>").collect()
+    rows = keyed.mapInArrow(run, "k long, y int, terms array<int>, counts array<int>").collect()
     rows.sort(key=lambda r: r.k)
     x = np.zeros((len(rows), len(terms)), dtype=np.float32)
     for i, r in enumerate(rows):

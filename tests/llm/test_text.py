@@ -29,7 +29,7 @@ def tokenizer(name):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=6))
-@example([":\U0003d000 \u0378a"])
+@example([":\U0003d000 \u0378a :\U00013460 \ua7cbx"])
 def test_bpe_equals_the_library(texts):
     t = tokenizer("word_bpe_49k.json")
     ours = bpe.vocabulary(None)
