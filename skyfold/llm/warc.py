@@ -45,6 +45,8 @@ VERSION = "WARC/1.1"
 
 #: Payloads below so many bytes are never revisits.
 LEAST_REVISIT = 100
+#: Digests that are broadcast, at most (about 20 MB).
+MOST_SENT = 200_000
 #: Pages that the dictionary is trained on, at most, and bytes taken of each.
 DICTIONARY_PAGES = 500
 DICTIONARY_SAMPLE_BYTES = 8192
@@ -169,13 +171,18 @@ def train_dictionary(pages: DataFrame, html: str) -> bytes:
 def decide(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """(page_id, url, payload, size, digest, refers_to): a response has its payload, a revisit refers_to.
 
-    Only payloads that occur more than once meet in the join, where Spark splits
-    a payload that many pages share; minima are taken before the shuffle.
+    The digests that occur more than once are found first, from digests alone,
+    with partial minima before the shuffle.  If there are at most ``MOST_SENT``
+    of them they are broadcast, so that payloads are not shuffled for the join;
+    beyond that Spark joins by shuffle and splits a digest that many pages share.
     """
+    work = Workspace(pages.sparkSession, "warc-digests")
     one = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     one = one.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     again = one.filter(F.col("size") >= LEAST_REVISIT).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("d", "least")
-    small = one.join(again, one.digest == again.d, "left")
+    again = work.save(again, "again")
+    few = again.limit(MOST_SENT + 1).count() <= MOST_SENT
+    small = one.join(F.broadcast(again) if few else again, one.digest == again.d, "left")
     small = small.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")))
     return small.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
