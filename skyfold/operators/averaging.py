@@ -11,7 +11,7 @@ rows of a baseline in an Arrow function that takes the rows as they stream by.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,25 +85,65 @@ def _flag(columns: list[str], name: str = "flag_row") -> Column:
 
 
 # ------------------------------------------------------------------- row binning
-def _by_baseline(main: DataFrame, columns: list[str], assign: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], extra: str) -> DataFrame:
-    """``assign`` run on each baseline's rows in order of time.
+class TimeBins:
+    """Greedy time bins of one baseline, fed with its rows in order of time."""
 
-    Rows are dealt by baseline and sorted within partitions, and come as record
-    batches: a baseline is held only as far as ``assign`` needs its columns.
+    def __init__(self, time_bin_secs: float) -> None:
+        self.secs, self.number, self.low = time_bin_secs, -1, 0.0
+
+    def feed(self, rows: np.ndarray, data: dict[str, np.ndarray]) -> list[tuple]:
+        half = data["interval"] / 2.0
+        out = []
+        for row, start, end in zip(rows.tolist(), (data["time"] - half).tolist(), (data["time"] + half).tolist(), strict=True):
+            if self.number < 0 or end - self.low > self.secs:
+                self.number, self.low = self.number + 1, start
+            out.append((row, self.number))
+        return out
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+def _by_baseline(main: DataFrame, columns: list[str], make: Callable[[int, int], object], extra: str) -> DataFrame:
+    """Bins of each baseline's rows, assigned as they stream by in order of time.
+
+    Rows are dealt by baseline and sorted within partitions (Spark spills), so a
+    task holds one record batch and what the open bin needs, however many rows a
+    baseline has.
     """
     schema = "row_id long, antenna1 int, antenna2 int, " + extra
-    names = [x.split()[0] for x in extra.split(", ")]
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("time", "ascending"), ("row_id", "ascending")])
-        data = {c: table.column(c).to_numpy() for c in ["time", *columns]}
-        if (np.diff(data["time"]) == 0).any():
-            raise DuplicateSample("a baseline has two rows at one time")
-        out = assign(data)
-        return pa.table({"row_id": table.column("row_id"), "antenna1": table.column("antenna1"), "antenna2": table.column("antenna2"), **{n: pa.array(out[n]) for n in names}})
+    types = [pa.int64(), pa.int32(), pa.int32(), *(pa.int32() if x.endswith(" int") else pa.float64() for x in extra.split(", "))]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def packed(rows: list[tuple], key: tuple[int, int]) -> pa.RecordBatch:
+        cols = list(zip(*((r[0], *key, *r[1:]) for r in rows), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bins, last = None, None, None
+        for batch in batches:
+            data = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            a1, a2 = data["antenna1"], data["antenna2"]
+            edges = np.flatnonzero((a1[1:] != a1[:-1]) | (a2[1:] != a2[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(a1)], strict=True):
+                if lo == hi:
+                    continue
+                here = int(a1[lo]), int(a2[lo])
+                if here != key:
+                    if bins is not None and (rest := bins.finish()):
+                        yield packed(rest, key)
+                    key, bins, last = here, make(*here), None
+                time = data["time"][lo:hi]
+                if (np.diff(time) == 0).any() or time[0] == last:
+                    raise DuplicateSample("a baseline has two rows at one time")
+                last = time[-1]
+                if out := bins.feed(data["row_id"][lo:hi], {c: data[c][lo:hi] for c in ["time", *columns]}):
+                    yield packed(out, key)
+        if bins is not None and (rest := bins.finish()):
+            yield packed(rest, key)
 
     some = main.select(F.col("row_id").cast("long").alias("row_id"), *(F.col(c).cast("int").alias(c) for c in BASELINE), "time", *columns)
-    return some.groupBy(*BASELINE).applyInArrow(run, schema)
+    return some.repartition(*BASELINE).sortWithinPartitions(*BASELINE, "time", "row_id").mapInArrow(run, schema)
 
 
 def time_bins(main: DataFrame, time_bin_secs: float = 1.0) -> DataFrame:
@@ -113,18 +153,7 @@ def time_bins(main: DataFrame, time_bin_secs: float = 1.0) -> DataFrame:
     more than ``time_bin_secs`` after that begins the next bin, and is in it
     however long it is itself.  Two rows of a baseline at one time are an error.
     """
-
-    def assign(data: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        half = data["interval"] / 2.0
-        starts, ends = (data["time"] - half).tolist(), (data["time"] + half).tolist()
-        bins, low, number = [], 0.0, -1
-        for s, e in zip(starts, ends, strict=True):
-            if number < 0 or e - low > time_bin_secs:
-                number, low = number + 1, s
-            bins.append(number)
-        return {"bin": np.array(bins, dtype=np.int32)}
-
-    return _by_baseline(main, ["interval"], assign, "bin int")
+    return _by_baseline(main, ["interval"], lambda p, q: TimeBins(time_bin_secs), "bin int")
 
 
 def row_mapper(main: DataFrame, time_bin_secs: float = 1.0) -> DataFrame:
@@ -256,40 +285,48 @@ def bda_bins(main: DataFrame, freqs: list[float], widths: list[float], max_fov:
     dphi = decorrelation_phase(decorrelation)
     bound = float(np.sinc(dphi))
 
-    def channels(uvw: np.ndarray) -> int:
-        d = math.sqrt(math.hypot(uvw[0], uvw[1]) * abs(max_lm) + abs(uvw[2]) * n_max)
+    def channels(first: tuple, last: tuple) -> int:
+        u, v, w = ((a + b) / 2 for a, b in zip(first, last, strict=True))
+        d = math.sqrt(math.hypot(u, v) * abs(max_lm) + abs(w) * n_max)
         if d == 0:
             raise ZeroDivisionError("a baseline of length 0 between two antennas")
         fits = max(float((C / (2 * math.pi) * dphi / d / narrow).min()), 1.0)
         return max(_up_to_divisor(divisors, math.ceil(nchan_in / fits)), least)
 
-    def assign(data: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        uvw = np.stack([data["u"], data["v"], data["w"]], axis=1)
-        starts, ends = data["time"] - data["interval"] / 2, data["time"] + data["interval"] / 2
-        auto = data["a1"][0] == data["a2"][0]
-        edges = [0]
-        for r in range(1, len(starts)):
-            first = edges[-1]
-            if time_bin_secs is not None and ends[r] - starts[first] > time_bin_secs:
-                edges.append(r)
-                continue
-            half = math.dist(uvw[r], uvw[first]) * top * math.sin(abs(max_lm)) * math.pi / C + 1e-8
-            if not auto and math.sin(half) / half < bound:
-                edges.append(r)
-        stops = [*edges[1:], len(starts)]
-        out = {k: np.empty(len(starts), dtype=t) for k, t in (("bin", np.int32), ("nchan", np.int32), ("bin_time", float), ("bin_interval", float))}
-        for number, (a, b) in enumerate(zip(edges, stops, strict=True)):
-            if b - a == 1:
-                n, t, i = nchan_in, data["time"][a], data["interval"][a]
-            else:
-                n = max(1, least) if auto else channels((uvw[a] + uvw[b - 1]) / 2)
-                t, i = (starts[a] + ends[b - 1]) / 2, ends[b - 1] - starts[a]
-            for name, value in (("bin", number), ("nchan", n), ("bin_time", t), ("bin_interval", i)):
-                out[name][a:b] = value
-        return out
+    class Bins:
+        """Holds the rows of the open bin; puts a bin out when it closes."""
+
+        def __init__(self, auto: bool) -> None:
+            self.auto, self.number, self.open = auto, 0, []
 
-    some = main.withColumn("a1", F.col("antenna1")).withColumn("a2", F.col("antenna2"))
-    return _by_baseline(some, ["interval", "u", "v", "w", "a1", "a2"], assign, "bin int, nchan int, bin_time double, bin_interval double")
+        def _close(self) -> list[tuple]:
+            rows = self.open
+            if not rows:
+                return []
+            (_, time, span, start, _, first), (*_, end, last) = rows[0], rows[-1]
+            if len(rows) == 1:
+                n = nchan_in
+            else:
+                n = max(1, least) if self.auto else channels(first, last)
+                time, span = (start + end) / 2, end - start
+            self.open, self.number = [], self.number + 1
+            return [(r[0], self.number - 1, n, time, span) for r in rows]
+
+        def feed(self, rows: np.ndarray, data: dict[str, np.ndarray]) -> list[tuple]:
+            out: list[tuple] = []
+            for row, t, span, u, v, w in zip(rows.tolist(), *(data[c].tolist() for c in ("time", "interval", "u", "v", "w")), strict=True):
+                start, end, uvw = t - span / 2, t + span / 2, (u, v, w)
+                if self.open:
+                    half = math.dist(uvw, self.open[0][5]) * top * math.sin(abs(max_lm)) * math.pi / C + 1e-8
+                    if (time_bin_secs is not None and end - self.open[0][3] > time_bin_secs) or (not self.auto and math.sin(half) / half < bound):
+                        out += self._close()
+                self.open.append((row, t, span, start, end, uvw))
+            return out
+
+        def finish(self) -> list[tuple]:
+            return self._close()
+
+    return _by_baseline(main, ["interval", "u", "v", "w"], lambda p, q: Bins(p == q), "bin int, nchan int, bin_time double, bin_interval double")
 
 
 def bda(main: DataFrame, cells: DataFrame, channels: DataFrame, use_row_weight: bool = False, **settings) -> tuple[DataFrame, DataFrame, DataFrame]:
