@@ -83,13 +83,15 @@ def kept_by_worker(cache: dict) -> dict:
     return cache
 
 
-def lean() -> None:
-    """Give back what earlier tasks of a reused Python worker left behind.
+def lean(*needed: dict) -> None:
+    """Give back what earlier tasks of a reused Python worker left behind, but
+    for the caches that are ``needed`` next.
 
-    Steps that hold large arrays call this before they begin.
+    Steps call this before they begin, those with large arrays also at their end.
     """
     for cache in _KEPT:
-        cache.clear()
+        if not any(cache is n for n in needed):
+            cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

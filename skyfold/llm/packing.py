@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import kept_by_worker
+from skyfold.llm.common import kept_by_worker, lean
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group.
@@ -170,6 +170,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     end = np.array([end_id], dtype="<u4")
 
     def run(batches):
+        lean(_LOADED)
         coder, packer = tokens(path), Packer(tiers)
         task = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}  # documents with waiting pieces: key, ids, ids not yet laid out

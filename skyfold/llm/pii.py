@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS, Workspace, free_name
+from skyfold.llm.common import CHUNK_ROWS, Workspace, free_name, lean
 
 #: Entities that drew again and are broadcast, at most.
 MOST_SENT = 200_000
@@ -324,6 +324,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, canon): the distinct entities of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             found = sorted({(e.kind, e.canon) for t in batch.column(0).to_pylist() if t for e in detect(t)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["kind", "canon"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS, kept_by_worker
+from skyfold.llm.common import CHUNK_ROWS, kept_by_worker, lean
 
 SLOTS = 4096
 RANK = 32
@@ -132,6 +132,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     """(documents, documents that hold each slot), over every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean(_SHAPES)
         n, df = 0, np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK_ROWS):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS, kept_by_worker, mix
+from skyfold.llm.common import CHUNK_ROWS, kept_by_worker, lean, mix
 from skyfold.llm.quality import labelled_sample
 
 GRADES = 3
@@ -119,6 +119,7 @@ def train(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 1
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, y, bands, words): a text's distinct words, and pairs of least word hashes."""
+    lean()
     seeds = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
     for batch in batches:
         words = [sorted(set(_WORD.findall((t or "").lower()))) for t in batch.column(0).to_pylist()]
