@@ -98,6 +98,29 @@ def parse(data: bytes) -> Record:
     return Record(headers, block)
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the frame that starts at ``at`` ends, from its header and its blocks' sizes."""
+    head = data[at : at + 18]
+    try:
+        end = at + zstandard.frame_header_size(head)
+        checksum = zstandard.get_frame_parameters(head).has_checksum
+    except zstandard.ZstdError as e:
+        raise WarcError(f"a frame's header at byte {at} cannot be read: {e}") from e
+    last = False
+    while not last:
+        if end + 3 > len(data):
+            raise WarcError("an archive ends inside a frame")
+        block = int.from_bytes(data[end : end + 3], "little")
+        last, kind, size = bool(block & 1), (block >> 1) & 3, block >> 3
+        if kind == 3:
+            raise WarcError(f"a block at byte {end} has no known type")
+        end += 3 + (1 if kind == 1 else size)  # a block of one repeated byte holds it once
+    end += 4 if checksum else 0
+    if end > len(data):
+        raise WarcError("an archive ends inside a frame")
+    return end
+
+
 def frames(data: bytes) -> Iterator[bytes]:
     """The records' decoded frames of an archive, one at a time."""
     at, dictionary, leading = 0, None, True
@@ -125,14 +148,15 @@ def frames(data: bytes) -> Iterator[bytes]:
         leading = False
         if decoder is None:
             decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+        end = frame_end(data, at)
         one = decoder.decompressobj()
         try:
-            out = one.decompress(view[at:])
+            out = one.decompress(view[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"a frame at byte {at} cannot be read: {e}") from e
-        if not one.eof:
-            raise WarcError("an archive ends inside a frame")
-        at = len(data) - len(one.unused_data)
+        if not one.eof or one.unused_data:
+            raise WarcError(f"the frame at byte {at} does not end at byte {end}")
+        at = end
         yield out
 
 
