@@ -49,15 +49,18 @@ def wsclean_predict(main: DataFrame, sources: DataFrame, channels: DataFrame) ->
     neither POINT nor GAUSSIAN is an error.
     """
     rows = main.select("row_id", "u", "v", "w")
-    pairs = rows.crossJoin(small(sources)).withColumn("path", sky.delay(F.col("l"), F.col("m"), F.col("u"), F.col("v"), F.col("w"), clamp=False))
-    cells = pairs.crossJoin(F.broadcast(channels.select("chan", "freq")))
+    # A source's spectrum is computed once and travels with it as an array.
+    spw = channels.agg(F.sort_array(F.collect_list(F.struct("chan", "freq"))).alias("spw"))
+    spectrum = F.transform("spw", lambda c: F.struct(c["chan"].alias("chan"), c["freq"].alias("freq"), sky.wsclean_spectrum(F.col("flux"), F.col("coeffs"), F.col("log_poly"), F.col("ref_freq"), c["freq"]).alias("flux_at")))
+    lit = sources.crossJoin(F.broadcast(spw)).select("type", "l", "m", "emaj", "emin", "pa", spectrum.alias("spectrum"))
+    pairs = rows.crossJoin(small(lit)).withColumn("path", sky.delay(F.col("l"), F.col("m"), F.col("u"), F.col("v"), F.col("w"), clamp=False))
+    cells = pairs.select("row_id", "u", "v", "type", "emaj", "emin", "pa", "path", F.inline("spectrum"))
     shape = (
         F.when(F.col("type") == "POINT", F.lit(1.0))
         .when(F.col("type") == "GAUSSIAN", sky.gaussian(F.col("u"), F.col("v"), F.col("freq"), F.col("emaj"), F.col("emin"), F.col("pa")))
         .otherwise(F.raise_error(F.concat(F.lit("not a source type: "), F.col("type"))).cast("double"))
     )
-    flux = sky.wsclean_spectrum(F.col("flux"), F.col("coeffs"), F.col("log_poly"), F.col("ref_freq"), F.col("freq")) * shape
-    value = cplx.expi(sky.phase(F.col("path"), F.col("freq"), "casa")).scale(flux)
+    value = cplx.expi(sky.phase(F.col("path"), F.col("freq"), "casa")).scale(F.col("flux_at") * shape)
     return cells.groupBy("row_id", "chan").agg(F.sum(value.re).alias("re"), F.sum(value.im).alias("im"))
 
 
