@@ -63,8 +63,10 @@ def correct_vis(main: DataFrame, jones: DataFrame, vis: DataFrame, n: int, n_jon
     """(row_id, chan, vis): G_p^-1 V G_q^-H for one direction; 0 where flagged."""
     k = n_jones or n
     rows = main.select("row_id", "time_idx", "antenna1", "antenna2")
-    cells = _both(vis.join(rows, "row_id"), jones.drop("dir"), ["time_idx", "chan"])
-    value = cplx.jones_multiply(cplx.inverse(cplx.entries(F.col("gp"), k)), cplx.entries(F.col("vis"), n), cplx.inverse(cplx.entries(F.col("gq"), k)))
+    # Each gain is inverted once, before the joins.
+    inverted = jones.select("time_idx", "ant", "chan", as_array(cplx.inverse(cplx.entries(F.col("g"), k))).alias("g"))
+    cells = _both(vis.join(rows, "row_id"), inverted, ["time_idx", "chan"])
+    value = apply_jones(cplx.entries(F.col("vis"), n), F.col("gp"), F.col("gq"), k)
     flag = F.col("flag") if "flag" in vis.columns else F.lit(False)
     return cells.select("row_id", "chan", as_array(_zero_if(flag, value)).alias("vis"))
 
