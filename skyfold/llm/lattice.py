@@ -7,13 +7,14 @@ pieces (any byte can stand alone, so every word has a path).  The pieces' first
 weights are the vocabulary's own scores; ``STEPS`` expectation steps over the distinct training
 words, weighted by all segmentations, set them for the corpus.
 
-Word probabilities interpolate with absolute discounting: counts in the
-training texts of a class (the values of ``classes``), over counts in all
-training texts, over the spelling probability of words that no training text
-holds.  Each level passes exactly the mass it discounts to the next, so the
-probabilities of all words sum to one.  A
-text's probability is the marginal over the classes, with their shares of the
-training texts as weights.
+A word that a training text holds has one more path through its lattice, the
+whole word.  Its weight is the word's discounted share of the training tokens;
+the paths of pieces share what all words lose.  So the probability of every
+word, seen or not, is the sum over all its paths, and those of all words sum to
+one.  A class (the values of ``classes``) has its own whole-word paths, and
+passes what it discounts to the sum for all classes.  A text's probability is
+the marginal over the classes, with their shares of the training texts as
+weights.
 
 Words are cut by a hash into fragments.  A fragment holds all counts of its
 words and returns, for each batch of texts, partial sums; the sums are added per
@@ -287,36 +288,42 @@ def _fragment_words(blob, n_classes: int) -> tuple[list[bytes], np.ndarray]:
     return text.tobytes().split(b" "), counts.reshape(-1, n_classes)
 
 
-def _expectations(words: DataFrame, pieces, n_classes: int, steps: bool = True) -> tuple[np.ndarray, float, float]:
-    """Over the distinct training words: expected numbers of the pieces (if
-    ``steps``), number of words, sum of their spelling probabilities.
-    """
+def _expectations(words: DataFrame, pieces, n_classes: int) -> tuple[np.ndarray, float]:
+    """Over the distinct training words: expected numbers of the pieces, number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces.value
-        expect, n, mass = np.zeros(len(vocabulary.keys)), 0, 0.0
+        expect, n = np.zeros(len(vocabulary.keys)), 0
         for batch in batches:
             for blob in column_blobs(pa.Table.from_batches([batch]), "payload"):
                 names, counts = _fragment_words(blob, n_classes)
                 known = [w for w, c in zip(names, counts.sum(axis=1).tolist(), strict=True) if c]
                 n += len(known)
-                mass += float(np.exp(spell(known, vocabulary, expect if steps else None)).sum())
+                spell(known, vocabulary, expect)
         used = np.flatnonzero(expect)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(expect[used], [float(n), mass]))], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(expect[used], float(n)))], names=["piece", "n"])
 
     found = words.select("payload").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    expect, n, mass = np.zeros(len(pieces.value.keys)), 0.0, 0.0
+    expect, n = np.zeros(len(pieces.value.keys)), 0.0
     for r in found:
         if r.piece == -1:
             n = r.n
-        elif r.piece == -2:
-            mass = r.n
         else:
             expect[r.piece] = r.n
-    return expect, n, mass
+    return expect, n
+
+
+def word_probabilities(counts: np.ndarray, totals: np.ndarray, distinct: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """Probability of each word in each class: the whole-word path and all paths of pieces."""
+    c, n = counts.sum(axis=1), float(totals.sum())
+    everywhere = (np.maximum(c - DISCOUNT, 0.0) + DISCOUNT * distinct[-1] * spelled) / n if n else spelled
+    out = np.empty(counts.shape)
+    for k in range(counts.shape[1]):
+        out[:, k] = (np.maximum(counts[:, k] - DISCOUNT, 0.0) + DISCOUNT * distinct[k] * everywhere) / totals[k] if totals[k] else everywhere
+    return out
 
 
-def _partial_sums(pieces, totals: np.ndarray, distinct: np.ndarray, mass: float, n_classes: int):
+def _partial_sums(pieces, totals: np.ndarray, distinct: np.ndarray, n_classes: int):
     """Sums over a fragment's words for each text of each batch: log10 of every
     class's word probability, log10(c + 1), and tokens with c > 0.
     """
@@ -324,15 +331,9 @@ def _partial_sums(pieces, totals: np.ndarray, distinct: np.ndarray, mass: float,
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         names, counts = _fragment_words(next(iter(column_blobs(right, "payload"))), n_classes)
-        spelled = np.exp(spell(names, pieces.value))
         c = counts.sum(axis=1)
-        n, v = float(totals.sum()), float(distinct[-1])
-        # What seen words lose goes to unseen ones, by their share of the unseen spellings.
-        everywhere = np.where(c > 0, c - DISCOUNT, DISCOUNT * v * spelled / max(1.0 - mass, 1e-9)) / n if n else spelled
         values = np.empty((len(names), n_classes + 2))
-        for k in range(n_classes):
-            p = (np.maximum(counts[:, k] - DISCOUNT, 0.0) + DISCOUNT * distinct[k] * everywhere) / totals[k] if totals[k] else everywhere
-            values[:, k] = np.log10(np.maximum(p, 1e-300))
+        values[:, :n_classes] = np.log10(np.maximum(word_probabilities(counts, totals, distinct, np.exp(spell(names, pieces.value))), 1e-300))
         values[:, n_classes] = np.log10(c + 1.0)
         values[:, n_classes + 1] = c > 0
         index = {w: i for i, w in enumerate(names)}
@@ -392,10 +393,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: str
     first = spark.sparkContext.broadcast(load_pieces(path))
     pieces = first
     for _ in range(steps):
-        expect, n, _ = _expectations(words, pieces, n_classes)
+        expect, n = _expectations(words, pieces, n_classes)
         pieces = spark.sparkContext.broadcast(reweigh(pieces.value, first.value, expect, n))
-    _, _, mass = _expectations(words, pieces, n_classes, steps=False)
-    sums = parts.groupBy("frag").cogroup(words.select(F.col("frag").alias("f"), F.col("payload").alias("payload")).groupBy("f")).applyInArrow(_partial_sums(pieces, totals, distinct, mass, n_classes), "batch long, payload binary")
+    sums = parts.groupBy("frag").cogroup(words.select(F.col("frag").alias("f"), F.col("payload").alias("payload")).groupBy("f")).applyInArrow(_partial_sums(pieces, totals, distinct, n_classes), "batch long, payload binary")
     sums = sums.groupBy("batch").applyInArrow(_sum_batch(n_classes), "batch long, row int, sums array<double>")
     tokens, v = int(totals.sum()), int(distinct[-1])
     with_prior = [F.get("sums", F.lit(k)) + F.lit(math.log10(shares[k] / shares.sum())) for k in range(n_classes) if shares[k]] or [F.get("sums", F.lit(0))]

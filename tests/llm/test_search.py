@@ -325,6 +325,27 @@ def test_lattice_scores(spark):
     assert lattice.score(df.limit(0)).count() == 0
 
 
+def test_seen_words_have_all_paths(spark):
+    """A seen word's probability holds its spellings besides its count, and all sum to one."""
+    pytest.importorskip("public_tokenizers")
+    rows = [(i, ["red red green", "green blue"][i % 2]) for i in range(20)]
+    train = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update([*words(t), None])
+    n, v = train.total(), len(train)
+    pieces = lattice.load_pieces(None)
+    for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=None, steps=0).collect():
+        w = [*words(rows[r.doc_id][1]), None]
+        spelled = np.exp(lattice.spell([b"\n" if x is None else x.encode() for x in w], pieces))
+        own = [(train[x] - 0.75) / n for x in w]
+        everywhere = [o + 0.75 * v / n * s for o, s in zip(own, spelled, strict=True)]
+        assert r.score == pytest.approx(sum(math.log10(o + 0.75 * v / n * e) for o, e in zip(own, everywhere, strict=True)), rel=1e-9)
+    counts = np.array([[5, 0], [2, 1], [0, 0]])
+    p = lattice.word_probabilities(counts, counts.sum(axis=0).astype(float), np.array([2.0, 1.0, 2.0]), np.array([0.2, 0.3, 0.5]))
+    assert p.sum(axis=0) == pytest.approx([1.0, 1.0])
+
+
 def test_free_name(spark):
     df = spark.range(1).select(F.lit(1).alias("X"), F.lit(2).alias("x_"))
     assert free_name(df, "x") == "x__"
