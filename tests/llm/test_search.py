@@ -107,6 +107,42 @@ def test_candidates_reach_all_pairs_with_a_small_budget(monkeypatch):
     assert want <= seen
 
 
+def test_components_without_a_pair_in_the_star_round(spark, monkeypatch):
+    """Sets that are no star's centre are still compared."""
+    listed = jaccard._round_candidates
+    monkeypatch.setattr(jaccard, "_round_candidates", lambda shared, where, state, tested, star, *more: listed(shared, where, state, tested, star, *more).filter(F.lit(not star)))
+    rows = list(enumerate(corpus(3, 15, 6, 4)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_within_components_do_not_fill_a_round(monkeypatch, seed):
+    """A fragment that lists no pair has no group left to look at."""
+    monkeypatch.setattr(jaccard, "ROUND_PAIRS", 3)
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", 6)
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    n, base = 24, np.arange(40)
+    sets = [np.unique(np.where(rng.random(40) < 0.12, rng.integers(40, 70, 40), base)) for _ in range(n)]
+    nodes = np.sort(rng.integers(1, 1 << 60, n).astype(np.uint64))
+    sizes = np.array([len(s) for s in sets])
+    part = jaccard.Part(pa.table({"payload": pa.array([jaccard._pack_part(nodes, sizes, sizes, np.concatenate(sets))], pa.binary())}))
+    linked = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    comp, tested = np.arange(n), np.zeros(0, np.uint64)
+    for round_ in range(1000):
+        a, b = jaccard._candidates(part, (nodes, sizes, np.zeros(n, np.int64), nodes[comp]), tested, round_ == 0, 75, 100)
+        if not len(a) and round_:
+            break
+        for i, j in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
+            if (i, j) in linked:
+                comp[comp == comp[j]] = comp[i]
+            else:
+                tested = np.sort(np.append(tested, jaccard.pair_key(nodes[i : i + 1], nodes[j : j + 1])))
+    assert all(comp[i] == comp[j] for i, j in linked)
+
+
 def test_keep_one(spark):
     texts = corpus(6, 8, 3, 4)
     rows = [*enumerate(texts), (None, texts[0]), (900, None), (901, "")]
