@@ -57,7 +57,9 @@ GIVEN = {
 }
 _GENDER = {n: g for g, names in GIVEN.items() for n in names}
 _CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
-_NAME_HINTS = frozenset(n + tail for n in [*_GENDER, *(n.upper() for n in _GENDER), *TITLES, *(t + "." for t in TITLES)] for tail in ("", ",", ".", ";", ":", "!", "?", ")"))
+# A title or given name that the patterns take is a whole run of word characters.
+_WORD = re.compile(r"\w+")
+_NAME_HINTS = frozenset([*_GENDER, *(n.upper() for n in _GENDER), *TITLES])
 _TITLED = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[  ]+((?:{_CAPITAL})(?:[  ]+{_CAPITAL}){{0,2}})")
 _NAMED = re.compile(rf"\b({'|'.join(sorted([*_GENDER, *(n.upper() for n in _GENDER)], key=len, reverse=True))})[  ]+((?:{_CAPITAL})(?:[  ]+{_CAPITAL})?)")
 
@@ -151,12 +153,12 @@ def _names(text: str) -> list[Entity]:
 def detect(text: str) -> list[Entity]:
     """Entities of a text in order; none overlaps another."""
     found: list[Entity] = []
-    if not _NAME_HINTS.isdisjoint(text.split()):
+    if not _NAME_HINTS.isdisjoint(_WORD.findall(text)):
         found += _names(text)
+    folded = text.casefold()  # as the pattern does, long s and the Kelvin sign included
+    if any(w in folded for w in ("key", "secret", "token", "passw")):
+        found += [Entity(m.start(1), m.end(1), "SECRET", m.group(1)) for m in _KEYED.finditer(text)]
     if _HINT.search(text):
-        lower = text.lower()
-        if any(w in lower for w in ("key", "secret", "token", "passw")):
-            found += [Entity(m.start(1), m.end(1), "SECRET", m.group(1)) for m in _KEYED.finditer(text)]
         for m in _NUMERIC.finditer(text):
             canon = _canonical(m.lastgroup, m.group())
             if canon is not None:

@@ -242,6 +242,16 @@ def test_surrogates_are_distinct_and_occur_nowhere(spark, most_sent):
             assert assigned[e.kind, e.canon].new in r.text.split()
 
 
+@pytest.mark.parametrize("text", ["(Dr. Smith)", '"Anna Weber', "Author:Anna Weber", "<b>Mr Jones", "a/HANS Weber"])
+def test_names_after_any_mark(text):
+    assert {e.kind for e in pii.detect(text)} >= {"SURNAME"}
+
+
+@pytest.mark.parametrize("text", ["password: correct-horse-battery", "Pa\u017fsword=correct-horse", "API_\u212aEY=abcdefgh"])
+def test_keyed_secrets_without_digits(text):
+    assert [e.kind for e in pii.detect(text)] == ["SECRET"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_detection_does_not_overlap(text):
