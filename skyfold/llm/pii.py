@@ -64,7 +64,7 @@ _TITLED = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\
 _NAMED = re.compile(rf"\b({'|'.join(sorted([*_GENDER, *(n.upper() for n in _GENDER)], key=len, reverse=True))})[  ]+((?:{_CAPITAL})(?:[  ]+{_CAPITAL})?)")
 
 _HINT = re.compile(r"[0-9@]")
-_KEYED = re.compile(r"""(?i)\b(?:api[_-]?key|secret|token|passwd|password|access[_-]?key)\b\s*[=:]\s*["']?([A-Za-z0-9_+/.~-]{8,})""")
+_KEYED = re.compile(r"""(?i)\b(?:api[_-]?key|secret|token|passwd|password|access[_-]?key)\b\s*[=:]\s*["']?((?=[_+/.~-]*[A-Za-z0-9])[A-Za-z0-9_+/.~-]{8,})""")
 _NUMERIC = re.compile(
     r"""(?P<EMAIL>[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
     |(?P<SECRET>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|(?=[0-9]*[a-f])[0-9a-f]{32,128})\b)
@@ -230,7 +230,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         word, _, gender = canon.partition(":")
         script = script_of(word)
         if script not in _BY_SCRIPT:
-            return _letters(draw, word) + ("" if attempt < 4 else _letters(draw, word[:1])) + (f":{gender}" if gender else "")
+            return _letters(draw, word) + _letters(draw, word[:1] * (attempt // 4)) + (f":{gender}" if gender else "")
         hard, soft = _BY_SCRIPT[script]
         size = max(2, min(4, len(word) // 3 + 1)) + attempt // 4
         stem = "".join(hard[draw.below(len(hard))] + soft[draw.below(len(soft))] for _ in range(size))
@@ -273,7 +273,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "SECRET" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canon):
         new = "".join("0123456789abcdef"[draw.below(16)] for _ in canon)
         return new.upper() if canon != canon.lower() else new
-    return _letters(draw, canon)
+    # Few characters may vary: later attempts are longer.
+    return _letters(draw, canon) + (_letters(draw, "x" * (attempt // 4)) if kind == "SECRET" else "")
 
 
 def render(kind: str, surface: str, new: str) -> str:

@@ -252,6 +252,19 @@ def test_keyed_secrets_without_digits(text):
     assert [e.kind for e in pii.detect(text)] == ["SECRET"]
 
 
+def test_surrogates_can_always_differ():
+    assert pii.detect("Password: ________ of 2024") == []
+    for kind, canon in (("SECRET", "_______a"), ("SECRET", "-------7"), ("GIVEN", "ªª:n"), ("SURNAME", "ªª")):
+        new = [pii.surrogate(b"key", kind, canon, i) for i in range(0, 400, 4)]
+        assert len(set(new)) > 90, canon
+
+
+def test_assignment_ends_where_few_characters_vary(spark):
+    texts = [f"password: _______{c}" for c in "0123456789"]
+    got = [(r.canon, r.new) for r in pii.assign(spark.createDataFrame(list(enumerate(texts)), SCHEMA), b"key").collect()]
+    assert len({n for _, n in got}) == len(texts) and not {c for c, _ in got} & {n for _, n in got}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_detection_does_not_overlap(text):
