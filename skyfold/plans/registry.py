@@ -59,31 +59,31 @@ def _re_im(df: DataFrame, *keys: str) -> DataFrame:
 
 # ------------------------------------------------------------------ prediction
 @query(_sum_sql("stokes_i * pow(freq / ref_freq, alpha)"))
-def predict_point(s, d):
-    return _re_im(predict.point_predict(v.main(s, d), v.sources(s, d), v.channels(s)), "row_id", "chan")
+def predict_point(s, d, sources=v.sources):
+    return _re_im(predict.point_predict(v.main(s, d), sources(s, d), v.channels(s)), "row_id", "chan")
 
 
 @query(_sum_sql(f"stokes_i * pow(freq / ref_freq, alpha) * CASE WHEN type = 'GAUSSIAN' THEN {GAUSS} ELSE 1e0 END"))
-def predict_gaussian(s, d):
-    return _re_im(predict.point_predict(v.main(s, d), v.sources(s, d), v.channels(s), shape=True), "row_id", "chan")
+def predict_gaussian(s, d, sources=v.sources):
+    return _re_im(predict.point_predict(v.main(s, d), sources(s, d), v.channels(s), shape=True), "row_id", "chan")
 
 
 _WSC = "CASE WHEN source_id % 2 = 0 THEN stokes_i * exp(alpha * ln(freq / ref_freq) + c2 * pow(ln(freq / ref_freq), 2)) ELSE stokes_i + alpha * (freq / ref_freq - 1e0) + c2 * pow(freq / ref_freq - 1e0, 2) END"
 
 
-def _wsclean(s, d):
-    return v.sources(s, d).select("*", F.col("stokes_i").alias("flux"), F.array("alpha", "c2").alias("coeffs"), (F.col("source_id") % 2 == 0).alias("log_poly"))
+def _wsclean(s, d, sources=v.sources):
+    return sources(s, d).select("*", F.col("stokes_i").alias("flux"), F.array("alpha", "c2").alias("coeffs"), (F.col("source_id") % 2 == 0).alias("log_poly"))
 
 
 @query(with_views("sources channels", f"SELECT source_id, chan, round({_WSC}, 6) + 0e0 AS flux FROM sources, channels"))
-def wsclean_spectra(s, d):
-    both = _wsclean(s, d).crossJoin(F.broadcast(v.channels(s)))
+def wsclean_spectra(s, d, sources=v.sources):
+    both = _wsclean(s, d, sources).crossJoin(F.broadcast(v.channels(s)))
     return both.select("source_id", "chan", r6(sky.wsclean_spectrum(F.col("flux"), F.col("coeffs"), F.col("log_poly"), F.col("ref_freq"), F.col("freq")), "flux"))
 
 
 @query(_sum_sql(f"{_WSC} * CASE WHEN type = 'POINT' THEN 1e0 ELSE {GAUSS} END", ""))
-def wsclean_predict(s, d):
-    return _re_im(predict.wsclean_predict(v.main(s, d), _wsclean(s, d), v.channels(s)), "row_id", "chan")
+def wsclean_predict(s, d, sources=v.sources):
+    return _re_im(predict.wsclean_predict(v.main(s, d), _wsclean(s, d, sources), v.channels(s)), "row_id", "chan")
 
 
 _ONE = "FROM main JOIN sources ON source_id = 1 + row_id % 31 JOIN channels ON chan = row_id % 8"
@@ -226,8 +226,8 @@ def shapelet(s, d):
 
 
 @query(with_views("sources", ", t AS (SELECT source_id, sqrt(l * l + m * m) * 4e1 AS rho, atan2(l, m) AS phi FROM sources) SELECT source_id, " + ", ".join(f"round(CASE WHEN rho > 1 THEN 0e0 ELSE {z} END, 6) + 0e0 AS z{j}" for j, z in enumerate(["1e0", "rho * cos(phi)", "rho * sin(phi)", "2 * rho * rho - 1", "rho * rho * sin(2 * phi)", "rho * rho * cos(2 * phi)"])) + " FROM t"))
-def zernike(s, d):
-    src = v.sources(s, d).withColumn("rho", F.sqrt(F.col("l") * F.col("l") + F.col("m") * F.col("m")) * 40.0).withColumn("phi", F.atan2("l", "m"))
+def zernike(s, d, sources=v.sources):
+    src = sources(s, d).withColumn("rho", F.sqrt(F.col("l") * F.col("l") + F.col("m") * F.col("m")) * 40.0).withColumn("phi", F.atan2("l", "m"))
     return src.select("source_id", *(r6(sky.zernike(j, F.col("rho"), F.col("phi")), f"z{j}") for j in range(6)))
 
 
@@ -416,15 +416,15 @@ def spi_fit(s, d):
 
 # --------------------------------------------------------------------- imaging
 @query(with_views("main sources channels", f", t AS (SELECT row_id, chan, stokes_i * (1 + chan) AS f, -{TAU} / {C} * {PATH} * freq AS p FROM main, sources, channels) SELECT row_id, chan, 0 AS corr, round(sum(f * cos(p)), 6) + 0e0 AS re, round(sum(f * sin(p)), 6) + 0e0 AS im FROM t GROUP BY row_id, chan"))
-def im_to_vis(s, d):
-    px = v.sources(s, d).crossJoin(F.broadcast(v.channels(s))).select("l", "m", "chan", F.lit(0).alias("corr"), (F.col("stokes_i") * (1 + F.col("chan"))).alias("flux"))
+def im_to_vis(s, d, sources=v.sources):
+    px = sources(s, d).crossJoin(F.broadcast(v.channels(s))).select("l", "m", "chan", F.lit(0).alias("corr"), (F.col("stokes_i") * (1 + F.col("chan"))).alias("flux"))
     return _re_im(imaging.im_to_vis(px, v.main(s, d), v.channels(s)), "row_id", "chan", "corr")
 
 
 @query(with_views("main sources channels samples", f", t AS (SELECT source_id AS pixel, s.chan, s.re, s.im, {TAU} / {C} * {PATH} * freq AS p FROM samples s, sources WHERE NOT flag) SELECT pixel, chan, 0 AS corr, round(sum(re * cos(p) - im * sin(p)), 4) + 0e0 AS flux FROM t GROUP BY pixel, chan"))
-def vis_to_im(s, d):
+def vis_to_im(s, d, sources=v.sources):
     cells = v.samples(s, d).select("row_id", "chan", F.lit(0).alias("corr"), "re", "im", "flag")
-    out = imaging.vis_to_im(cells, v.main(s, d), v.sources(s, d).withColumnRenamed("source_id", "pixel"), v.channels(s))
+    out = imaging.vis_to_im(cells, v.main(s, d), sources(s, d).withColumnRenamed("source_id", "pixel"), v.channels(s))
     return out.select("pixel", "chan", "corr", r6("flux", "flux", 4))
 
 
@@ -612,8 +612,8 @@ def zernike_dde(s, d):
 # ------------------------------------------------------ equation language, sources
 @query(with_views("main sources channels", f""", t AS (SELECT row_id, chan, stokes_i * pow(freq / 1e9, -7e-1) AS i, stokes_i * 1e-1 * pow(freq / 1e9, -7e-1) AS q, -{TAU} / {C} * {PATH} * freq AS p FROM main, sources, channels)
 SELECT row_id, chan, round(sum((i + q) * cos(p)), 6) + 0e0 AS xx_re, round(sum((i + q) * sin(p)), 6) + 0e0 AS xx_im, round(sum((i - q) * cos(p)), 6) + 0e0 AS yy_re, round(sum((i - q) * sin(p)), 6) + 0e0 AS yy_im FROM t GROUP BY row_id, chan"""))
-def rime_spec_kb(s, d):
-    src = v.sources(s, d).select("l", "m", F.array("stokes_i", F.col("stokes_i") * 0.1).alias("stokes"), F.array(F.lit(-0.7)).alias("spi"), "ref_freq")
+def rime_spec_kb(s, d, sources=v.sources):
+    src = sources(s, d).select("l", "m", F.array("stokes_i", F.col("stokes_i") * 0.1).alias("stokes"), F.array(F.lit(-0.7)).alias("spi"), "ref_freq")
     out = language.rime("(Kpq, Bpq): [I,Q] -> [XX,YY]", v.main(s, d).select("row_id", "u", "v", "w"), src, v.channels(s).select("chan", "freq"))
     a, b = cplx.entries(F.col("vis"), 2)
     return out.select("row_id", "chan", r6(a.re, "xx_re"), r6(a.im, "xx_im"), r6(b.re, "yy_re"), r6(b.im, "yy_im"))
@@ -629,6 +629,21 @@ def wsclean_source(s, d):
     return out.select("name", r6("ra", "ra", 9), r6("dec", "dec", 9), "i", r6(F.col("spectralindex")[0], "alpha"), "referencefrequency")
 
 
+# ---------------------------------------------------------------- the whole sky
+def _over_sky(f: Callable[..., DataFrame]) -> None:
+    """A query without SQL, ``f`` with every part of the catalogue as a source."""
+
+    def run(s, d):
+        return f(s, d, v.sky)
+
+    run.__name__ = f"{f.__name__}_sky"
+    query()(run)
+
+
+for _f in (predict_point, predict_gaussian, wsclean_spectra, wsclean_predict, im_to_vis, vis_to_im, rime_spec_kb, zernike):
+    _over_sky(_f)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

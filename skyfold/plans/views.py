@@ -35,16 +35,21 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return wide.withColumn("flag", (F.col("row_id") + F.col("chan")) % 7 == 0)
 
 
-def sources(spark: SparkSession, d: str) -> DataFrame:
-    """The sky model: the first parts of the catalogue."""
+def sky(spark: SparkSession, d: str) -> DataFrame:
+    """The sky model: every part of the catalogue."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").filter(k < 32).select(
+    return table(spark, d, "part").select(
         k.alias("source_id"), F.when(F.col("p_type").isin("ECONOMY", "PROMO", "LARGE"), F.lit("POINT")).otherwise(F.lit("GAUSSIAN")).alias("type"),
         (0.02 * F.cos(k.cast("double"))).alias("l"), (0.02 * F.sin(1.7 * k)).alias("m"), (F.col("p_retailprice") / 1000.0).alias("stokes_i"), (-0.7 + (size - 25) / 100.0).alias("alpha"),
         F.lit(1e9).alias("ref_freq"), (size * 1e-5).alias("emaj"), (size * 5e-6).alias("emin"), (size / 50.0).alias("pa"), (size / 1000.0).alias("c2"),
     )
 
 
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """The first sources of the sky model; the queries with SQL read these alone."""
+    return sky(spark, d).filter("source_id < 32")
+
+
 def channels(spark: SparkSession, d: str = "") -> DataFrame:
     return spark.range(8).select(F.col("id").cast("int").alias("chan"), (0.856e9 + 0.107e9 * F.col("id")).alias("freq"), F.lit(0.107e9).alias("width"))
 
