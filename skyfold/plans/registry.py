@@ -94,24 +94,33 @@ def _paired(s, d):
     return m.join(F.broadcast(v.sources(s, d)), "source_id").join(F.broadcast(v.channels(s)), "chan")
 
 
-def _phase(s, d, convention):
+#: A cell of an operator over sources, rows and channels.
+_CELL = ("row_id", "source_id", "chan")
+
+
+def _crossed(s, d):
+    """Every row with every source and every channel; rows are dealt out, as each makes many cells."""
+    return v.main(s, d).repartition("row_id").crossJoin(predict.small(v.sky(s, d))).crossJoin(predict.small(v.channels(s)))
+
+
+def _phase(s, d, convention, rows, keys):
     p = sky.phase_delay(*(F.col(c) for c in ("l", "m", "u", "v", "w", "freq")), convention)
-    return _paired(s, d).select("row_id", r6(p.re, "re"), r6(p.im, "im"))
+    return rows(s, d).select(*keys, r6(p.re, "re"), r6(p.im, "im"))
 
 
 @query(with_views("main sources channels", f"SELECT row_id, round(cos(-{TAU} / {C} * {PATH} * freq), 6) + 0e0 AS re, round(sin(-{TAU} / {C} * {PATH} * freq), 6) + 0e0 AS im {_ONE}"))
-def phase_delay_fourier(s, d):
-    return _phase(s, d, "fourier")
+def phase_delay_fourier(s, d, rows=_paired, keys=("row_id",)):
+    return _phase(s, d, "fourier", rows, keys)
 
 
 @query(with_views("main sources channels", f"SELECT row_id, round(cos({TAU} / {C} * {PATH} * freq), 6) + 0e0 AS re, round(sin({TAU} / {C} * {PATH} * freq), 6) + 0e0 AS im {_ONE}"))
-def phase_delay_casa(s, d):
-    return _phase(s, d, "casa")
+def phase_delay_casa(s, d, rows=_paired, keys=("row_id",)):
+    return _phase(s, d, "casa", rows, keys)
 
 
 @query(with_views("main sources channels", f"SELECT row_id, round({GAUSS}, 6) + 0e0 AS shape {_ONE}"))
-def gaussian_shape(s, d):
-    return _paired(s, d).select("row_id", r6(sky.gaussian(*(F.col(c) for c in ("u", "v", "freq", "emaj", "emin", "pa"))), "shape"))
+def gaussian_shape(s, d, rows=_paired, keys=("row_id",)):
+    return rows(s, d).select(*keys, r6(sky.gaussian(*(F.col(c) for c in ("u", "v", "freq", "emaj", "emin", "pa"))), "shape"))
 
 
 # ------------------------------------------------- coordinates, spectra, rotations
@@ -212,17 +221,17 @@ _ANGLE = "(time * 1e-6)"
 
 
 @query(with_views("main sources channels", f", t AS (SELECT row_id, {_ANGLE} AS pa_, m, l * cos({_ANGLE}) - m * sin({_ANGLE}) AS rl {_ONE}) SELECT row_id, round((rl + 1e-3) * 11e-1, 9) + 0e0 AS l, round((rl * sin(pa_) + m * cos(pa_) - 2e-3) * 9e-1, 9) + 0e0 AS m FROM t"))
-def transform_sources(s, d):
+def transform_sources(s, d, rows=_paired, keys=("row_id",)):
     l, m = sky.transform_source(F.col("l"), F.col("m"), F.col("time") * 1e-6, F.lit(1e-3), F.lit(-2e-3), F.lit(1.1), F.lit(0.9))
-    return _paired(s, d).select("row_id", r6(l, "l", 9), r6(m, "m", 9))
+    return rows(s, d).select(*keys, r6(l, "l", 9), r6(m, "m", 9))
 
 
 @query(with_views("main sources channels", f""", t AS (SELECT row_id, {TAU} / {C} * freq * u AS fu, {TAU} / {C} * freq * v AS fv, {TAU} / {C} * freq AS k, 1e-4 AS b {_ONE}),
 x AS (SELECT row_id, sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fu * b, 2) / 2) AS u0, sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fv * b, 2) / 2) AS v0, sqrt(2e0) * {TAU} * fv * b AS h1 FROM t)
 SELECT row_id, round(1e3 * u0 * v0, 6) + 0e0 AS re, round(5e2 * u0 * v0 * h1, 6) + 0e0 AS im FROM x"""))
-def shapelet(s, d):
+def shapelet(s, d, rows=_paired, keys=("row_id",)):
     x = sky.shapelet(F.col("u"), F.col("v"), F.col("freq"), [[1000.0, 500.0]], (1e-4, 1e-4))
-    return _paired(s, d).select("row_id", r6(x.re, "re"), r6(x.im, "im"))
+    return rows(s, d).select(*keys, r6(x.re, "re"), r6(x.im, "im"))
 
 
 @query(with_views("sources", ", t AS (SELECT source_id, sqrt(l * l + m * m) * 4e1 AS rho, atan2(l, m) AS phi FROM sources) SELECT source_id, " + ", ".join(f"round(CASE WHEN rho > 1 THEN 0e0 ELSE {z} END, 6) + 0e0 AS z{j}" for j, z in enumerate(["1e0", "rho * cos(phi)", "rho * sin(phi)", "2 * rho * rho - 1", "rho * rho * sin(2 * phi)", "rho * rho * cos(2 * phi)"])) + " FROM t"))
@@ -597,16 +606,16 @@ def beam_freq_interp(s, d):
 @query()
 def beam_cube_dde(s, d):
     beam = fits.synthetic_beam(s, 9, 4, 0.03, _BEAM_FREQS, 2)
-    rows = _paired(s, d).select("row_id", "l", "m", "freq", (F.col("time") * 1e-6).alias("pa"))
-    out = predict.beam_cube_dde(rows, beam, ((-0.03, 0.03), (-0.03, 0.03)), (9, 9), _BEAM_FREQS, ["row_id"])
-    return _re_im(out, "row_id", "corr")
+    rows = _crossed(s, d).select(*_CELL, "l", "m", "freq", (F.col("time") * 1e-6).alias("pa"))
+    out = predict.beam_cube_dde(rows, beam, ((-0.03, 0.03), (-0.03, 0.03)), (9, 9), _BEAM_FREQS, [*_CELL])
+    return _re_im(out, *_CELL, "corr")
 
 
 @query()
 def zernike_dde(s, d):
-    rows = _paired(s, d).select("row_id", F.col("antenna1").alias("ant"), "chan", (F.col("l") * 30.0).alias("l"), (F.col("m") * 30.0).alias("m"), F.lit(1.0).alias("freq_scale"), (F.col("time") * 1e-6).alias("pa"), F.lit(0.0).alias("pe_l"), F.lit(0.0).alias("pe_m"), F.lit(1.0).alias("scale_l"), F.lit(1.0).alias("scale_m"))
+    rows = _crossed(s, d).select("row_id", "source_id", F.col("antenna1").alias("ant"), "chan", (F.col("l") * 30.0).alias("l"), (F.col("m") * 30.0).alias("m"), F.lit(1.0).alias("freq_scale"), (F.col("time") * 1e-6).alias("pa"), F.lit(0.0).alias("pe_l"), F.lit(0.0).alias("pe_m"), F.lit(1.0).alias("scale_l"), F.lit(1.0).alias("scale_m"))
     coeffs = s.range(8 * 8 * 2 * 6).select((F.col("id") % 8).cast("int").alias("ant"), (F.floor(F.col("id") / 8) % 8).cast("int").alias("chan"), (F.floor(F.col("id") / 64) % 2).cast("int").alias("corr"), F.floor(F.col("id") / 128).cast("int").alias("noll"), F.cos(F.col("id").cast("double")).alias("coeff"))
-    return predict.zernike_dde(rows, coeffs, ["row_id"], 6).select("row_id", "corr", r6("value", "value"))
+    return predict.zernike_dde(rows, coeffs, [*_CELL], 6).select(*_CELL, "corr", r6("value", "value"))
 
 
 # ------------------------------------------------------ equation language, sources
@@ -644,6 +653,20 @@ for _f in (predict_point, predict_gaussian, wsclean_spectra, wsclean_predict, im
     _over_sky(_f)
 
 
+def _over_cells(f: Callable[..., DataFrame]) -> None:
+    """A query without SQL, ``f`` for every row, source and channel."""
+
+    def run(s, d):
+        return f(s, d, _crossed, _CELL)
+
+    run.__name__ = f"{f.__name__}_cells"
+    query()(run)
+
+
+for _f in (phase_delay_fourier, phase_delay_casa, gaussian_shape, transform_sources, shapelet):
+    _over_cells(_f)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

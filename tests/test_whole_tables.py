@@ -45,3 +45,17 @@ def test_point_prediction_over_the_sky(spark, small):
 @pytest.mark.parametrize(("name", "key", "n"), [("wsclean_spectra_sky", "source_id", 20), ("zernike_sky", "source_id", 20), ("vis_to_im_sky", "pixel", 20)])
 def test_every_source_is_there(spark, small, name, key, n):
     assert registry.queries()[name](spark, small).select(key).distinct().count() == n
+
+
+def test_phase_of_every_cell(spark, small):
+    want = {(c["row_id"], c["source_id"], c["chan"]): np.exp(1j * c["phase"]) for c in cells(spark, small)}
+    for name, sign in (("phase_delay_fourier_cells", 1), ("phase_delay_casa_cells", -1)):
+        got = {(r.row_id, r.source_id, r.chan): complex(r.re, sign * r.im) for r in registry.queries()[name](spark, small).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize(("name", "corrs"), [("gaussian_shape_cells", 1), ("transform_sources_cells", 1), ("shapelet_cells", 1), ("beam_cube_dde", 2), ("zernike_dde", 2)])
+def test_every_cell_is_there(spark, small, name, corrs):
+    got = registry.queries()[name](spark, small)
+    assert got.count() == 12 * 20 * 8 * corrs
+    assert got.select("row_id", "source_id", "chan").distinct().count() == 12 * 20 * 8
