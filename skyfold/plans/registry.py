@@ -572,6 +572,16 @@ def exp_squared(s, d):
     return out.select("i", "j", r6("value", "value"))
 
 
+@query()
+def abs_diff_all(s, d):
+    return linalg.covariance(_points(s, d), _points(s, d), 1.5, 2.0).select("i", "j", r6("distance", "distance"))
+
+
+@query()
+def exp_squared_all(s, d):
+    return linalg.covariance(_points(s, d), _points(s, d), 1.5, 2.0).select("i", "j", r6("value", "value"))
+
+
 def _factor(s, n, k):
     return s.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j")).withColumn("value", F.cos((F.col("i") + 2 * F.col("j") + k).cast("double")))
 

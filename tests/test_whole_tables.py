@@ -59,3 +59,12 @@ def test_every_cell_is_there(spark, small, name, corrs):
     got = registry.queries()[name](spark, small)
     assert got.count() == 12 * 20 * 8 * corrs
     assert got.select("row_id", "source_id", "chan").distinct().count() == 12 * 20 * 8
+
+
+def test_square_covariance(spark, small):
+    p = {r.p_partkey: np.array([r.p_partkey % 13, r.p_size / 10]) for r in spark.read.parquet(f"{small}/part.parquet").collect()}
+    far = {(i, j): np.linalg.norm(x - y) for i, x in p.items() for j, y in p.items()}
+    got = {(r.i, r.j): r.distance for r in registry.queries()["abs_diff_all"](spark, small).collect()}
+    assert got == pytest.approx(far, abs=1e-6)
+    got = {(r.i, r.j): r.value for r in registry.queries()["exp_squared_all"](spark, small).collect()}
+    assert got == pytest.approx({k: 2.25 * np.exp(-x * x / 8) for k, x in far.items()}, abs=1e-6)
