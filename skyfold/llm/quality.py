@@ -55,16 +55,17 @@ class _Classes(dict):
 
 _CLASSES = _Classes()
 _RUN = re.compile(r"(.)\1+", re.S)
-_SHAPES: dict[str, int] = kept_by_worker({})
+_SHAPES: dict[str, tuple[int, ...]] = kept_by_worker({})
 
 
 def slot(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % SLOTS
 
 
-def shape(token: str) -> str:
-    """The token's character classes with runs collapsed, at most 16 of them."""
-    return _RUN.sub(r"\1", token.translate(_CLASSES))[:16]
+def shapes(token: str) -> list[str]:
+    """The token's character classes with runs collapsed, in pieces of at most 16 of them."""
+    s = _RUN.sub(r"\1", token.translate(_CLASSES))
+    return [s[i : i + 16] for i in range(0, len(s), 16)]
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +77,17 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     for t in tokens:
         s = kept.get(t)
         if s is None:
-            s = kept[t] = slot(shape(t))
-        out.append(s)
+            s = kept[t] = tuple(map(slot, shapes(t)))
+        out += s
     slots, counts = np.unique(np.array(out, dtype=np.int64), return_counts=True)
+    many = len(out)
     again = sum(map(str.__eq__, tokens, tokens[1:])) / n
     # Repetition has terms of its own, by degrees.
     extra = [slot(f"#again {least}") for least in AGAIN if again >= least]
     if extra:
         slots = np.append(slots, extra)
-        counts = np.append(counts, [n * max(again, 0.25)] * len(extra))
-    return slots, np.log1p(100.0 * counts / n).astype(np.float32)
+        counts = np.append(counts, [many * max(again, 0.25)] * len(extra))
+    return slots, np.log1p(100.0 * counts / many).astype(np.float32)
 
 
 def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -157,6 +157,13 @@ def test_quality_votes_equal_brute_force():
         assert text_score == pytest.approx((w @ model.labels[near] + 0.05 * 0.7) / (w.sum() + 0.05), abs=1e-5)
 
 
+def test_all_of_a_long_token_counts():
+    head, tail = "aB1-" * 4, "é?" * 8
+    assert quality.shapes(head + tail) == [*quality.shapes(head), *quality.shapes(tail)]
+    (one, _), (other, _) = quality.bag(head + tail), quality.bag(head + "x9" * 8)
+    assert len(one) == len(other) == 2 and set(one) != set(other)
+
+
 def test_toxicity(spark):
     docs, labels, rows = labelled(spark)
     model = toxicity.fit(docs, labels)
