@@ -17,8 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfold.functions.sky import C, decorrelation_phase
+from skyfold.operators.lineage import cut
+from skyfold.operators.predict import small
 
 BASELINE = ("antenna1", "antenna2")
 
@@ -44,15 +47,17 @@ def with_dense_index(distinct: DataFrame, order: list[str], name: str) -> DataFr
     """Numbers 0, 1, ... in the order of distinct rows.
 
     The rows are range-partitioned, counted per partition, and numbered within
-    it, so that no single task sorts all of them.
+    it, so that no single task sorts all of them.  The numbered rows are written
+    once: both the counts and the result read the same partitions, whatever is
+    lost in between.
     """
-    ranged = distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     from pyspark.sql.window import Window
 
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    ranged = distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    within = cut(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = within.groupBy("_part").agg(F.max("_n").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
-    joined = within.join(F.broadcast(before), "_part")
+    joined = within.join(F.broadcast(before), "_part")  # a row for each partition
     return joined.withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("int")).drop("_part", "_n", "_before")
 
 
@@ -158,11 +163,12 @@ def time_bins(main: DataFrame, time_bin_secs: float = 1.0) -> DataFrame:
 
 def row_mapper(main: DataFrame, time_bin_secs: float = 1.0) -> DataFrame:
     """One row per bin: mean time and summed interval of all its rows, whether
-    every row is flagged, and its number in the order of time and baseline.
+    every row is flagged, and its number ``out_row`` in the order of mean time,
+    then of baseline.
     """
     binned = main.join(time_bins(main, time_bin_secs).select("row_id", "bin"), "row_id")
     out = binned.groupBy(*BASELINE, "bin").agg(F.avg("time").alias("time"), F.sum("interval").alias("interval"), F.bool_and(_flag(main.columns)).alias("flag_row"), F.count("*").alias("n_rows"))
-    return out
+    return with_dense_index(out, ["time", "antenna2", "antenna1", "bin"], "out_row")
 
 
 def channel_mapper(channels: DataFrame, chan_bin_size: int = 1) -> DataFrame:
@@ -171,33 +177,46 @@ def channel_mapper(channels: DataFrame, chan_bin_size: int = 1) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- averages
-def _sigma(sigma: Column, weight: Column) -> Column:
-    """sqrt(sum (s w)^2 / (sum w)^2); undivided where the weights sum to 0."""
-    top, total = F.sum(sigma * sigma * weight * weight), F.sum(weight)
-    return F.sqrt(F.when(total == 0.0, top).otherwise(F.try_divide(top, total * total)))
-
-
 def row_average(main: DataFrame, bins: DataFrame, keys: tuple[str, ...] = (*BASELINE, "bin")) -> DataFrame:
     """Per bin: time and interval of all rows; u, v, w and time_centroid averaged,
     exposure and weight summed, sigma combined over the rows whose flag equals
-    the bin's flag.
+    the bin's flag.  ``weight`` and ``sigma`` are numbers or arrays with one for
+    each correlation.
     """
     extra = [c for c in bins.columns if c not in main.columns]
     rows = main.join(bins.select("row_id", *extra), "row_id").withColumn("_flag", _flag(main.columns))
-    bin_flag = rows.groupBy(*keys).agg(F.bool_and("_flag").alias("bin_flag"))
-    rows = rows.join(bin_flag, list(keys))
-    match = F.col("_flag") == F.col("bin_flag")
-
-    def counted(c: Column) -> Column:
-        return F.when(match, c)
+    fine, bad = ~F.col("_flag"), F.col("_flag")
+    parts: list[Column] = []
+    out: list[Column] = [F.col("_time").alias("time"), F.col("_interval").alias("interval"), F.col("_all").alias("flag_row")]
 
-    aggs = [F.avg("time").alias("time"), F.sum("interval").alias("interval"), F.first("bin_flag").alias("flag_row")]
-    aggs += [F.avg(counted(F.col(c))).alias(c) for c in ("u", "v", "w", "time_centroid") if c in main.columns]
-    aggs += [F.sum(counted(F.col(c))).alias(c) for c in ("exposure", "weight") if c in main.columns]
+    def take(name: str) -> Column:
+        return F.when(F.col("_all"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
+    def both(name: str, agg: Callable[[Column], Column], expr: Column) -> Column:
+        """The aggregate over unflagged and over flagged rows; one is taken at the end."""
+        parts.extend([agg(F.when(fine, expr)).alias(f"{name}0"), agg(F.when(bad, expr)).alias(f"{name}1")])
+        return take(name)
+
+    for how, names in ((F.avg, ("u", "v", "w", "time_centroid")), (F.sum, ("exposure",))):
+        out += [both(f"_{c}", how, F.col(c)).alias(c) for c in names if c in main.columns]
+    listed = "weight" in main.columns and isinstance(main.schema["weight"].dataType, T.ArrayType)
+    some = main.select("weight").filter("weight is not null").first() if listed else None
+    n = len(some[0]) if some else 1
+    weights = [F.get("weight", F.lit(k)) for k in range(n)] if listed else [F.col("weight") if "weight" in main.columns else F.lit(1.0)]
+    sums = [both(f"_w{k}_", F.sum, w.cast("double")) for k, w in enumerate(weights)]
+    if "weight" in main.columns:
+        out.append((F.array(*sums) if listed else sums[0]).alias("weight"))
     if "sigma" in main.columns:
-        weight = F.col("weight") if "weight" in main.columns else F.lit(1.0)
-        aggs.append(_sigma(counted(F.col("sigma")), counted(weight)).alias("sigma"))
-    return rows.groupBy(*keys).agg(*aggs)
+        wide = isinstance(main.schema["sigma"].dataType, T.ArrayType)
+        made = []
+        for k in range(n if wide else 1):
+            sigma, weight = (F.get("sigma", F.lit(k)) if wide else F.col("sigma")), weights[k if listed else 0]
+            top = both(f"_s{k}_", F.sum, sigma * sigma * weight * weight)
+            total = sums[k if listed else 0]
+            made.append(F.sqrt(F.when(total == 0.0, top).otherwise(F.try_divide(top, total * total))))
+        out.append((F.array(*made) if wide else made[0]).alias("sigma"))
+    totals = [F.avg("time").alias("_time"), F.sum("interval").alias("_interval"), F.bool_and("_flag").alias("_all")]
+    return rows.groupBy(*keys).agg(*totals, *parts).select(*keys, *out)
 
 
 def row_chan_average(cells: DataFrame, keys: list[str], row_weight: str | None = None) -> DataFrame:
@@ -345,6 +364,6 @@ def bda(main: DataFrame, cells: DataFrame, channels: DataFrame, use_row_weight:
     width = F.greatest(F.floor(F.lit(len(spw)) / F.col("nchan")), F.lit(1))
     binned = cells.join(place, "row_id").withColumn("chan_bin", F.floor(F.col("chan") / width).cast("int"))
     averaged = row_chan_average(binned, [*BASELINE, "bin", "chan_bin", "corr"], "row_weight" if use_row_weight and "weight" not in cells.columns else None)
-    per_bin = bins.select(*BASELINE, "bin", "nchan").distinct().join(F.broadcast(channels), how="cross").withColumn("chan_bin", F.floor(F.col("chan") / width).cast("int"))
+    per_bin = bins.select(*BASELINE, "bin", "nchan").distinct().join(small(channels), how="cross").withColumn("chan_bin", F.floor(F.col("chan") / width).cast("int"))
     out_channels = per_bin.groupBy(*BASELINE, "bin", "chan_bin").agg(F.avg("freq").alias("freq"), F.sum("width").alias("width"))
     return rows, averaged, out_channels

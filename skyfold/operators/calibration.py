@@ -8,6 +8,8 @@ is left out of solutions and set to 0 where it is corrected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,14 @@ def _zero_if(flag: Column, values: list[Complex]) -> list[Complex]:
 
 
 def correct_vis(main: DataFrame, jones: DataFrame, vis: DataFrame, n: int, n_jones: int | None = None) -> DataFrame:
-    """(row_id, chan, vis): G_p^-1 V G_q^-H for one direction; 0 where flagged."""
+    """(row_id, chan, vis): G_p^-1 V G_q^-H for one direction; 0 where flagged.
+
+    Gains of several directions cannot be taken off a sum over them: an error.
+    """
     k = n_jones or n
+    check_type(k, n)
+    if "dir" in jones.columns and jones.select("dir").distinct().limit(2).count() > 1:
+        raise ValueError("visibilities are corrected for one direction only")
     rows = main.select("row_id", "time_idx", "antenna1", "antenna2")
     # Each gain is inverted once, before the joins.
     inverted = jones.select("time_idx", "ant", "chan", as_array(cplx.inverse(cplx.entries(F.col("g"), k))).alias("g"))
@@ -87,7 +95,7 @@ def compute_and_corrupt_vis(main: DataFrame, jones: DataFrame, model: DataFrame,
     with the time index, not the row.
     """
     rows = main.select("row_id", "time_idx", "antenna1", "antenna2", "u", "v", "w")
-    cells = rows.join(model.withColumnRenamed("vis", "x"), "time_idx").join(positions, ["time_idx", "dir"]).join(F.broadcast(freqs.select("chan", "freq")), "chan")
+    cells = rows.join(model.withColumnRenamed("vis", "x"), "time_idx").join(positions, ["time_idx", "dir"]).join(small(freqs.select("chan", "freq")), "chan")
     cells = _both(cells, jones, ["time_idx", "chan", "dir"])
     l, m = F.col("l"), F.col("m")
     n1 = sky.n_minus_one(l, m, clamp=False)
@@ -114,15 +122,28 @@ def normal_equations(main: DataFrame, jones: DataFrame, residual: DataFrame | No
         cells = cells.join(flags.filter("flag").select("row_id", "chan"), ["row_id", "chan"], "left_anti")
     cells = _both(cells, jones, ["time_idx", "chan", "dir"])
     product = apply_jones(cplx.entries(F.col("m"), n), F.col("gp"), F.col("gq"), n)
-    parts = []
-    for c, j in enumerate(product):
-        r = cplx.col(F.get("r", F.lit(c))) if residual is not None else cplx.real(0.0)
-        # conj(+-i j) r; the size of the derivative is that of the product
-        back = Complex(-j.im, j.re).conj() * r
-        for ant, sign in (("antenna1", 1.0), ("antenna2", -1.0)):
-            parts.append(F.struct(F.col(ant).alias("ant"), F.lit(c).alias("corr"), j.abs2().alias("jj"), (back.re * sign).alias("jr"), (back.im * sign).alias("ji")))
-    long = cells.select("time_idx", "chan", "dir", F.inline(F.array(*parts)))
-    return long.groupBy("time_idx", "ant", "chan", "dir", "corr").agg(F.sum("jj").alias("jhj"), F.sum("jr").alias("jhr_re"), F.sum("ji").alias("jhr_im"))
+    # The products are materialised as plain numbers before both antennas take their part.
+    named = [c.alias(f"{p}{k}") for k, j in enumerate(product) for p, c in (("jr", j.re), ("ji", j.im))]
+    left = [F.get("r", F.lit(k))[p].alias(f"r{p}{k}") for k in range(n) for p in ("re", "im")] if residual is not None else []
+    flat = cells.select("time_idx", "antenna1", "antenna2", "chan", "dir", *named, *left)
+    values = []
+    for k in range(n):
+        j = Complex(F.col(f"jr{k}"), F.col(f"ji{k}"))
+        values.append(j.abs2().alias(f"jj{k}"))
+        if residual is not None:  # conj(i j) r; antenna q has the other sign
+            back = Complex(-j.im, j.re).conj() * Complex(F.col(f"rre{k}"), F.col(f"rim{k}"))
+            values += [back.re.alias(f"br{k}"), back.im.alias(f"bi{k}")]
+    flat = flat.select("time_idx", "antenna1", "antenna2", "chan", "dir", *values)
+    ends = F.array(F.struct(F.col("antenna1").alias("ant"), F.lit(1.0).alias("sign")), F.struct(F.col("antenna2").alias("ant"), F.lit(-1.0).alias("sign")))
+    both = flat.select("time_idx", "chan", "dir", *(c for c in flat.columns if c[:2] in ("jj", "br", "bi")), F.inline(ends))
+    key = ["time_idx", "ant", "chan", "dir"]
+    sums = [F.sum(f"jj{k}").alias(f"jj{k}") for k in range(n)]
+    if residual is not None:
+        sums += [F.sum(F.col(f"{p}{k}") * F.col("sign")).alias(f"{p}{k}") for k in range(n) for p in ("br", "bi")]
+    out = both.groupBy(*key).agg(*sums)
+    zero = F.lit(0.0)
+    per = [F.struct(F.lit(k).alias("corr"), F.col(f"jj{k}").alias("jhj"), (F.col(f"br{k}") if residual is not None else zero).alias("jhr_re"), (F.col(f"bi{k}") if residual is not None else zero).alias("jhr_im")) for k in range(n)]
+    return out.select(*key, F.inline(F.array(*per)))
 
 
 def gauss_newton(main: DataFrame, jones: DataFrame, vis: DataFrame, model: DataFrame, weight: DataFrame | None = None, n: int = 1, tol: float = 1e-4, maxiter: int = 100) -> tuple[DataFrame, int]:
@@ -202,26 +223,53 @@ def fit_spi(components: DataFrame, freq0: float, tol: float = 1e-4, maxiter: int
 
     beam = F.col("beam") if "beam" in components.columns else F.lit(1.0)
     some = components.select(F.col("comp").cast("long").alias("comp"), "freq", "flux", "weight", beam.cast("double").alias("beam"))
+    # One row for each component: its samples in order of frequency.
+    packed = some.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("freq", "flux", "weight", "beam"))).alias("s"))
+    lists = packed.select("comp", *(F.col(f"s.{c}").alias(c) for c in ("freq", "flux", "weight", "beam")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            comp = batch.column(0)
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            out = np.zeros((4, len(comp)))
+            cols = [c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]]
+            first = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes):  # components with equally many samples are fitted together
+                at = np.flatnonzero(sizes == n)
+                place = first[at][:, None] + np.arange(n)
+                out[:, at] = fit_power_laws(*(c[place] for c in cols), freq0, tol, maxiter, mindet, alpha0)
+            yield pa.RecordBatch.from_arrays([comp, *(pa.array(x) for x in out)], names=["comp", "alpha", "alpha_var", "i0", "i0_var"])
+
+    return lists.mapInArrow(run, "comp long, alpha double, alpha_var double, i0 double, i0_var double")
+
+
+def fit_power_laws(freq, flux, weight, beam, freq0: float, tol: float, maxiter: int, mindet: float, alpha0: float):
+    """(alpha, its variance, i0, its variance) of components x samples, by Gauss-Newton steps."""
+    import numpy as np
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("freq")
-        freq, y, wt, b = (table.column(c).to_numpy() for c in ("freq", "flux", "weight", "beam"))
-        ratio = freq / freq0
-        log_ratio = np.log(ratio)
-        near = int(np.abs(ratio - 1.0).argmin())
-        theta = np.array([alpha0, y[near] / b[near] if b[near] else y[near]])
-        cov, chi2, moved, k = np.eye(2), 0.0, np.inf, 0
-        while moved > tol and k < maxiter:
-            unit = b * ratio ** theta[0]
-            jac = np.stack([theta[1] * unit * log_ratio, unit])
-            res = y - theta[1] * unit
-            hess = (jac * wt) @ jac.T
-            det = max(hess[0, 0] * hess[1, 1] - hess[0, 1] ** 2, mindet)
-            cov = np.array([[hess[1, 1], -hess[0, 1]], [-hess[0, 1], hess[0, 0]]]) / det
-            step = cov @ ((jac * wt) @ res)
-            chi2 = float((res * res * wt).sum())
-            theta, moved, k = theta + step, float(np.abs(step).max()), k + 1
-        scale = chi2 / max(len(freq) - 2, 1)
-        return pa.table({"comp": table.column("comp").slice(0, 1), "alpha": [float(theta[0])], "alpha_var": [float(cov[0, 0] * scale)], "i0": [float(theta[1])], "i0_var": [float(cov[1, 1] * scale)]})
-
-    return some.groupBy("comp").applyInArrow(run, "comp long, alpha double, alpha_var double, i0 double, i0_var double")
+    n, samples = flux.shape
+    ratio = freq / freq0
+    log_ratio = np.log(ratio)
+    rows = np.arange(n)
+    near = np.abs(ratio - 1.0).argmin(axis=1)
+    gain = beam[rows, near]
+    alpha = np.full(n, alpha0)
+    i0 = np.divide(flux[rows, near], gain, out=flux[rows, near].copy(), where=gain != 0)
+    var_a, var_i, chi2 = np.ones(n), np.ones(n), np.zeros(n)
+    left = rows
+    for _ in range(maxiter):
+        if not len(left):
+            break
+        w, g = weight[left], beam[left] * ratio[left] ** alpha[left, None]
+        slope = i0[left, None] * g * log_ratio[left]
+        rest = flux[left] - i0[left, None] * g
+        aa, ai, ii = (slope * slope * w).sum(axis=1), (slope * g * w).sum(axis=1), (g * g * w).sum(axis=1)
+        det = np.maximum(aa * ii - ai * ai, mindet)
+        ra, ri = (slope * rest * w).sum(axis=1), (g * rest * w).sum(axis=1)
+        step_a, step_i = (ii * ra - ai * ri) / det, (aa * ri - ai * ra) / det
+        var_a[left], var_i[left], chi2[left] = ii / det, aa / det, (rest * rest * w).sum(axis=1)
+        alpha[left] += step_a
+        i0[left] += step_i
+        left = left[np.maximum(np.abs(step_a), np.abs(step_i)) > tol]
+    scale = chi2 / max(samples - 2, 1)
+    return alpha, var_a * scale, i0, var_i * scale

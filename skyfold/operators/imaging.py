@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions import cplx, sky
-from skyfold.operators.predict import small
+from skyfold.operators import dense
+from skyfold.operators.predict import is_small, small
 
 DEG = math.pi / 180.0
 
@@ -25,11 +26,18 @@ def im_to_vis(pixels: DataFrame, main: DataFrame, channels: DataFrame, conventio
 
     ``pixels``: l, m, chan, corr, flux.  Zero pixels are left out before the join.
     """
-    lit = pixels.filter("flux <> 0")
-    freqs = F.broadcast(channels.select("chan", "freq"))
-    pairs = main.select("row_id", "u", "v", "w").crossJoin(small(lit.join(freqs, "chan")))
-    value = cplx.expi(sky.phase(sky.delay(F.col("l"), F.col("m"), F.col("u"), F.col("v"), F.col("w")), F.col("freq"), convention)).scale(F.col("flux"))
-    return pairs.groupBy("row_id", "chan", "corr").agg(F.sum(value.re).alias("re"), F.sum(value.im).alias("im"))
+    spw = dense.spectral_window(channels)
+    corrs = sorted(r.corr for r in pixels.select("corr").distinct().collect())
+    if not corrs:
+        corrs = [0]
+    # One source for each place, with its fluxes channel by channel.
+    at = F.transform(F.array(*(F.struct(F.lit(c).alias("chan"), F.lit(k).alias("corr")) for c, _ in spw for k in corrs)), lambda x: F.coalesce(F.element_at("fluxes", x), F.lit(0.0)))
+    lit = pixels.filter("flux <> 0").withColumns({"l": F.col("l").cast("double"), "m": F.col("m").cast("double")})
+    lit = lit.groupBy("l", "m", F.col("chan").cast("int").alias("chan"), F.col("corr").cast("int").alias("corr")).agg(F.sum("flux").alias("flux"))
+    lit = lit.groupBy("l", "m").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("chan", "corr"), F.col("flux")))).alias("fluxes"))
+    out = dense.sum_over_sources(main, lit.select(*dense.place(), at.alias("flux")), spw, len(corrs), {"fourier": -1.0, "casa": 1.0}[convention])
+    values = out.select("row_id", "chan", F.posexplode("vis").alias("_k", "_v"))
+    return values.select("row_id", "chan", F.get(F.array(*map(F.lit, corrs)), F.col("_k")).alias("corr"), F.col("_v.re").alias("re"), F.col("_v.im").alias("im"))
 
 
 def vis_to_im(cells: DataFrame, main: DataFrame, pixels: DataFrame, channels: DataFrame, convention: str = "fourier") -> DataFrame:
@@ -37,15 +45,14 @@ def vis_to_im(cells: DataFrame, main: DataFrame, pixels: DataFrame, channels: Da
 
     A (row, chan) with any flagged correlation is left out.  ``pixels``: pixel, l, m.
     """
-    other = {"fourier": "casa", "casa": "fourier"}[convention]
+    other = {"fourier": 1.0, "casa": -1.0}[convention]
     good = cells
     if "flag" in cells.columns:
         bad = cells.filter("flag").select("row_id", "chan").distinct()
         good = cells.join(bad, ["row_id", "chan"], "left_anti")
-    rows = good.join(main.select("row_id", "u", "v", "w"), "row_id").join(F.broadcast(channels.select("chan", "freq")), "chan")
-    pairs = rows.crossJoin(small(pixels.select("pixel", "l", "m")))
-    value = cplx.expi(sky.phase(sky.delay(F.col("l"), F.col("m"), F.col("u"), F.col("v"), F.col("w")), F.col("freq"), other)) * cplx.Complex(F.col("re"), F.col("im"))
-    return pairs.groupBy("pixel", "chan", "corr").agg(F.sum(value.re).alias("flux"))
+    samples = good.join(main.select("row_id", "u", "v", "w"), "row_id").join(small(channels.select("chan", "freq")), "chan")
+    out = dense.sum_over_samples(samples, pixels.select("pixel", *dense.place()), ["chan", "corr"], other)
+    return out.withColumnRenamed("value", "flux")
 
 
 def band_of(channels: DataFrame, bands: int) -> DataFrame:
@@ -62,11 +69,10 @@ def image_pixels(spark, nx: int, ny: int, cell: float) -> DataFrame:
     return x.crossJoin(y).select("x", "y", ((F.col("x") - nx // 2) * cell).alias("l"), ((F.col("y") - ny // 2) * cell).alias("m"))
 
 
-def _kernel(sign: float) -> cplx.Complex:
-    """e^(sign 2 pi i nu / c (l u + m v - (n - 1) w)) with n from the pixel."""
-    n1 = sky.n_minus_one(F.col("l"), F.col("m"))
-    path = F.col("l") * F.col("u") + F.col("m") * F.col("v") - n1 * F.col("w")
-    return cplx.expi(path * F.col("freq") * F.lit(sign * sky.TWO_PI / sky.C))
+def _image_place() -> list[Column]:
+    """``PLACE`` of a pixel; in images the w term has the other sign."""
+    l, m, n1 = dense.place()
+    return [l, m, (-sky.n_minus_one(F.col("l"), F.col("m"))).alias("n1")]
 
 
 def dirty(cells: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -75,21 +81,28 @@ def dirty(cells: DataFrame, pixels: DataFrame) -> DataFrame:
     ``cells``: band, freq, u, v, w, re, im and, where it exists, weight.
     """
     weight = F.col("weight") if "weight" in cells.columns else F.lit(1.0)
-    pairs = cells.withColumn("_w", weight).crossJoin(small(pixels))
-    value = _kernel(1.0) * cplx.Complex(F.col("re") * F.col("_w"), F.col("im") * F.col("_w"))
+    samples = cells.select("band", "u", "v", "w", "freq", (F.col("re") * weight).alias("re"), (F.col("im") * weight).alias("im"))
+    places = pixels.select(F.struct("x", "y").alias("at"), "l", "m").withColumn("pixel", (F.col("at.y").cast("long") * F.lit(1 << 31) + F.col("at.x")))
+    sums = dense.sum_over_samples(samples, places.select("pixel", *_image_place()), ["band"], 1.0)
     n = sky.n_minus_one(F.col("l"), F.col("m")) + 1.0
-    return pairs.groupBy("band", "x", "y").agg(F.sum(F.try_divide(value.re, n)).alias("value"))
+    back = sums.join(small(places), "pixel")
+    return back.select("band", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.try_divide(F.col("value"), n).alias("value"))
 
 
 def model(samples: DataFrame, image: DataFrame) -> DataFrame:
     """(row_id, chan, re, im): visibilities of an image by the direct sum.
 
     ``samples``: row_id, chan, band, freq, u, v, w; ``image``: band, x, y, l, m, value.
+    A place's values in all bands go as its spectrum.
     """
-    pairs = samples.join(small(image.filter("value <> 0")), "band")
+    spw = dense.spectral_window(samples)
+    band = {r.chan: r.band for r in samples.select("chan", "band").distinct().collect()}
     n = sky.n_minus_one(F.col("l"), F.col("m")) + 1.0
-    value = _kernel(-1.0).scale(F.try_divide(F.col("value"), n))
-    return pairs.groupBy("row_id", "chan").agg(F.sum(value.re).alias("re"), F.sum(value.im).alias("im"))
+    lit = image.filter("value <> 0").groupBy("x", "y", "l", "m").agg(F.map_from_entries(F.collect_list(F.struct(F.col("band").cast("int").alias("band"), F.try_divide(F.col("value"), n).alias("v")))).alias("by_band"))
+    flux = F.transform(F.array(*(F.lit(int(band[c])) for c, _ in spw)), lambda b: F.coalesce(F.element_at("by_band", b), F.lit(0.0)))
+    rows = samples.groupBy("row_id").agg(F.first("u").alias("u"), F.first("v").alias("v"), F.first("w").alias("w"))
+    vis = dense.sum_over_sources(rows, lit.select(*_image_place(), flux.alias("flux")), spw, 1, -1.0)
+    return samples.select("row_id", "chan").join(vis, ["row_id", "chan"]).select("row_id", "chan", F.col("vis")[0]["re"].alias("re"), F.col("vis")[0]["im"].alias("im"))
 
 
 def residual(cells: DataFrame, image: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -2,43 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfold.functions import cplx, sky
 from skyfold.functions.cplx import Complex
+from skyfold.operators import dense
 
-#: Rows of a dimension table (sources, channels) that may be broadcast.
+#: Bytes of a dimension table (sources, channels, gains) that may be broadcast, and its rows.
+MAX_BYTES = 64 << 20
 MAX_DIMENSION = 1_000_000
 
 
-def small(df: DataFrame, most: int = MAX_DIMENSION) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 a number, lists and strings by their length."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType):
+            inner = f.dataType.elementType
+            total = total + 16 + F.coalesce(F.size(c), F.lit(0)) * 8 * (len(inner.fields) + 1 if isinstance(inner, T.StructType) else 1)
+        elif isinstance(f.dataType, T.StringType | T.BinaryType):
+            total = total + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
 
-    The count stops at the bound.  A larger side is left to Spark, which then
-    splits the other side's product by partitions.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+def is_small(df: DataFrame, most: int = MAX_DIMENSION, most_bytes: int = MAX_BYTES) -> bool:
+    """Whether ``df`` may be broadcast; the count stops at the bound."""
+    n, size = df.limit(most + 1).select(row_bytes(df).alias("b")).agg(F.count("*"), F.sum("b")).first()
+    return n <= most and (size or 0) <= most_bytes
+
+
+def small(df: DataFrame, most: int = MAX_DIMENSION, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and bytes are within the bounds; a larger one is left to Spark."""
+    return F.broadcast(df) if is_small(df, most, most_bytes) else df
+
+
+def _spectrum(flux: Callable[[Column], Column], spw: list[tuple[int, float]]) -> Column:
+    return F.transform(F.array(*(F.lit(f) for _, f in spw)), flux)
+
+
+def _one(vis: DataFrame) -> DataFrame:
+    return vis.select("row_id", "chan", F.col("vis")[0]["re"].alias("re"), F.col("vis")[0]["im"].alias("im"))
 
 
 def point_predict(main: DataFrame, sources: DataFrame, channels: DataFrame, convention: str = "fourier", shape: bool = False, clamp: bool = True) -> DataFrame:
     """(row_id, chan, re, im): sum over sources of flux times phase (times shape).
 
     ``sources``: l, m, stokes_i, alpha, ref_freq and, with ``shape``, type, emaj,
-    emin, pa.  The path of a source and row is computed once, before channels
-    are crossed in; the sum follows in the same stage, and only partial sums are
-    shuffled.
+    emin, pa.  A source's spectrum is computed once; see ``operators.dense``.
     """
-    rows = main.select("row_id", "u", "v", "w")
-    # Channels of a spectral window are few: they travel as one array.
-    spw = channels.agg(F.sort_array(F.collect_list(F.struct("chan", "freq"))).alias("spw"))
-    pairs = rows.crossJoin(small(sources)).withColumn("path", sky.delay(F.col("l"), F.col("m"), F.col("u"), F.col("v"), F.col("w"), clamp))
-    cells = pairs.crossJoin(F.broadcast(spw)).select("*", F.inline("spw"))
-    flux = F.col("stokes_i") * F.pow(F.col("freq") / F.col("ref_freq"), F.col("alpha"))
-    if shape:
-        flux = flux * F.when(F.col("type") == "GAUSSIAN", sky.gaussian(F.col("u"), F.col("v"), F.col("freq"), F.col("emaj"), F.col("emin"), F.col("pa"))).otherwise(F.lit(1.0))
-    value = cplx.expi(sky.phase(F.col("path"), F.col("freq"), convention)).scale(flux)
-    return cells.groupBy("row_id", "chan").agg(F.sum(value.re).alias("re"), F.sum(value.im).alias("im"))
+    spw = dense.spectral_window(channels)
+    flux = _spectrum(lambda f: F.col("stokes_i") * F.pow(f / F.col("ref_freq"), F.col("alpha")), spw)
+    more = dense.ellipse(F.col("emaj"), F.col("emin"), F.col("pa"), F.col("type") != "GAUSSIAN") if shape else []
+    lit = sources.select(*dense.place(clamp), flux.alias("flux"), *more)
+    return _one(dense.sum_over_sources(main, lit, spw, 1, {"fourier": -1.0, "casa": 1.0}[convention]))
 
 
 def wsclean_predict(main: DataFrame, sources: DataFrame, channels: DataFrame) -> DataFrame:
@@ -48,31 +71,12 @@ def wsclean_predict(main: DataFrame, sources: DataFrame, channels: DataFrame) ->
     sign of the phase is the "casa" one, and n is not clamped.  A type that is
     neither POINT nor GAUSSIAN is an error.
     """
-    rows = main.select("row_id", "u", "v", "w")
-    # A source's spectrum is computed once and travels with it as an array.
-    spw = channels.agg(F.sort_array(F.collect_list(F.struct("chan", "freq"))).alias("spw"))
-    spectrum = F.transform("spw", lambda c: F.struct(c["chan"].alias("chan"), c["freq"].alias("freq"), sky.wsclean_spectrum(F.col("flux"), F.col("coeffs"), F.col("log_poly"), F.col("ref_freq"), c["freq"]).alias("flux_at")))
-    lit = sources.crossJoin(F.broadcast(spw)).select("type", "l", "m", "emaj", "emin", "pa", spectrum.alias("spectrum"))
-    pairs = rows.crossJoin(small(lit)).withColumn("path", sky.delay(F.col("l"), F.col("m"), F.col("u"), F.col("v"), F.col("w"), clamp=False))
-    cells = pairs.select("row_id", "u", "v", "type", "emaj", "emin", "pa", "path", F.inline("spectrum"))
-    shape = (
-        F.when(F.col("type") == "POINT", F.lit(1.0))
-        .when(F.col("type") == "GAUSSIAN", sky.gaussian(F.col("u"), F.col("v"), F.col("freq"), F.col("emaj"), F.col("emin"), F.col("pa")))
-        .otherwise(F.raise_error(F.concat(F.lit("not a source type: "), F.col("type"))).cast("double"))
-    )
-    value = cplx.expi(sky.phase(F.col("path"), F.col("freq"), "casa")).scale(F.col("flux_at") * shape)
-    return cells.groupBy("row_id", "chan").agg(F.sum(value.re).alias("re"), F.sum(value.im).alias("im"))
-
-
-def join_antennas(cells: DataFrame, jones: DataFrame, name: str = "g", keys: tuple[str, ...] = ("time_idx", "chan")) -> DataFrame:
-    """Cells with the Jones terms ``{name}_p`` and ``{name}_q`` of both antennas.
-
-    Two equi-joins to the same table; Spark broadcasts it if it is small and
-    otherwise shuffles both sides, splitting skewed keys.
-    """
-    p = jones.select(*(F.col(k) for k in keys), F.col("ant").alias("antenna1"), F.col(name).alias(f"{name}_p"))
-    q = jones.select(*(F.col(k) for k in keys), F.col("ant").alias("antenna2"), F.col(name).alias(f"{name}_q"))
-    return cells.join(p, [*keys, "antenna1"]).join(q, [*keys, "antenna2"])
+    spw = dense.spectral_window(channels)
+    flux = _spectrum(lambda f: sky.wsclean_spectrum(F.col("flux"), F.col("coeffs"), F.col("log_poly"), F.col("ref_freq"), f), spw)
+    wrong = F.raise_error(F.concat(F.lit("not a source type: "), F.col("type"))).cast("boolean")
+    point = F.when(F.col("type") == "POINT", F.lit(True)).when(F.col("type") == "GAUSSIAN", F.lit(False)).otherwise(wrong)
+    lit = sources.withColumn("_point", point).select(*dense.place(clamp=False), flux.alias("flux"), *dense.ellipse(F.col("emaj"), F.col("emin"), F.col("pa"), F.col("_point")))
+    return _one(dense.sum_over_sources(main, lit, spw, 1, 1.0))
 
 
 def apply_jones(value: list[Complex], p: Column | None, q: Column | None, n: int) -> list[Complex]:
@@ -171,33 +175,42 @@ def beam_cube_dde(samples: DataFrame, beam: DataFrame, extents: tuple[tuple[floa
     the mean of the complex values, the amplitude from the mean of their
     absolute values.
     """
-    (l0, l1), (m0, m1) = extents
-    nl, nm = shape
     has = samples.columns
 
-    def opt(name: str, default: float) -> Column:
-        return F.col(name) if name in has else F.lit(default)
-
-    s = frequency_bracket(samples, beam_freqs)
-    tl = F.col("l") * F.col("freq_scale") + opt("pe_l", 0.0)
-    tm = F.col("m") * F.col("freq_scale") + opt("pe_m", 0.0)
-    s = s.withColumn("_tl", tl).withColumn("_tm", tm)
-    vl = (F.col("_tl") * F.cos("pa") - F.col("_tm") * F.sin("pa")) * opt("scale_l", 1.0)
-    vm = (F.col("_tl") * F.sin("pa") + F.col("_tm") * F.cos("pa")) * opt("scale_m", 1.0)
-    s = s.withColumn("_l", F.greatest(F.lit(0.0), F.least((vl - l0) * ((nl - 1) / (l1 - l0)), F.lit(float(nl - 1)))))
-    s = s.withColumn("_m", F.greatest(F.lit(0.0), F.least((vm - m0) * ((nm - 1) / (m1 - m0)), F.lit(float(nm - 1)))))
-    s = s.withColumn("_gl", F.floor("_l").cast("int")).withColumn("_gm", F.floor("_m").cast("int")).withColumn("_ld", F.col("_l") - F.floor("_l")).withColumn("_md", F.col("_m") - F.floor("_m"))
-    corners = []
-    for dn in (0, 1):
-        for dl in (0, 1):
-            for dm in (0, 1):
-                weight = (F.col("_ld") if dl else 1.0 - F.col("_ld")) * (F.col("_md") if dm else 1.0 - F.col("_md")) * ((1.0 - F.col("lower_weight")) if dn else F.col("lower_weight"))
-                corners.append(F.struct(F.least(F.col("_gl") + dl, F.lit(nl - 1)).alias("l_idx"), F.least(F.col("_gm") + dm, F.lit(nm - 1)).alias("m_idx"), (F.col("lower") + dn).alias("nu_idx"), weight.alias("weight")))
-    hits = s.select(*keys, F.inline(F.array(*corners))).join(small(beam), ["l_idx", "m_idx", "nu_idx"])
-    value = Complex(F.col("re"), F.col("im"))
-    sums = hits.groupBy(*keys, "corr").agg(F.sum(F.col("weight") * F.col("re")).alias("re"), F.sum(F.col("weight") * F.col("im")).alias("im"), F.sum(F.col("weight") * value.abs()).alias("_abs"))
-    norm = F.coalesce(F.try_divide(F.col("_abs"), Complex(F.col("re"), F.col("im")).abs()), F.col("_abs"))
-    return sums.select(*keys, "corr", (F.col("re") * norm).alias("re"), (F.col("im") * norm).alias("im"))
+    def given(name: str, otherwise: float) -> Column:
+        return F.col(name) if name in has else F.lit(otherwise)
+
+    def on_grid(value: Column, extent: tuple[float, float], n: int) -> Column:
+        """Position in cells of an axis, kept within the cube."""
+        return F.least(F.greatest((value - extent[0]) * ((n - 1) / (extent[1] - extent[0])), F.lit(0.0)), F.lit(float(n - 1)))
+
+    east = F.col("l") * F.col("freq_scale") + given("pe_l", 0.0)
+    north = F.col("m") * F.col("freq_scale") + given("pe_m", 0.0)
+    at = frequency_bracket(samples, beam_freqs).withColumns({"_east": east, "_north": north})
+    turned = {
+        "_x": on_grid((F.col("_east") * F.cos("pa") - F.col("_north") * F.sin("pa")) * given("scale_l", 1.0), extents[0], shape[0]),
+        "_y": on_grid((F.col("_east") * F.sin("pa") + F.col("_north") * F.cos("pa")) * given("scale_m", 1.0), extents[1], shape[1]),
+    }
+    at = at.withColumns(turned)
+
+    def ends(axis: str, n: int) -> list[tuple[Column, Column]]:
+        """(index, weight) of the two cells around a position."""
+        low, part = F.floor(axis).cast("int"), F.col(axis) - F.floor(axis)
+        return [(low, 1.0 - part), (F.least(low + 1, F.lit(n - 1)), part)]
+
+    planes = [(F.col("lower"), F.col("lower_weight")), (F.col("lower") + 1, 1.0 - F.col("lower_weight"))]
+    corners = [
+        F.struct(i.alias("l_idx"), j.alias("m_idx"), k.alias("nu_idx"), (a * b * c).alias("weight"))
+        for k, c in planes
+        for i, a in ends("_x", shape[0])
+        for j, b in ends("_y", shape[1])
+    ]
+    hits = at.select(*keys, F.inline(F.array(*corners))).join(small(beam), ["l_idx", "m_idx", "nu_idx"])
+    mean = {"re": F.sum(F.col("weight") * F.col("re")), "im": F.sum(F.col("weight") * F.col("im")), "_size": F.sum(F.col("weight") * Complex(F.col("re"), F.col("im")).abs())}
+    sums = hits.groupBy(*keys, "corr").agg(*(v.alias(k) for k, v in mean.items()))
+    # The mean's direction with the mean size; a mean of 0 keeps its 0.
+    scale = F.coalesce(F.try_divide(F.col("_size"), Complex(F.col("re"), F.col("im")).abs()), F.lit(1.0))
+    return sums.select(*keys, "corr", (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
 
 
 def zernike_dde(samples: DataFrame, coeffs: DataFrame, keys: list[str], n_poly: int) -> DataFrame:

@@ -48,24 +48,46 @@ GAUSS = f"""exp(-(pow((u * (emaj * cos(pa)) - v * (emaj * sin(pa))) * (emin / CA
     + pow((u * (emaj * sin(pa)) + v * (emaj * cos(pa))) * freq * {math.sqrt(2) * math.pi / (sky.C * sky.FWHM)!r}, 2)))"""
 
 
-def _sum_sql(flux: str, sign: str = "-", views: str = "main sources channels") -> str:
-    return with_views(views, f""", t AS (SELECT row_id, chan, {flux} AS f, {sign}{TAU} / {C} * {PATH} * freq AS p FROM main, sources, channels)
+def _sum_sql(flux: str, sign: str = "-", rows: str = "main", field: str = "sources") -> str:
+    return with_views(f"{rows} {field} channels", f""", t AS (SELECT row_id, chan, {flux} AS f, {sign}{TAU} / {C} * {PATH} * freq AS p FROM {rows}, {field}, channels)
 SELECT row_id, chan, round(sum(f * cos(p)), 6) + 0e0 AS re, round(sum(f * sin(p)), 6) + 0e0 AS im FROM t GROUP BY row_id, chan""")
 
 
+def over_sky(sql: str) -> Callable[[Query], Query]:
+    """A further query ``{name}_sky``: every part as a source, the snapshot's rows."""
+
+    def add(f: Query) -> Query:
+        def run(s, d):
+            return f(s, d, v.sky, v.snapshot)
+
+        run.__name__ = f"{f.__name__}_sky"
+        query(sql)(run)
+        return f
+
+    return add
+
+
 def _re_im(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, r6("re", "re"), r6("im", "im"))
 
 
 # ------------------------------------------------------------------ prediction
-@query(_sum_sql("stokes_i * pow(freq / ref_freq, alpha)"))
-def predict_point(s, d, sources=v.sources):
-    return _re_im(predict.point_predict(v.main(s, d), sources(s, d), v.channels(s)), "row_id", "chan")
+_POWER = "stokes_i * pow(freq / ref_freq, alpha)"
+
+
+@over_sky(_sum_sql(_POWER, "-", "snapshot", "sky"))
+@query(_sum_sql(_POWER))
+def predict_point(s, d, sources=v.sources, rows=v.main):
+    return _re_im(predict.point_predict(rows(s, d), sources(s, d), v.channels(s)), "row_id", "chan")
 
 
-@query(_sum_sql(f"stokes_i * pow(freq / ref_freq, alpha) * CASE WHEN type = 'GAUSSIAN' THEN {GAUSS} ELSE 1e0 END"))
-def predict_gaussian(s, d, sources=v.sources):
-    return _re_im(predict.point_predict(v.main(s, d), sources(s, d), v.channels(s), shape=True), "row_id", "chan")
+_SHAPED = f"{_POWER} * CASE WHEN type = 'GAUSSIAN' THEN {GAUSS} ELSE 1e0 END"
+
+
+@over_sky(_sum_sql(_SHAPED, "-", "snapshot", "sky"))
+@query(_sum_sql(_SHAPED))
+def predict_gaussian(s, d, sources=v.sources, rows=v.main):
+    return _re_im(predict.point_predict(rows(s, d), sources(s, d), v.channels(s), shape=True), "row_id", "chan")
 
 
 _WSC = "CASE WHEN source_id % 2 = 0 THEN stokes_i * exp(alpha * ln(freq / ref_freq) + c2 * pow(ln(freq / ref_freq), 2)) ELSE stokes_i + alpha * (freq / ref_freq - 1e0) + c2 * pow(freq / ref_freq - 1e0, 2) END"
@@ -75,52 +97,49 @@ def _wsclean(s, d, sources=v.sources):
     return sources(s, d).select("*", F.col("stokes_i").alias("flux"), F.array("alpha", "c2").alias("coeffs"), (F.col("source_id") % 2 == 0).alias("log_poly"))
 
 
-@query(with_views("sources channels", f"SELECT source_id, chan, round({_WSC}, 6) + 0e0 AS flux FROM sources, channels"))
-def wsclean_spectra(s, d, sources=v.sources):
+@query(with_views("sky channels", f"SELECT source_id, chan, round({_WSC}, 10) + 0e0 AS flux FROM sky, channels"))
+def wsclean_spectra(s, d, sources=v.sky):
     both = _wsclean(s, d, sources).crossJoin(F.broadcast(v.channels(s)))
-    return both.select("source_id", "chan", r6(sky.wsclean_spectrum(F.col("flux"), F.col("coeffs"), F.col("log_poly"), F.col("ref_freq"), F.col("freq")), "flux"))
-
+    return both.select("source_id", "chan", r6(sky.wsclean_spectrum(F.col("flux"), F.col("coeffs"), F.col("log_poly"), F.col("ref_freq"), F.col("freq")), "flux", 10))
 
-@query(_sum_sql(f"{_WSC} * CASE WHEN type = 'POINT' THEN 1e0 ELSE {GAUSS} END", ""))
-def wsclean_predict(s, d, sources=v.sources):
-    return _re_im(predict.wsclean_predict(v.main(s, d), _wsclean(s, d, sources), v.channels(s)), "row_id", "chan")
 
+_WSC_SHAPED = f"{_WSC} * CASE WHEN type = 'POINT' THEN 1e0 ELSE {GAUSS} END"
 
-_ONE = "FROM main JOIN sources ON source_id = 1 + row_id % 31 JOIN channels ON chan = row_id % 8"
 
+@over_sky(_sum_sql(_WSC_SHAPED, "", "snapshot", "sky"))
+@query(_sum_sql(_WSC_SHAPED, ""))
+def wsclean_predict(s, d, sources=v.sources, rows=v.main):
+    return _re_im(predict.wsclean_predict(rows(s, d), _wsclean(s, d, sources), v.channels(s)), "row_id", "chan")
 
-def _paired(s, d):
-    m = v.main(s, d).withColumn("source_id", 1 + F.col("row_id") % 31).withColumn("chan", (F.col("row_id") % 8).cast("int"))
-    return m.join(F.broadcast(v.sources(s, d)), "source_id").join(F.broadcast(v.channels(s)), "chan")
 
-
-#: A cell of an operator over sources, rows and channels.
+#: A cell of an operator over sources, rows and channels: every one of them.
 _CELL = ("row_id", "source_id", "chan")
+_CELLS = "row_id, source_id, chan"
+_ALL = "FROM snapshot, sources, channels"
 
 
 def _crossed(s, d):
-    """Every row with every source and every channel; rows are dealt out, as each makes many cells."""
-    return v.main(s, d).repartition("row_id").crossJoin(predict.small(v.sky(s, d))).crossJoin(predict.small(v.channels(s)))
+    return v.snapshot(s, d).crossJoin(predict.small(v.sources(s, d))).crossJoin(predict.small(v.channels(s)))
 
 
-def _phase(s, d, convention, rows, keys):
+def _phase(s, d, convention):
     p = sky.phase_delay(*(F.col(c) for c in ("l", "m", "u", "v", "w", "freq")), convention)
-    return rows(s, d).select(*keys, r6(p.re, "re"), r6(p.im, "im"))
+    return _crossed(s, d).select(*_CELL, r6(p.re, "re"), r6(p.im, "im"))
 
 
-@query(with_views("main sources channels", f"SELECT row_id, round(cos(-{TAU} / {C} * {PATH} * freq), 6) + 0e0 AS re, round(sin(-{TAU} / {C} * {PATH} * freq), 6) + 0e0 AS im {_ONE}"))
-def phase_delay_fourier(s, d, rows=_paired, keys=("row_id",)):
-    return _phase(s, d, "fourier", rows, keys)
+@query(with_views("snapshot sources channels", f"SELECT {_CELLS}, round(cos(-{TAU} / {C} * {PATH} * freq), 6) + 0e0 AS re, round(sin(-{TAU} / {C} * {PATH} * freq), 6) + 0e0 AS im {_ALL}"))
+def phase_delay_fourier(s, d):
+    return _phase(s, d, "fourier")
 
 
-@query(with_views("main sources channels", f"SELECT row_id, round(cos({TAU} / {C} * {PATH} * freq), 6) + 0e0 AS re, round(sin({TAU} / {C} * {PATH} * freq), 6) + 0e0 AS im {_ONE}"))
-def phase_delay_casa(s, d, rows=_paired, keys=("row_id",)):
-    return _phase(s, d, "casa", rows, keys)
+@query(with_views("snapshot sources channels", f"SELECT {_CELLS}, round(cos({TAU} / {C} * {PATH} * freq), 6) + 0e0 AS re, round(sin({TAU} / {C} * {PATH} * freq), 6) + 0e0 AS im {_ALL}"))
+def phase_delay_casa(s, d):
+    return _phase(s, d, "casa")
 
 
-@query(with_views("main sources channels", f"SELECT row_id, round({GAUSS}, 6) + 0e0 AS shape {_ONE}"))
-def gaussian_shape(s, d, rows=_paired, keys=("row_id",)):
-    return rows(s, d).select(*keys, r6(sky.gaussian(*(F.col(c) for c in ("u", "v", "freq", "emaj", "emin", "pa"))), "shape"))
+@query(with_views("snapshot sources channels", f"SELECT {_CELLS}, round({GAUSS}, 6) + 0e0 AS shape {_ALL}"))
+def gaussian_shape(s, d):
+    return _crossed(s, d).select(*_CELL, r6(sky.gaussian(*(F.col(c) for c in ("u", "v", "freq", "emaj", "emin", "pa"))), "shape"))
 
 
 # ------------------------------------------------- coordinates, spectra, rotations
@@ -220,22 +239,22 @@ def parallactic_test(s, d):
 _ANGLE = "(time * 1e-6)"
 
 
-@query(with_views("main sources channels", f", t AS (SELECT row_id, {_ANGLE} AS pa_, m, l * cos({_ANGLE}) - m * sin({_ANGLE}) AS rl {_ONE}) SELECT row_id, round((rl + 1e-3) * 11e-1, 9) + 0e0 AS l, round((rl * sin(pa_) + m * cos(pa_) - 2e-3) * 9e-1, 9) + 0e0 AS m FROM t"))
-def transform_sources(s, d, rows=_paired, keys=("row_id",)):
+@query(with_views("snapshot sources channels", f", t AS (SELECT {_CELLS}, {_ANGLE} AS pa_, m, l * cos({_ANGLE}) - m * sin({_ANGLE}) AS rl {_ALL}) SELECT {_CELLS}, round((rl + 1e-3) * 11e-1, 9) + 0e0 AS l, round((rl * sin(pa_) + m * cos(pa_) - 2e-3) * 9e-1, 9) + 0e0 AS m FROM t"))
+def transform_sources(s, d):
     l, m = sky.transform_source(F.col("l"), F.col("m"), F.col("time") * 1e-6, F.lit(1e-3), F.lit(-2e-3), F.lit(1.1), F.lit(0.9))
-    return rows(s, d).select(*keys, r6(l, "l", 9), r6(m, "m", 9))
+    return _crossed(s, d).select(*_CELL, r6(l, "l", 9), r6(m, "m", 9))
 
 
-@query(with_views("main sources channels", f""", t AS (SELECT row_id, {TAU} / {C} * freq * u AS fu, {TAU} / {C} * freq * v AS fv, {TAU} / {C} * freq AS k, 1e-4 AS b {_ONE}),
-x AS (SELECT row_id, sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fu * b, 2) / 2) AS u0, sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fv * b, 2) / 2) AS v0, sqrt(2e0) * {TAU} * fv * b AS h1 FROM t)
-SELECT row_id, round(1e3 * u0 * v0, 6) + 0e0 AS re, round(5e2 * u0 * v0 * h1, 6) + 0e0 AS im FROM x"""))
-def shapelet(s, d, rows=_paired, keys=("row_id",)):
+@query(with_views("snapshot sources channels", f""", t AS (SELECT {_CELLS}, {TAU} / {C} * freq * u AS fu, {TAU} / {C} * freq * v AS fv, 1e-4 AS b {_ALL}),
+x AS (SELECT {_CELLS}, sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fu * b, 2) / 2) AS u0, sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fv * b, 2) / 2) AS v0, sqrt(2e0) * {TAU} * fv * b AS h1 FROM t)
+SELECT {_CELLS}, round(1e3 * u0 * v0, 6) + 0e0 AS re, round(5e2 * u0 * v0 * h1, 6) + 0e0 AS im FROM x"""))
+def shapelet(s, d):
     x = sky.shapelet(F.col("u"), F.col("v"), F.col("freq"), [[1000.0, 500.0]], (1e-4, 1e-4))
-    return rows(s, d).select(*keys, r6(x.re, "re"), r6(x.im, "im"))
+    return _crossed(s, d).select(*_CELL, r6(x.re, "re"), r6(x.im, "im"))
 
 
-@query(with_views("sources", ", t AS (SELECT source_id, sqrt(l * l + m * m) * 4e1 AS rho, atan2(l, m) AS phi FROM sources) SELECT source_id, " + ", ".join(f"round(CASE WHEN rho > 1 THEN 0e0 ELSE {z} END, 6) + 0e0 AS z{j}" for j, z in enumerate(["1e0", "rho * cos(phi)", "rho * sin(phi)", "2 * rho * rho - 1", "rho * rho * sin(2 * phi)", "rho * rho * cos(2 * phi)"])) + " FROM t"))
-def zernike(s, d, sources=v.sources):
+@query(with_views("sky", ", t AS (SELECT source_id, sqrt(l * l + m * m) * 4e1 AS rho, atan2(l, m) AS phi FROM sky) SELECT source_id, " + ", ".join(f"round(CASE WHEN rho > 1 THEN 0e0 ELSE {z} END, 6) + 0e0 AS z{j}" for j, z in enumerate(["1e0", "rho * cos(phi)", "rho * sin(phi)", "2 * rho * rho - 1", "rho * rho * sin(2 * phi)", "rho * rho * cos(2 * phi)"])) + " FROM t"))
+def zernike(s, d, sources=v.sky):
     src = sources(s, d).withColumn("rho", F.sqrt(F.col("l") * F.col("l") + F.col("m") * F.col("m")) * 40.0).withColumn("phi", F.atan2("l", "m"))
     return src.select("source_id", *(r6(sky.zernike(j, F.col("rho"), F.col("phi")), f"z{j}") for j in range(6)))
 
@@ -260,7 +279,7 @@ binned AS (SELECT o.*, b.bin FROM o JOIN b USING (antenna1, antenna2, n)),
 flags AS (SELECT antenna1, antenna2, bin, bool_and(flag_row) AS bin_flag FROM binned GROUP BY ALL)"""
 
 
-@query(with_views("main", _BINS + " SELECT antenna1, antenna2, CAST(bin AS INTEGER) AS bin, round(avg(time), 3) AS time, sum(span) AS \"interval\", bool_and(flag_row) AS flag_row, count(*) AS n_rows FROM binned GROUP BY antenna1, antenna2, bin", True))
+@query(with_views("main", _BINS + " SELECT antenna1, antenna2, CAST(bin AS INTEGER) AS bin, round(avg(time), 3) AS time, sum(span) AS \"interval\", bool_and(flag_row) AS flag_row, count(*) AS n_rows, CAST(row_number() OVER (ORDER BY avg(time), antenna2, antenna1, bin) - 1 AS INTEGER) AS out_row FROM binned GROUP BY antenna1, antenna2, bin", True))
 def row_mapper(s, d):
     return averaging.row_mapper(v.main(s, d), BIN_SECS).withColumn("time", F.round("time", 3))
 
@@ -316,16 +335,34 @@ def merge_flags(s, d):
     return averaging.merge_flags(rows, v.cells(s, d))
 
 
-@query()
+_LM = repr(math.radians(3.0))
+_DPHI = "(acos(98e-2) * sqrt(3e0) / pi())"
+_BDA = f""", o AS (SELECT *, row_number() OVER (PARTITION BY antenna1, antenna2 ORDER BY time) AS n, time - span / 2 AS t0, time + span / 2 AS t1 FROM main),
+b AS (SELECT antenna1, antenna2, n, 0 AS bin, t0 AS low, u AS fu, v AS fv, w AS fw FROM o WHERE n = 1
+      UNION ALL SELECT antenna1, antenna2, n, CASE WHEN new THEN bin + 1 ELSE bin END, CASE WHEN new THEN t0 ELSE low END, CASE WHEN new THEN u ELSE fu END, CASE WHEN new THEN v ELSE fv END, CASE WHEN new THEN w ELSE fw END
+      FROM (SELECT *, t1 - low > 864e2 OR sin(half) / half < sin(pi() * {_DPHI}) / (pi() * {_DPHI}) AS new
+            FROM (SELECT o.*, b.bin, b.low, b.fu, b.fv, b.fw, sqrt(pow(o.u - b.fu, 2) + pow(o.v - b.fv, 2) + pow(o.w - b.fw, 2)) * 1605e6 * sin({_LM}) * pi() / {C} + 1e-8 AS half
+                  FROM b JOIN o ON o.antenna1 = b.antenna1 AND o.antenna2 = b.antenna2 AND o.n = b.n + 1))),
+e AS (SELECT antenna1, antenna2, bin, count(*) AS rows_, arg_min(t0, n) AS first, arg_max(t1, n) AS last, any_value(o.time) AS one, any_value(o.span) AS span1,
+      (arg_min(u, n) + arg_max(u, n)) / 2 AS mu, (arg_min(v, n) + arg_max(v, n)) / 2 AS mv, (arg_min(w, n) + arg_max(w, n)) / 2 AS mw FROM o JOIN b USING (antenna1, antenna2, n) GROUP BY ALL),
+f AS (SELECT *, ceil(8 / greatest({C} / (2 * pi()) * {_DPHI} / sqrt(sqrt(mu * mu + mv * mv) * {_LM} + abs(mw) * abs(sqrt(1e0 - {_LM} * {_LM}) - 1)) / 107e6, 1e0)) AS need FROM e),
+g AS (SELECT *, CAST(CASE WHEN rows_ = 1 OR need > 4 THEN 8 WHEN need > 2 THEN 4 WHEN need > 1 THEN 2 ELSE 1 END AS INTEGER) AS nchan FROM f),
+place AS (SELECT o.row_id, g.* FROM o JOIN b USING (antenna1, antenna2, n) JOIN g USING (antenna1, antenna2, bin))"""
+
+
+@query(with_views("main", _BDA + " SELECT row_id, antenna1, antenna2, CAST(bin AS INTEGER) AS bin, nchan, round(CASE WHEN rows_ = 1 THEN one ELSE (first + last) / 2 END, 3) AS bin_time, round(CASE WHEN rows_ = 1 THEN span1 ELSE last - first END, 3) AS bin_interval FROM place", True))
 def bda_bins(s, d):
     chans = [(0.856e9 + 0.107e9 * i, 0.107e9) for i in range(8)]
-    return averaging.bda_bins(v.main(s, d), [c[0] for c in chans], [c[1] for c in chans], max_fov=3.0, decorrelation=0.98, time_bin_secs=86_400.0)
+    out = averaging.bda_bins(v.main(s, d), [c[0] for c in chans], [c[1] for c in chans], max_fov=3.0, decorrelation=0.98, time_bin_secs=86_400.0)
+    return out.withColumns({c: F.round(c, 3) for c in ("bin_time", "bin_interval")})
 
 
-@query()
+@query(with_views("main data_vis", _BDA + """, c AS (SELECT antenna1, antenna2, bin, CAST(chan // greatest(8 // nchan, 1) AS INTEGER) AS chan_bin, dr, di, flag FROM data_vis JOIN place USING (row_id)),
+k AS (SELECT antenna1, antenna2, bin, chan_bin, bool_and(flag) AS bf FROM c GROUP BY ALL)
+SELECT antenna1, antenna2, CAST(bin AS INTEGER) AS bin, chan_bin, 0 AS corr, bf AS flag, round(avg(dr) FILTER (flag = bf), 6) + 0e0 AS re, round(avg(di) FILTER (flag = bf), 6) + 0e0 AS im FROM c JOIN k USING (antenna1, antenna2, bin, chan_bin) GROUP BY antenna1, antenna2, bin, chan_bin, bf""", True))
 def bda(s, d):
     cells = v.data_vis(s, d).select("row_id", "chan", F.lit(0).alias("corr"), F.col("vis")[0]["re"].alias("re"), F.col("vis")[0]["im"].alias("im"), "flag")
-    return averaging.bda(v.main(s, d), cells, v.channels(s), time_bin_secs=86_400.0)[1]
+    return averaging.bda(v.main(s, d), cells, v.channels(s), time_bin_secs=86_400.0)[1].select("antenna1", "antenna2", "bin", "chan_bin", "corr", "flag", r6("re", "re"), r6("im", "im"))
 
 
 # ----------------------------------------------------------------- calibration
@@ -406,7 +443,22 @@ def chunkify_rows(s, d):
     return calibration.chunkify_rows(v.main(s, d), 4)
 
 
-@query()
+_PHASES = """, c AS (SELECT row_id, time_idx, antenna1, antenna2, chan, mr, mi, mr * cos(f) - mi * sin(f) AS dr, mr * sin(f) + mi * cos(f) AS di
+    FROM (SELECT row_id, time_idx, antenna1, antenna2, chan, mr, mi, 2e-1 * (sin(time_idx * antenna1) - sin(time_idx * antenna2)) AS f FROM main JOIN model_vis USING (row_id))),
+n AS (SELECT time_idx, ant, chan, sum(mr * mr + mi * mi) AS jj FROM (SELECT time_idx, antenna1 AS ant, chan, mr, mi FROM c UNION ALL SELECT time_idx, antenna2, chan, mr, mi FROM c) GROUP BY ALL),
+r AS (SELECT 0 AS k, time_idx, ant, chan, 0e0 AS phase, 1e0 AS moved FROM jones
+      UNION ALL
+      SELECT r.k + 1, r.time_idx, r.ant, r.chan, r.phase + coalesce(s.step, 0), coalesce(s.step, 0) FROM r
+      LEFT JOIN (SELECT time_idx, ant, chan, 5e-1 * sum(x) / any_value(jj) AS step FROM (
+            SELECT e.time_idx, CASE WHEN side = 0 THEN antenna1 ELSE antenna2 END AS ant, e.chan, (1 - 2 * side) * (jr * (di - ji) - ji * (dr - jr)) AS x
+            FROM (SELECT c.*, mr * cos(p.phase - q.phase) - mi * sin(p.phase - q.phase) AS jr, mr * sin(p.phase - q.phase) + mi * cos(p.phase - q.phase) AS ji
+                  FROM c JOIN r p ON p.time_idx = c.time_idx AND p.chan = c.chan AND p.ant = c.antenna1 JOIN r q ON q.time_idx = c.time_idx AND q.chan = c.chan AND q.ant = c.antenna2) e, range(2) t(side))
+            JOIN n USING (time_idx, ant, chan) GROUP BY time_idx, ant, chan) s ON s.time_idx = r.time_idx AND s.ant = r.ant AND s.chan = r.chan
+      WHERE r.k < 10 AND (SELECT max(abs(moved)) FROM r) > 1e-3)
+SELECT time_idx, ant, chan, 0 AS dir, round(atan2(sin(phase), cos(phase)), 6) + 0e0 AS phase FROM r WHERE k = (SELECT max(k) FROM r)"""
+
+
+@query(with_views("main jones model_vis", _PHASES, True))
 def gauss_newton(s, d):
     start = v.jones(s, d).withColumn("g", F.array(F.struct(F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))))
     phases = v.jones(s, d).withColumn("g", F.array(cplx.expi(0.2 * F.sin((F.col("time_idx") * F.col("ant")).cast("double"))).struct()))
@@ -416,24 +468,43 @@ def gauss_newton(s, d):
     return out.select("time_idx", "ant", "chan", "dir", r6(F.atan2(g.im, g.re), "phase"))
 
 
-@query()
+_SPI_STEP = """list_transform(range(8), lambda i: {'u': pow(x[i + 1], a), 'g': ln(x[i + 1]), 'y': y[i + 1], 'w': 1e0 + i % 3})"""
+
+
+@query(with_views("channels", f"""{'X'}, d AS (SELECT p_partkey AS comp, list(freq / 1e9 ORDER BY chan) AS x, list(p_retailprice / 1e3 * pow(freq / 1e9, -7e-1 + p_size / 1e2) * (1 + 2e-2 * sin(p_partkey * chan)) ORDER BY chan) AS y FROM part, channels GROUP BY p_partkey),
+r AS (SELECT comp, x, y, 0 AS k, -7e-1 AS a, y[2] AS i0, 1e0 AS moved, 0e0 AS va, 0e0 AS vi, 0e0 AS chi FROM d
+      UNION ALL
+      SELECT comp, x, y, k + 1, a + sa, i0 + si, greatest(abs(sa), abs(si)), ii / det, aa / det, chi FROM (
+        SELECT *, (ii * ra - ai * ri) / det AS sa, (aa * ri - ai * ra) / det AS si FROM (
+          SELECT *, greatest(aa * ii - ai * ai, 1e-12) AS det FROM (
+            SELECT comp, x, y, k, a, i0, list_sum(list_transform(s, lambda e: e.w * pow(i0 * e.u * e.g, 2))) AS aa, list_sum(list_transform(s, lambda e: e.w * i0 * e.u * e.g * e.u)) AS ai, list_sum(list_transform(s, lambda e: e.w * e.u * e.u)) AS ii,
+              list_sum(list_transform(s, lambda e: e.w * i0 * e.u * e.g * (e.y - i0 * e.u))) AS ra, list_sum(list_transform(s, lambda e: e.w * e.u * (e.y - i0 * e.u))) AS ri, list_sum(list_transform(s, lambda e: e.w * pow(e.y - i0 * e.u, 2))) AS chi
+            FROM (SELECT *, {_SPI_STEP} AS s FROM r WHERE moved > 1e-4 AND k < 100))))),
+z AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY k DESC) AS last FROM r)
+SELECT comp, round(a, 6) AS alpha, round(va * chi / 6, 9) AS alpha_var, round(i0, 6) AS i0, round(vi * chi / 6, 9) AS i0_var FROM z WHERE last = 1""".replace("X, d", ", d"), True))
 def spi_fit(s, d):
     p = v.table(s, d, "part").crossJoin(F.broadcast(v.channels(s)))
-    flux = sky.spectral_model(F.col("p_retailprice") / 1000.0, F.array(-0.7 + F.col("p_size") / 100.0), F.lit(1e9), F.col("freq"))
-    return calibration.fit_spi(p.select(F.col("p_partkey").alias("comp"), "freq", flux.alias("flux"), F.lit(1.0).alias("weight")), 1e9)
+    flux = sky.spectral_model(F.col("p_retailprice") / 1000.0, F.array(-0.7 + F.col("p_size") / 100.0), F.lit(1e9), F.col("freq")) * (1.0 + 0.02 * F.sin((F.col("p_partkey") * F.col("chan")).cast("double")))
+    out = calibration.fit_spi(p.select(F.col("p_partkey").alias("comp"), "freq", flux.alias("flux"), (1.0 + F.col("chan") % 3).alias("weight")), 1e9)
+    return out.select("comp", r6("alpha", "alpha"), r6("alpha_var", "alpha_var", 9), r6("i0", "i0"), r6("i0_var", "i0_var", 9))
 
 
 # --------------------------------------------------------------------- imaging
-@query(with_views("main sources channels", f", t AS (SELECT row_id, chan, stokes_i * (1 + chan) AS f, -{TAU} / {C} * {PATH} * freq AS p FROM main, sources, channels) SELECT row_id, chan, 0 AS corr, round(sum(f * cos(p)), 6) + 0e0 AS re, round(sum(f * sin(p)), 6) + 0e0 AS im FROM t GROUP BY row_id, chan"))
-def im_to_vis(s, d, sources=v.sources):
+def _im_to_vis_sql(rows: str, field: str) -> str:
+    return with_views(f"{rows} {field} channels", f", t AS (SELECT row_id, chan, stokes_i * (1 + chan) AS f, -{TAU} / {C} * {PATH} * freq AS p FROM {rows}, {field}, channels) SELECT row_id, chan, 0 AS corr, round(sum(f * cos(p)), 5) + 0e0 AS re, round(sum(f * sin(p)), 5) + 0e0 AS im FROM t GROUP BY row_id, chan")
+
+
+@over_sky(_im_to_vis_sql("snapshot", "sky"))
+@query(_im_to_vis_sql("main", "sources"))
+def im_to_vis(s, d, sources=v.sources, rows=v.main):
     px = sources(s, d).crossJoin(F.broadcast(v.channels(s))).select("l", "m", "chan", F.lit(0).alias("corr"), (F.col("stokes_i") * (1 + F.col("chan"))).alias("flux"))
-    return _re_im(imaging.im_to_vis(px, v.main(s, d), v.channels(s)), "row_id", "chan", "corr")
+    return imaging.im_to_vis(px, rows(s, d), v.channels(s)).select("row_id", "chan", "corr", r6("re", "re", 5), r6("im", "im", 5))
 
 
 @query(with_views("main sources channels samples", f", t AS (SELECT source_id AS pixel, s.chan, s.re, s.im, {TAU} / {C} * {PATH} * freq AS p FROM samples s, sources WHERE NOT flag) SELECT pixel, chan, 0 AS corr, round(sum(re * cos(p) - im * sin(p)), 4) + 0e0 AS flux FROM t GROUP BY pixel, chan"))
-def vis_to_im(s, d, sources=v.sources):
+def vis_to_im(s, d):
     cells = v.samples(s, d).select("row_id", "chan", F.lit(0).alias("corr"), "re", "im", "flag")
-    out = imaging.vis_to_im(cells, v.main(s, d), sources(s, d).withColumnRenamed("source_id", "pixel"), v.channels(s))
+    out = imaging.vis_to_im(cells, v.main(s, d), v.sources(s, d).withColumnRenamed("source_id", "pixel"), v.channels(s))
     return out.select("pixel", "chan", "corr", r6("flux", "flux", 4))
 
 
@@ -442,7 +513,11 @@ KERNEL = imaging.hanning_sinc_kernel(WIDTH, oversample=OVER)
 _SCALE = repr(NPIX * CELL / 3600.0 * math.pi / 180.0)
 _PLACED = f""", o AS (SELECT *, u * {_SCALE} / wavelength + {NPIX // 2} AS ou, v * {_SCALE} / wavelength + {NPIX // 2} AS ov FROM samples),
 p AS (SELECT *, CAST(round_even(ou, 0) AS INTEGER) AS du, CAST(round_even(ov, 0) AS INTEGER) AS dv FROM o)"""
-_TAPS = _PLACED + f""", kern AS (SELECT [{", ".join(repr(float(x)) + "::DOUBLE" for x in KERNEL)}] AS k),
+#: The cubic through the published points, by least squares in exact fractions, at 7.
+_ALPHA = "(88463e0 / 17500e0)"
+_TAPS = _PLACED + f""", tap AS (SELECT i, i / {OVER}e0 - 3 AS t FROM range({OVER * (WIDTH + 2)}) r(i)),
+raw AS (SELECT i, CASE WHEN t = 0 THEN 1e0 ELSE sin(pi() * t) / (pi() * t) END * ({_ALPHA} + (1 - {_ALPHA}) * cos(2 * pi() / 8 * t)) AS k FROM tap),
+kern AS (SELECT list(k / total ORDER BY i) AS k FROM raw, (SELECT sum(k) AS total FROM raw)),
 s2 AS (SELECT row_id, chan, band, re, im, CAST(du + a - {WIDTH // 2} AS INTEGER) AS x, CAST(dv + b - {WIDTH // 2} AS INTEGER) AS y,
   k[(a + 1) * {OVER} + CAST(trunc((du - ou) * {OVER}) AS INTEGER) + 1] * k[(b + 1) * {OVER} + CAST(trunc((dv - ov) * {OVER}) AS INTEGER) + 1] AS kv FROM p, kern, range({WIDTH}) r(a), range({WIDTH}) q(b))"""
 
@@ -513,13 +588,24 @@ def find_peak(s, d):
     return imaging.find_peak(v.plane(s, d).withColumn("value", F.round("value", 4)))
 
 
-@query()
+_CLEAN = """, img AS (SELECT list(coalesce(value, 0e0) ORDER BY a, b) AS v FROM (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM range(64) p(a), range(64) q(b)) LEFT JOIN plane ON y = a AND x = b),
+r AS (SELECT 0 AS k, v AS res, list_transform(v, lambda e: 0e0) AS clean, 2e-1 * abs(list_max(v)) AS stop, list_max(v) AS top, 4096 - list_position(list_reverse(v), list_max(v)) AS pk FROM img
+      UNION ALL
+      SELECT k + 1, res, clean, stop, list_max(res), 4096 - list_position(list_reverse(res), list_max(res)) FROM (
+        SELECT k, stop, list_transform(range(4096), lambda i: res[i + 1] - 1e-1 * top * exp(-(pow(i // 64 - pk // 64, 2) + pow(i % 64 - pk % 64, 2)) / 8e0)) AS res,
+               list_transform(range(4096), lambda i: clean[i + 1] + CASE WHEN i = pk THEN 1e-1 * top ELSE 0e0 END) AS clean
+        FROM r WHERE abs(top) > stop AND k <= 192)),
+f AS (SELECT * FROM r ORDER BY k DESC LIMIT 1)
+SELECT CAST(0 AS BIGINT) AS image_id, CAST(i // 64 AS INTEGER) AS y, CAST(i % 64 AS INTEGER) AS x, round(clean[i + 1], 4) + 0e0 AS clean, round(res[i + 1], 4) + 0e0 AS residual FROM f, range(4096) t(i)"""
+
+
+@query(with_views("plane", _CLEAN, True))
 def hogbom_clean(s, d):
     images = v.plane(s, d).select(F.lit(0).alias("image_id"), "y", "x", "value")
     yy, xx = F.col("id") / 128, F.col("id") % 128
     y = F.floor(yy) - 63
     psf = s.range(128 * 128).select(F.floor(yy).cast("int").alias("y"), xx.cast("int").alias("x"), F.exp(-(y * y + (xx - 63) * (xx - 63)) / 8.0).alias("value"))
-    out = imaging.hogbom_clean(images, psf, niter=200)
+    out = imaging.hogbom_clean(images, psf)
     return out.select("image_id", "y", "x", r6("clean", "clean", 4), r6("residual", "residual", 4))
 
 
@@ -540,12 +626,12 @@ def mask_weights(s, d):
 _TRI = [(10.0, 5.0), (50.0, 20.0), (20.0, 60.0)]
 
 
-def _tri_sql() -> str:
-    tests = [f"((x - {a[0]}::DOUBLE) * {n[0]!r}::DOUBLE + (y - {a[1]}::DOUBLE) * {n[1]!r}::DOUBLE > -5e-1)" for a, n in linalg._normals(linalg.convex_hull(_TRI))]
-    return with_views("plane", f"SELECT y, x, x BETWEEN 10 AND 50 AND y BETWEEN 5 AND 60 AS in_box, {' AND '.join(tests)} AS in_hull FROM plane")
+# Inside: left of each side of the triangle, or at most half a pixel off.
+_TRI_SQL = """SELECT y, x, x BETWEEN 10 AND 50 AND y BETWEEN 5 AND 60 AS in_box,
+    (4e1 * (y - 5) - 15e0 * (x - 10)) / sqrt(4e1 * 4e1 + 15e0 * 15e0) > -5e-1 AND (-3e1 * (y - 20) - 4e1 * (x - 50)) / 5e1 > -5e-1 AND (-1e1 * (y - 60) + 55e0 * (x - 20)) / sqrt(1e2 + 55e0 * 55e0) > -5e-1 AS in_hull FROM plane"""
 
 
-@query(_tri_sql())
+@query(with_views("plane", _TRI_SQL))
 def region_contains(s, d):
     x, y = F.col("x"), F.col("y")
     return v.plane(s, d).select("y", "x", linalg.in_box(x, y, linalg.bounding_box(_TRI)).alias("in_box"), linalg.in_hull(x, y, linalg.convex_hull(_TRI)).alias("in_hull"))
@@ -557,29 +643,23 @@ def _points(s, d):
     return v.table(s, d, "part").select(k.alias("i"), F.array((k % 13).cast("double"), F.col("p_size") / 10.0).alias("x"))
 
 
-_POINTS = "pt AS (SELECT p_partkey AS i, CAST(p_partkey % 13 AS DOUBLE) AS a, p_size / 1e1 AS b FROM part), dd AS (SELECT p.i, q.i AS j, sqrt(pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) AS dist FROM pt p, pt q WHERE q.i < 20)"
+def _anchors(s, d):
+    """Points of every supplier."""
+    k = F.col("s_suppkey")
+    return v.table(s, d, "supplier").select(k.alias("i"), F.array((k % 11).cast("double"), F.col("s_nationkey") / 5.0).alias("x"))
+
+
+_POINTS = "pt AS (SELECT p_partkey AS i, CAST(p_partkey % 13 AS DOUBLE) AS a, p_size / 1e1 AS b FROM part), an AS (SELECT s_suppkey AS i, CAST(s_suppkey % 11 AS DOUBLE) AS a, s_nationkey / 5e0 AS b FROM supplier), dd AS (SELECT p.i, q.i AS j, sqrt(pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) AS dist FROM pt p, an q)"
 
 
 @query(f"WITH {_POINTS} SELECT i, j, round(dist, 6) AS distance FROM dd")
 def abs_diff(s, d):
-    out = linalg.covariance(_points(s, d), _points(s, d).filter("i < 20"), 1.5, 2.0)
-    return out.select("i", "j", r6("distance", "distance"))
+    return linalg.covariance(_points(s, d), _anchors(s, d), 1.5, 2.0).select("i", "j", r6("distance", "distance"))
 
 
 @query(f"WITH {_POINTS} SELECT i, j, round(225e-2 * exp(-dist * dist / 8e0), 6) AS value FROM dd")
 def exp_squared(s, d):
-    out = linalg.covariance(_points(s, d), _points(s, d).filter("i < 20"), 1.5, 2.0)
-    return out.select("i", "j", r6("value", "value"))
-
-
-@query()
-def abs_diff_all(s, d):
-    return linalg.covariance(_points(s, d), _points(s, d), 1.5, 2.0).select("i", "j", r6("distance", "distance"))
-
-
-@query()
-def exp_squared_all(s, d):
-    return linalg.covariance(_points(s, d), _points(s, d), 1.5, 2.0).select("i", "j", r6("value", "value"))
+    return linalg.covariance(_points(s, d), _anchors(s, d), 1.5, 2.0).select("i", "j", r6("value", "value"))
 
 
 def _factor(s, n, k):
@@ -594,10 +674,16 @@ def kron_matvec(s, d):
 
 
 _SPLINE = linalg.fit_cubic_spline([0.0, 100.0, 200.0, 350.0, 500.0], [0.0, 3.0, -1.0, 2.0, 5.0])
-_PIECE = "CASE " + " ".join(f"WHEN value >= {row[0]!r} THEN ((({row[1]!r}::DOUBLE * (value - {row[0]!r}) + {row[2]!r}::DOUBLE) * (value - {row[0]!r}) + {row[3]!r}::DOUBLE) * (value - {row[0]!r}) + {row[4]!r}::DOUBLE)" for row in [[float(x) for x in r] for r in _SPLINE][::-1]) + " END"
+# The second derivatives m1, m2, m3 at the inner knots solve, with 0 at both ends,
+#   200/3 m1 + 100/6 m2 = -7/100,  100/6 m1 + 250/3 m2 + 25 m3 = 6/100,  25 m2 + 100 m3 = 0.
+_SPLINE_SQL = """, q AS (SELECT (6e-2 - 1e2 / 6 * (-7e-2) / (2e2 / 3)) / (25e1 / 3 - 25e0 / 4 - pow(1e2 / 6, 2) / (2e2 / 3)) AS m2),
+m AS (SELECT [0e0, (-7e-2 - 1e2 / 6 * m2) / (2e2 / 3), m2, -m2 / 4, 0e0] AS m, [0e0, 1e2, 2e2, 35e1, 5e2] AS x, [0e0, 3e0, -1e0, 2e0, 5e0] AS y FROM q),
+k AS (SELECT row_id, value, m, x, y, CASE WHEN value >= 35e1 THEN 4 WHEN value >= 2e2 THEN 3 WHEN value >= 1e2 THEN 2 ELSE 1 END AS j FROM main, m),
+z AS (SELECT *, x[j + 1] - x[j] AS h, value - x[j] AS t, x[j + 1] - value AS s FROM k)
+SELECT row_id, round((m[j] * pow(s, 3) + m[j + 1] * pow(t, 3)) / (6 * h) + (y[j] / h - m[j] * h / 6) * s + (y[j + 1] / h - m[j + 1] * h / 6) * t, 6) + 0e0 AS value FROM z"""
 
 
-@query(with_views("main", f"SELECT row_id, round({_PIECE}, 6) + 0e0 AS value FROM main"))
+@query(with_views("main", _SPLINE_SQL))
 def spline(s, d):
     return v.main(s, d).select("row_id", r6(linalg.spline_column(F.col("value"), _SPLINE), "value"))
 
@@ -613,15 +699,29 @@ def beam_freq_interp(s, d):
     return predict.frequency_bracket(v.channels(s), _BEAM_FREQS).select("chan", r6("freq_scale", "freq_scale", 9), r6("lower_weight", "lower_weight", 9), "lower")
 
 
-@query()
+_BEAM = """, g AS (SELECT [9e8, 11e8, 13e8, 15e8] AS g), f AS (SELECT row_id, source_id, chan, l, m, time * 1e-6 AS pa, freq, g, CAST(len(list_filter(g, lambda x: x <= freq)) AS INTEGER) - 1 AS lo FROM snapshot, sources, channels, g),
+s AS (SELECT *, CASE WHEN lo < 0 THEN freq / 9e8 WHEN lo >= 3 AND freq <> 15e8 THEN freq / 15e8 ELSE 1e0 END AS sc, CASE WHEN lo < 0 THEN 1e0 WHEN lo >= 3 THEN 0e0 ELSE (g[lo + 2] - freq) / (g[lo + 2] - g[lo + 1]) END AS wl, CASE WHEN lo < 0 THEN 0 WHEN lo >= 3 THEN 2 ELSE lo END AS nu FROM f),
+t AS (SELECT *, least(greatest((l * sc * cos(pa) - m * sc * sin(pa) + 3e-2) / 75e-4, 0e0), 8e0) AS x, least(greatest((l * sc * sin(pa) + m * sc * cos(pa) + 3e-2) / 75e-4, 0e0), 8e0) AS y FROM s),
+c AS (SELECT row_id, source_id, chan, least(floor(x) + i, 8) AS li, least(floor(y) + j, 8) AS mi, nu + k AS ni, CASE WHEN i = 0 THEN 1 - x + floor(x) ELSE x - floor(x) END * CASE WHEN j = 0 THEN 1 - y + floor(y) ELSE y - floor(y) END * CASE WHEN k = 0 THEN wl ELSE 1 - wl END AS wt FROM t, range(2) a(i), range(2) b(j), range(2) e(k)),
+v AS (SELECT c.*, corr, (1 + 5e-1 * corr) * pow(cos(least(65e-9 * (9e8 + 2e8 * ni) * sqrt(pow(li * 75e-4 - 3e-2, 2) + pow(mi * 75e-4 - 3e-2, 2)), 10881e-4)), 3) AS re, 1e-1 * li - 5e-2 * ni AS im FROM c, range(2) q(corr)),
+z AS (SELECT row_id, source_id, chan, CAST(corr AS INTEGER) AS corr, sum(wt * re) AS re, sum(wt * im) AS im, sum(wt * sqrt(re * re + im * im)) AS size FROM v GROUP BY ALL)
+SELECT row_id, source_id, chan, corr, round(re * size / sqrt(re * re + im * im), 6) + 0e0 AS re, round(im * size / sqrt(re * re + im * im), 6) + 0e0 AS im FROM z"""
+
+
+@query(with_views("snapshot sources channels", _BEAM))
 def beam_cube_dde(s, d):
-    beam = fits.synthetic_beam(s, 9, 4, 0.03, _BEAM_FREQS, 2)
+    beam = fits.synthetic_beam(s, 9, 4, 0.03, _BEAM_FREQS, 2).withColumns({"re": F.col("re") * (1.0 + 0.5 * F.col("corr")), "im": 0.1 * F.col("l_idx") - 0.05 * F.col("nu_idx")})
     rows = _crossed(s, d).select(*_CELL, "l", "m", "freq", (F.col("time") * 1e-6).alias("pa"))
     out = predict.beam_cube_dde(rows, beam, ((-0.03, 0.03), (-0.03, 0.03)), (9, 9), _BEAM_FREQS, [*_CELL])
     return _re_im(out, *_CELL, "corr")
 
 
-@query()
+_ZERNIKE = ["1e0", "rho * cos(phi)", "rho * sin(phi)", "2 * rho * rho - 1", "rho * rho * sin(2 * phi)", "rho * rho * cos(2 * phi)"]
+
+
+@query(with_views("snapshot sources channels", """, t AS (SELECT row_id, source_id, chan, antenna1 AS ant, 3e1 * l * (cos(time * 1e-6) - sin(time * 1e-6)) AS a, 3e1 * m * (sin(time * 1e-6) + cos(time * 1e-6)) AS b FROM snapshot, sources, channels),
+p AS (SELECT *, sqrt(a * a + b * b) AS rho, atan2(a, b) AS phi FROM t)
+SELECT row_id, source_id, chan, CAST(corr AS INTEGER) AS corr, round(CASE WHEN rho > 1 THEN 0e0 ELSE """ + " + ".join(f"cos(ant + 8 * chan + 64 * corr + {128 * j}) * ({z})" for j, z in enumerate(_ZERNIKE)) + " END, 6) + 0e0 AS value FROM p, range(2) c(corr)"))
 def zernike_dde(s, d):
     rows = _crossed(s, d).select("row_id", "source_id", F.col("antenna1").alias("ant"), "chan", (F.col("l") * 30.0).alias("l"), (F.col("m") * 30.0).alias("m"), F.lit(1.0).alias("freq_scale"), (F.col("time") * 1e-6).alias("pa"), F.lit(0.0).alias("pe_l"), F.lit(0.0).alias("pe_m"), F.lit(1.0).alias("scale_l"), F.lit(1.0).alias("scale_m"))
     coeffs = s.range(8 * 8 * 2 * 6).select((F.col("id") % 8).cast("int").alias("ant"), (F.floor(F.col("id") / 8) % 8).cast("int").alias("chan"), (F.floor(F.col("id") / 64) % 2).cast("int").alias("corr"), F.floor(F.col("id") / 128).cast("int").alias("noll"), F.cos(F.col("id").cast("double")).alias("coeff"))
@@ -629,11 +729,16 @@ def zernike_dde(s, d):
 
 
 # ------------------------------------------------------ equation language, sources
-@query(with_views("main sources channels", f""", t AS (SELECT row_id, chan, stokes_i * pow(freq / 1e9, -7e-1) AS i, stokes_i * 1e-1 * pow(freq / 1e9, -7e-1) AS q, -{TAU} / {C} * {PATH} * freq AS p FROM main, sources, channels)
-SELECT row_id, chan, round(sum((i + q) * cos(p)), 6) + 0e0 AS xx_re, round(sum((i + q) * sin(p)), 6) + 0e0 AS xx_im, round(sum((i - q) * cos(p)), 6) + 0e0 AS yy_re, round(sum((i - q) * sin(p)), 6) + 0e0 AS yy_im FROM t GROUP BY row_id, chan"""))
-def rime_spec_kb(s, d, sources=v.sources):
+def _spec_kb_sql(rows: str, field: str) -> str:
+    return with_views(f"{rows} {field} channels", f""", t AS (SELECT row_id, chan, stokes_i * pow(freq / 1e9, -7e-1) AS i, stokes_i * 1e-1 * pow(freq / 1e9, -7e-1) AS q, -{TAU} / {C} * {PATH} * freq AS p FROM {rows}, {field}, channels)
+SELECT row_id, chan, round(sum((i + q) * cos(p)), 6) + 0e0 AS xx_re, round(sum((i + q) * sin(p)), 6) + 0e0 AS xx_im, round(sum((i - q) * cos(p)), 6) + 0e0 AS yy_re, round(sum((i - q) * sin(p)), 6) + 0e0 AS yy_im FROM t GROUP BY row_id, chan""")
+
+
+@over_sky(_spec_kb_sql("snapshot", "sky"))
+@query(_spec_kb_sql("main", "sources"))
+def rime_spec_kb(s, d, sources=v.sources, rows=v.main):
     src = sources(s, d).select("l", "m", F.array("stokes_i", F.col("stokes_i") * 0.1).alias("stokes"), F.array(F.lit(-0.7)).alias("spi"), "ref_freq")
-    out = language.rime("(Kpq, Bpq): [I,Q] -> [XX,YY]", v.main(s, d).select("row_id", "u", "v", "w"), src, v.channels(s).select("chan", "freq"))
+    out = language.rime("(Kpq, Bpq): [I,Q] -> [XX,YY]", rows(s, d).select("row_id", "u", "v", "w"), src, v.channels(s).select("chan", "freq"))
     a, b = cplx.entries(F.col("vis"), 2)
     return out.select("row_id", "chan", r6(a.re, "xx_re"), r6(a.im, "xx_im"), r6(b.re, "yy_re"), r6(b.im, "yy_im"))
 
@@ -648,35 +753,6 @@ def wsclean_source(s, d):
     return out.select("name", r6("ra", "ra", 9), r6("dec", "dec", 9), "i", r6(F.col("spectralindex")[0], "alpha"), "referencefrequency")
 
 
-# ---------------------------------------------------------------- the whole sky
-def _over_sky(f: Callable[..., DataFrame]) -> None:
-    """A query without SQL, ``f`` with every part of the catalogue as a source."""
-
-    def run(s, d):
-        return f(s, d, v.sky)
-
-    run.__name__ = f"{f.__name__}_sky"
-    query()(run)
-
-
-for _f in (predict_point, predict_gaussian, wsclean_spectra, wsclean_predict, im_to_vis, vis_to_im, rime_spec_kb, zernike):
-    _over_sky(_f)
-
-
-def _over_cells(f: Callable[..., DataFrame]) -> None:
-    """A query without SQL, ``f`` for every row, source and channel."""
-
-    def run(s, d):
-        return f(s, d, _crossed, _CELL)
-
-    run.__name__ = f"{f.__name__}_cells"
-    query()(run)
-
-
-for _f in (phase_delay_fourier, phase_delay_casa, gaussian_shape, transform_sources, shapelet):
-    _over_cells(_f)
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import cplx, sky, stokes
 from skyfold.functions.cplx import Complex
-from skyfold.operators.predict import _sum, small
+from skyfold.operators.predict import small
 
 STOKES = ("I", "Q", "U", "V")
 LINEAR, CIRCULAR = ("XX", "XY", "YX", "YY"), ("RR", "RL", "LR", "LL")
@@ -107,7 +107,7 @@ class Phase(Term):
 class Brightness(Term):
     """Correlations from Stokes parameters with a power law (column ``spi``)."""
 
-    needs = ("stokes", "freq", "ref_freq")
+    needs = ("stokes", "spi", "freq", "ref_freq")
 
     def columns(self, spec: Spec, antenna: str) -> list[Complex]:
         flux = {}
@@ -211,18 +211,54 @@ class Rime:
         used = [self.terms[n] for n, _ in self.spec.terms]
         needs = {c for t in used for c in t.needs}
         sources = self._resolve(sources, needs & ({"l", "m"} if "l" in needs else set()))
-        cells = main.crossJoin(small(sources))
-        if {"l", "m", "u", "v", "w"} <= set(cells.columns):
-            cells = cells.withColumn("_path", sky.delay(*(F.col(c) for c in ("l", "m", "u", "v", "w"))))
-        cells = self._resolve(cells.crossJoin(F.broadcast(channels)), needs)
+        main = self._derive(main, needs)
+        if {"l", "m"} <= set(sources.columns):
+            sources = sources.withColumn("_n1", sky.n_minus_one(F.col("l"), F.col("m")))
+        lit = sources.crossJoin(small(channels))
+        # A factor that hangs on the source and channel alone, or on the row
+        # alone, is computed there, once, and crossed in as numbers.
+        factors: list[list[Complex] | None] = []
+        for i, ((_, place), term) in enumerate(zip(self.spec.terms, used, strict=True)):
+            antenna = "q" if place == "q" else "p"
+            early = None
+            for side, df in (("lit", lit), ("main", main)):
+                if set(term.needs) <= set(df.columns) and early is None:
+                    early = term.columns(self.spec, antenna)
+                    parts = {f"_f{i}_{k}_{p}": c for k, x in enumerate(early) for p, c in (("re", x.re), ("im", x.im))}
+                    df = df.withColumns(parts)
+                    lit, main = (df, main) if side == "lit" else (lit, df)
+                    early = [Complex(F.col(f"_f{i}_{k}_re"), F.col(f"_f{i}_{k}_im")) for k in range(len(early))]
+            factors.append(early)
+        late = {c for t, f in zip(used, factors, strict=True) if f is None for c in t.needs}
+        if "_n1" in lit.columns and {"u", "v", "w"} <= set(main.columns):
+            late |= {"l", "m", "u", "v", "w", "_n1"}
+        kept = {"row_id", "chan"} | late | {i for t in self.transformers if set(t.outputs) & late for i in t.inputs}
+
+        def needed(df: DataFrame) -> DataFrame:
+            return df.select(*(c for c in df.columns if c in kept or c.startswith("_f")))
+
+        cells = needed(main).crossJoin(small(needed(lit)))
+        if {"l", "m", "u", "v", "w", "_n1"} <= set(cells.columns):
+            cells = cells.withColumn("_path", F.col("l") * F.col("u") + F.col("m") * F.col("v") + F.col("_n1") * F.col("w"))
+        cells = self._resolve(cells, late - {"_n1"})
         product: list[Complex] | None = None
-        for (_, place), term in zip(self.spec.terms, used, strict=True):
-            factor = term.columns(self.spec, "q" if place == "q" else "p")
+        for (_, place), term, early in zip(self.spec.terms, used, factors, strict=True):
+            factor = early if early is not None else term.columns(self.spec, "q" if place == "q" else "p")
             factor = cplx.hermitian(factor) if place == "q" else factor
             product = factor if product is None else cplx.matmul(product, factor)
         n = len(product)
+        values = cells.select("row_id", "chan", *(c.alias(f"_{p}{i}") for i, x in enumerate(product) for p, c in (("re", x.re), ("im", x.im))))
+        sums = values.groupBy("row_id", "chan").agg(*(F.sum(f"_{p}{i}").alias(f"_{p}{i}") for i in range(n) for p in ("re", "im")))
         vis = F.array(*(F.struct(F.col(f"_re{i}").alias("re"), F.col(f"_im{i}").alias("im")) for i in range(n)))
-        return cells.groupBy("row_id", "chan").agg(*_sum(product)).select("row_id", "chan", vis.alias("vis"))
+        return sums.select("row_id", "chan", vis.alias("vis"))
+
+    def _derive(self, df: DataFrame, names: set[str]) -> DataFrame:
+        """``df`` with what transformers can make of it alone."""
+        for _ in self.transformers:
+            for t in self.transformers:
+                if (names - set(df.columns)) & set(t.outputs) and set(t.inputs) <= set(df.columns):
+                    df = t.apply(df)
+        return df
 
 
 def rime(text: str, main: DataFrame, sources: DataFrame, channels: DataFrame, terms: Mapping[str, Term] | None = None, transformers: Sequence[Transformer] | None = None) -> DataFrame:

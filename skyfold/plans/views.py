@@ -46,8 +46,23 @@ def sky(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """The first sources of the sky model; the queries with SQL read these alone."""
-    return sky(spark, d).filter("source_id < 32")
+    """A calibration field: one source for each nation."""
+    k = F.col("n_nationkey")
+    size = 1 + k + F.col("n_regionkey")
+    return table(spark, d, "nation").select(
+        k.cast("long").alias("source_id"), F.when(k % 2 == 0, F.lit("POINT")).otherwise(F.lit("GAUSSIAN")).alias("type"),
+        (0.02 * F.cos(k.cast("double"))).alias("l"), (0.02 * F.sin(1.7 * k)).alias("m"), (0.5 + k / 10.0).alias("stokes_i"), (-0.7 + (size - 25) / 100.0).alias("alpha"),
+        F.lit(1e9).alias("ref_freq"), (size * 1e-5).alias("emaj"), (size * 5e-6).alias("emin"), (size / 50.0).alias("pa"), (size / 1000.0).alias("c2"),
+    )
+
+
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """A short observation: one row for each supplier."""
+    k, b = F.col("s_suppkey"), F.col("s_acctbal")
+    return table(spark, d, "supplier").select(
+        k.alias("row_id"), (600.0 * k).alias("time"), (k % 8).cast("int").alias("antenna1"), (8 + F.col("s_nationkey") % 8).cast("int").alias("antenna2"),
+        (b / 20.0 * F.cos(k.cast("double"))).alias("u"), (b / 20.0 * F.sin(k.cast("double"))).alias("v"), (b / 200.0).alias("w"),
+    )
 
 
 def channels(spark: SparkSession, d: str = "") -> DataFrame:
@@ -55,8 +70,8 @@ def channels(spark: SparkSession, d: str = "") -> DataFrame:
 
 
 def jones(spark: SparkSession, d: str) -> DataFrame:
-    """One complex gain for each of 16 antennas, 30 days and 8 channels."""
-    ant = table(spark, d, "nation").filter("n_nationkey < 16").select(F.col("n_nationkey").cast("int").alias("ant"))
+    """One complex gain for each nation (an antenna), 30 days and 8 channels."""
+    ant = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("ant"))
     t = spark.range(30).select(F.col("id").cast("int").alias("time_idx"))
     c = spark.range(8).select(F.col("id").cast("int").alias("chan"))
     g = F.struct((1.0 + 0.1 * F.cos((F.col("time_idx") + F.col("ant")).cast("double"))).alias("re"), (0.1 * F.sin((F.col("time_idx") * F.col("ant")).cast("double"))).alias("im"))
@@ -94,17 +109,22 @@ SQL = {
         1e-1 * value AS w, 1e0 + value / 1e2 AS weight, 1e-1 + (event_id % 10) / 1e1 AS sigma, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 / 864e2) AS INTEGER) AS time_idx, value FROM events)""",
     "cells": """cells AS (SELECT vec_id AS row_id, CAST(label AS INTEGER) AS label, CAST(c AS INTEGER) AS chan, CAST(p AS INTEGER) AS corr, CAST(embedding[4 * c + 2 * p + 1] AS DOUBLE) AS re,
         CAST(embedding[4 * c + 2 * p + 2] AS DOUBLE) AS im, (vec_id + c) % 7 = 0 AS flag FROM embeddings, range(16) r(c), range(2) q(p))""",
-    "sources": """sources AS (SELECT p_partkey AS source_id, CASE WHEN p_type IN ('ECONOMY', 'PROMO', 'LARGE') THEN 'POINT' ELSE 'GAUSSIAN' END AS type, 2e-2 * cos(p_partkey) AS l, 2e-2 * sin(17e-1 * p_partkey) AS m,
-        p_retailprice / 1e3 AS stokes_i, -7e-1 + (p_size - 25) / 1e2 AS alpha, 1e9 AS ref_freq, p_size * 1e-5 AS emaj, p_size * 5e-6 AS emin, p_size / 5e1 AS pa, p_size / 1e3 AS c2 FROM part WHERE p_partkey < 32)""",
+    "sky": """sky AS (SELECT p_partkey AS source_id, CASE WHEN p_type IN ('ECONOMY', 'PROMO', 'LARGE') THEN 'POINT' ELSE 'GAUSSIAN' END AS type, 2e-2 * cos(p_partkey) AS l, 2e-2 * sin(17e-1 * p_partkey) AS m,
+        p_retailprice / 1e3 AS stokes_i, -7e-1 + (p_size - 25) / 1e2 AS alpha, 1e9 AS ref_freq, p_size * 1e-5 AS emaj, p_size * 5e-6 AS emin, p_size / 5e1 AS pa, p_size / 1e3 AS c2 FROM part)""",
+    "sources": """sources AS (SELECT CAST(n_nationkey AS BIGINT) AS source_id, CASE WHEN n_nationkey % 2 = 0 THEN 'POINT' ELSE 'GAUSSIAN' END AS type, 2e-2 * cos(n_nationkey) AS l, 2e-2 * sin(17e-1 * n_nationkey) AS m,
+        5e-1 + n_nationkey / 1e1 AS stokes_i, -7e-1 + (n_nationkey + n_regionkey - 24) / 1e2 AS alpha, 1e9 AS ref_freq, (1 + n_nationkey + n_regionkey) * 1e-5 AS emaj, (1 + n_nationkey + n_regionkey) * 5e-6 AS emin,
+        (1 + n_nationkey + n_regionkey) / 5e1 AS pa, (1 + n_nationkey + n_regionkey) / 1e3 AS c2 FROM nation)""",
+    "snapshot": """snapshot AS (SELECT s_suppkey AS row_id, 6e2 * s_suppkey AS time, CAST(s_suppkey % 8 AS INTEGER) AS antenna1, CAST(8 + s_nationkey % 8 AS INTEGER) AS antenna2,
+        s_acctbal / 2e1 * cos(s_suppkey) AS u, s_acctbal / 2e1 * sin(s_suppkey) AS v, s_acctbal / 2e2 AS w FROM supplier)""",
     "channels": "channels AS (SELECT CAST(c AS INTEGER) AS chan, 856e6 + 107e6 * c AS freq, 107e6 AS width FROM range(8) r(c))",
     "jones": """jones AS (SELECT CAST(t AS INTEGER) AS time_idx, CAST(n_nationkey AS INTEGER) AS ant, CAST(c AS INTEGER) AS chan, 1e0 + 1e-1 * cos(t + n_nationkey) AS gr, 1e-1 * sin(t * n_nationkey) AS gi
-        FROM nation, range(30) r(t), range(8) q(c) WHERE n_nationkey < 16)""",
+        FROM nation, range(30) r(t), range(8) q(c))""",
     "model_vis": "model_vis AS (SELECT row_id, CAST(c AS INTEGER) AS chan, 1e0 + 1e-2 * (row_id % 10) AS mr, 1e-1 * c AS mi FROM main, range(8) r(c))",
     "data_vis": "data_vis AS (SELECT row_id, CAST(c AS INTEGER) AS chan, flag_row AS flag, value / 1e2 AS dr, 5e-2 * c - 1e-1 AS di FROM main, range(8) r(c))",
     "samples": "samples AS (SELECT row_id, chan, u, v, w, freq, CAST(chan // 4 AS INTEGER) AS band, 299792458e0 / freq AS wavelength, value / 1e2 AS re, 5e-2 * chan - 1e-1 AS im, flag_row AS flag FROM main, channels)",
     "plane": "plane AS (SELECT CAST(l_partkey % 64 AS INTEGER) AS y, CAST(l_suppkey % 64 AS INTEGER) AS x, sum(l_extendedprice) / 1e4 AS value FROM lineitem GROUP BY ALL)",
 }
-_ORDER = ["main", "cells", "sources", "channels", "jones", "model_vis", "data_vis", "samples", "plane"]
+_ORDER = ["main", "cells", "sky", "sources", "snapshot", "channels", "jones", "model_vis", "data_vis", "samples", "plane"]
 
 
 def with_views(names: str, body: str, recursive: bool = False) -> str:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyfold.functions.stokes import TYPE_NAMES
 
@@ -91,8 +92,14 @@ def beam_filenames(schema: str, correlations: Sequence[str | int]) -> dict[str,
 
 def synthetic_beam(spark: SparkSession, n: int, n_freq: int, extent: float, freqs: Sequence[float], correlations: int = 4) -> DataFrame:
     """(l_idx, m_idx, nu_idx, corr, re, im): cos(min(65 nu 1e-9 r, 1.0881))^3 on a square grid."""
-    at = np.linspace(-extent, extent, n)
-    l, m, f = np.meshgrid(at, at, np.asarray(freqs[:n_freq], float), indexing="ij")
-    value = np.cos(np.minimum(65.0 * f * 1e-9 * np.degrees(np.sqrt(l * l + m * m)) * math.pi / 180.0, 1.0881)) ** 3
-    rows = [(i, j, k, c, float(value[i, j, k]), 0.0) for i in range(n) for j in range(n) for k in range(n_freq) for c in range(correlations)]
-    return spark.createDataFrame(rows, "l_idx int, m_idx int, nu_idx int, corr int, re double, im double")
+    i = F.col("id")
+    at = spark.range(n * n * n_freq * correlations).select(
+        F.floor(i / (n * n_freq * correlations)).cast("int").alias("l_idx"),
+        (F.floor(i / (n_freq * correlations)) % n).cast("int").alias("m_idx"),
+        (F.floor(i / correlations) % n_freq).cast("int").alias("nu_idx"),
+        (i % correlations).cast("int").alias("corr"),
+    )
+    l, m = ((F.col(c) * 2.0 / (n - 1) - 1.0) * extent for c in ("l_idx", "m_idx"))
+    freq = F.get(F.array(*(F.lit(float(f)) for f in freqs[:n_freq])), F.col("nu_idx"))
+    across = F.least(freq * 65e-9 * F.sqrt(l * l + m * m), F.lit(1.0881))
+    return at.select("*", F.pow(F.cos(across), F.lit(3.0)).alias("re"), F.lit(0.0).alias("im"))
