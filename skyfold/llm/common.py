@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised hashing takes at a time.
 CHUNK_BYTES = 1 << 20
@@ -28,15 +29,16 @@ CHUNK_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a temporary folder is
-    set as the checkpoint folder and used.
+    Where the session has none, one on a single machine (tests) sets a temporary
+    folder as its checkpoint folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        held = jsc.getCheckpointDir()
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="skyfold-")
             spark.sparkContext.setCheckpointDir(found)
@@ -68,6 +70,23 @@ class Workspace:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_unique(work: Workspace, left: DataFrame, right: DataFrame, on: str, name: str, how: str = "inner", hot_rows: int = 2000) -> DataFrame:
+    """``left`` joined with ``right``, in which ``on`` is unique, for any skew of ``left``.
+
+    Keys that more than ``hot_rows`` rows of ``left`` hold are few (at most rows /
+    ``hot_rows``, and never more than a million): their rows of ``right`` are
+    broadcast, and the rest is shuffled.  ``left`` must be a written table.
+    """
+    counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    ranked = counts.orderBy(F.desc("_n"), on).limit(1_000_000).select(on)
+    hot = work.save(right.join(F.broadcast(ranked), on, "left_semi"), name)
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    often = left.join(F.broadcast(hot), on)
+    seldom = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right, on, how)
+    return often.unionByName(seldom)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer held."""
     gc.collect()

@@ -116,6 +116,43 @@ def test_components_without_a_pair_in_the_star_round(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_one_link_in_a_large_group(spark, seed):
+    """All texts share a passage of 60 words; only two of them link."""
+    rng = np.random.default_rng(seed)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijkl"), 7)) for _ in range(n)]
+    passage = word(60)
+    rows = [(int(i), " ".join(passage + word(int(rng.integers(24, 40))))) for i in rng.permutation(190) + 2]
+    rows += [(0, " ".join(passage + word(6))), (1, " ".join(word(6) + passage))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_components(rows) and (1, 0) in {(d, c) for d, _, c in got}
+
+
+def test_equal_hashes_of_different_sets_are_hashed_anew(spark, monkeypatch):
+    """With a first seed that gives all sets one node the result is still right."""
+    real = jaccard._sets
+
+    def poor(batch, column, n, seed=0, checks=None):
+        for lo, hi, sizes, nodes, keys in real(batch, column, n, seed, checks):
+            yield lo, hi, sizes, nodes if seed else np.where(sizes > 0, np.uint64(7), nodes), keys
+
+    monkeypatch.setattr(jaccard, "_sets", poor)
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l"), (4, None), (None, "g h i j k l")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_components(rows)
+
+
+def test_join_unique_for_any_skew(spark):
+    from skyfold.llm.common import Workspace, join_unique
+
+    work = Workspace(spark, "test-join")
+    left = work.save(spark.createDataFrame([(i, 0 if i % 2 else i) for i in range(60)] + [(99, None)], "i long, k long"), "left")
+    right = spark.createDataFrame([(i, i * i) for i in range(0, 50, 2)], "k long, v long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, "k", how).select("i", "k", "v").collect()), key=repr)
+        assert sorted(map(tuple, join_unique(work, left, right, "k", f"hot-{how}", how, hot_rows=5).select("i", "k", "v").collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pairs_within_components_do_not_fill_a_round(monkeypatch, seed):
     """A fragment that lists no pair has no group left to look at."""
