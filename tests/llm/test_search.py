@@ -330,13 +330,14 @@ def test_warc_frames_and_errors():
 
 
 # ------------------------------------------------------------------------ lattice
-def brute_spell(word, p, stop):
+def brute_spell(word, p):
+    """Sum over all segmentations of a word, with the blank before it."""
     text = b" " + word
     a = [1.0] + [0.0] * len(text)
     for j in range(1, len(text) + 1):
-        for i in range(max(0, j - lattice.LONGEST), j):
+        for i in range(j):
             a[j] += a[i] * p.get(text[i:j], 0.0)
-    return a[-1] * stop
+    return a[-1]
 
 
 def small_pieces():
@@ -344,79 +345,90 @@ def small_pieces():
     keys = np.array([lattice.piece_hash(k) for k in p], np.uint64)
     order = np.argsort(keys)
     names = [list(p)[i] for i in order]
-    return p, names, lattice.Pieces(keys[order], np.log(np.array([p[n] for n in names])), math.log(0.3))
+    begun = np.array([lattice.piece_hash(k[:n]) for k in p for n in range(1, len(k))], np.uint64)
+    return p, names, lattice.Pieces(keys[order], np.log(np.array([p[n] for n in names])), math.log(0.3), begun, 4)
 
 
 def test_spelling_sums_over_segmentations():
     p, names, pieces = small_pieces()
     ws = [b"the", b"there", b"three", b"t", b"ththth"]
-    assert np.exp(lattice.spell(ws, pieces)) == pytest.approx([brute_spell(w, p, 0.3) for w in ws], rel=1e-9)
+    assert np.exp(lattice.spell(ws, pieces)) == pytest.approx([brute_spell(w, p) for w in ws], rel=1e-9)
     expect = np.zeros(len(names))
-    lattice.spell([b"the"], pieces, expect)
+    lattice.spell([b"the", b"e"], pieces, expect, np.array([3, 1]))
     ways = {(b" the",): 0.1, (b" th", b"e"): 0.02, (b" ", b"t", b"h", b"e"): 0.05**3 * 0.1}
-    want = Counter()
+    want = Counter({b" ": 1.0, b"e": 1.0})
     for way, w in ways.items():
         for piece in way:
-            want[piece] += w / sum(ways.values())
+            want[piece] += 3 * w / sum(ways.values())
     assert dict(zip(names, expect, strict=True)) == pytest.approx({n: want.get(n, 0.0) for n in names})
 
 
 def test_first_weights_are_a_distribution():
     pytest.importorskip("public_tokenizers")
     pieces = lattice.load_pieces(None)
-    assert np.exp(pieces.log_p).sum() + math.exp(pieces.log_stop) == pytest.approx(1.0)
+    assert pieces.longest > 16
+    assert np.exp(pieces.log_p).sum() + math.exp(pieces.log_end) == pytest.approx(1.0)
     expect = np.zeros(len(pieces.keys))
     lattice.spell([b"hello", "straße".encode(), b"\xff\xfe"], pieces, expect)
     later = lattice.reweigh(pieces, pieces, expect, 3)
-    assert np.exp(later.log_p).sum() + math.exp(later.log_stop) == pytest.approx(1.0)
+    assert np.exp(later.log_p).sum() + math.exp(later.log_end) == pytest.approx(1.0)
 
 
-def test_lattice_scores(spark):
+def whole_vocabulary(pieces):
+    """The vocabulary's pieces by their bytes, with the weights of ``pieces``."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    at = {k: math.exp(v) for k, v in zip(pieces.keys.tolist(), pieces.log_p.tolist(), strict=True)}
+    names = {bytes([b]) for b in range(256)} | {model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    return {n: at[lattice.piece_hash(n)] for n in names if b" " not in n[1:]}
+
+
+def lattice_rows():
     rng = np.random.default_rng(8)
     vocabulary = [["".join(rng.choice(list("aeioumnr"), 4)) for _ in range(60)], ["".join(rng.choice(list("xyzkvwu"), 4)) for _ in range(60)]]
-    rows = [(i, " ".join(rng.choice(vocabulary[i % 2], 30)).title(), ["p", "q"][i % 2]) for i in range(150)]
-    rows += [(900, None, "p"), (901, "", None), (None, "aeio xyzk", "q"), (902, "never\x0bseen " * 3, "p"), (3, rows[3][1], "q"), (903, "w" * 3000, "p")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.lit(1)).withColumn("batch", F.lit(2)).withColumn("class", F.lit("c"))
-    got = lattice.score(df.repartition(3), fragment_tokens=100).collect()
-    assert len(got) == len(rows)
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 2], 30)).title()) for i in range(60)]
+    return rows + [(900, None), (901, ""), (None, "aeio xyzk"), (902, "never\x0bseen " * 3), (3, rows[3][1]), (903, "w" * 66), (904, "wo " * 5 + "w" * 66)]
+
+
+def test_lattice_scores(spark):
+    """Counts by brute force; every score by a plain sum over all segmentations of the whole text."""
+    pytest.importorskip("public_tokenizers")
+    rows = lattice_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "batch": F.lit(2), "frag": F.lit("c"), "P": F.lit(0)})
     train, tokens = Counter(), {}
     out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    for i, t, _ in rows:
+    for i, t in rows:
         w = [*words(t), None]
         tokens.setdefault(i, w)
         if not out_of(i):
             train.update(w)
     n, v = train.total(), len(train)
-    for r in got:
-        w = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (out_of(r.doc_id), len(w), n)
-        assert r.n_known == sum(train[t] > 0 for t in w)
-        assert r.base_score == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in w), rel=1e-9)
-        assert r.score < 0
-    held = [r for r in got if r.held_out and r.doc_id < 150]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert lattice.score(df.limit(0)).count() == 0
-
-
-def test_seen_words_have_all_paths(spark):
-    """A seen word's probability holds its spellings besides its count, and all sum to one."""
+    p = whole_vocabulary(lattice.load_pieces(None))
+    for settings in ({"steps": 0}, {"steps": 0, "most_frequent": 20, "fragment_tokens": 50}):
+        got = lattice.score(df.repartition(3), **settings).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            w = tokens[r.doc_id]
+            assert (r.held_out, r.n_tokens, r.train_tokens) == (out_of(r.doc_id), len(w), n)
+            assert r.n_known == sum(train[t] > 0 for t in w)
+            assert r.base_score == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in w), rel=1e-9)
+            assert r.score == pytest.approx(sum(math.log10(brute_spell(t.encode(), p)) for t in w[:-1]) + math.log10(0.25), rel=1e-9)
+
+
+def test_lattice_calibrates_on_the_corpus(spark):
+    """Expectation steps raise the likelihood of what they learn from, and of held-out texts of its kind."""
     pytest.importorskip("public_tokenizers")
-    rows = [(i, ["red red green", "green blue"][i % 2]) for i in range(20)]
-    train = Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            train.update([*words(t), None])
-    n, v = train.total(), len(train)
-    pieces = lattice.load_pieces(None)
-    for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=None, steps=0).collect():
-        w = [*words(rows[r.doc_id][1]), None]
-        spelled = np.exp(lattice.spell([b"\n" if x is None else x.encode() for x in w], pieces))
-        own = [(train[x] - 0.75) / n for x in w]
-        everywhere = [o + 0.75 * v / n * s for o, s in zip(own, spelled, strict=True)]
-        assert r.score == pytest.approx(sum(math.log10(o + 0.75 * v / n * e) for o, e in zip(own, everywhere, strict=True)), rel=1e-9)
-    counts = np.array([[5, 0], [2, 1], [0, 0]])
-    p = lattice.word_probabilities(counts, counts.sum(axis=0).astype(float), np.array([2.0, 1.0, 2.0]), np.array([0.2, 0.3, 0.5]))
-    assert p.sum(axis=0) == pytest.approx([1.0, 1.0])
+    df = spark.createDataFrame(lattice_rows(), "doc_id long, text string")
+    totals = []
+    for steps in (0, 1, 3):
+        got = lattice.score(df, steps=steps).collect()
+        totals.append([sum(r.score for r in got if r.held_out == h) for h in (False, True)])
+    assert totals[0][0] < totals[1][0] < totals[2][0] and totals[0][1] < totals[2][1]
+    assert lattice.score(df.limit(0)).count() == 0
+    nothing = lattice.score(df.filter("doc_id = 900").withColumn("doc_id", F.lit(8).cast("long"))).collect()
+    assert len(nothing) == 1
 
 
 def test_free_name(spark):
