@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, pii.DEMO_KEY, count="n_entities")
+    return pii.replace(docs, pii.key_of(spark), count="n_entities")
 
 
 def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
