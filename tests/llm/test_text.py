@@ -84,21 +84,35 @@ def check_packing(rows, texts, tokens):
     return padding
 
 
-@pytest.mark.parametrize("partitions", [1, 3])
-def test_packing(spark, partitions):
+@pytest.mark.parametrize(("partitions", "left_rows"), [(1, 4096), (6, 4096), (6, 1)])
+def test_packing(spark, partitions, left_rows):
     texts = [*ODD, *(f"word{i} " * (i * 37 % 900) for i in range(120))]
     df = frame(spark, texts).repartition(partitions)
-    rows = packing.pack(df, window_rows=40).collect()
+    rows = packing.pack(df, window_rows=40, left_rows=left_rows, step_tokens=4096).collect()
     assert check_packing(rows, {**dict(enumerate(texts)), None: "no id"}, packing.tokens(None)) == 0
     groups = {}
     for w, tier, g in {(r.sequence_id, r.tier, r.step_group) for r in rows}:
-        groups.setdefault((tier, g), []).append(w)
-    assert all(len(ws) * tier <= packing.STEP_TOKENS for (tier, _), ws in groups.items())
+        groups.setdefault((tier, g), set()).add(w)
+    assert len({g for _, g in groups if g}) == len([g for _, g in groups if g])
+    for tier in packing.TIERS:  # groups of a tier are full, and within one window of each other
+        sizes = [len(ws) for (t, _), ws in groups.items() if t == tier]
+        assert not sizes or (max(sizes) - min(sizes) <= 1 and max(sizes) * tier <= 4096)
+    small = [w for (t, _), ws in groups.items() if t not in packing.TIERS for w in ws]
+    assert len(small) <= 8  # one window of each power of two at most, over all tasks
     assert packing.pack(df.limit(0)).count() == 0
     with_ids = packing.pack(frame(spark, ["one two three"]).limit(1), ids=True).first()
     assert zlib.crc32(np.array(with_ids.ids, "<u4").tobytes()) == with_ids.ids_crc32
 
 
+def test_packing_ids_over_code_points():
+    """The pattern that is written out against the file's own, over a spread of all code points."""
+    t = tokenizer("byte_bpe_50k.json")
+    ours = packing.tokens(None)
+    for lo in range(0, 0x30000, 0x400):
+        text = " a".join(chr(c) for c in range(lo, lo + 0x400, 7) if not 0xD800 <= c < 0xE000)
+        assert ours.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_ids_equal_the_library():
     t = tokenizer("byte_bpe_50k.json")
     ours = packing.tokens(None)
