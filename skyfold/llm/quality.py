@@ -1,7 +1,7 @@
 """Operator 4: text quality by nearest-neighbour voting in a latent space.
 
 A text is a bag of token shapes (letter case, digits and punctuation, runs
-collapsed) with terms for repetition.  Inverse document frequencies are counted
+collapsed) and of words, with terms for repetition.  Inverse document frequencies are counted
 over every document.  A bounded sample of labelled rows (``MAX_LABELLED``)
 gives a latent-semantic basis; the sample's unit vectors and labels (at most
 ``MAX_LABELLED`` x ``RANK`` numbers) are broadcast, each block of documents is
@@ -11,7 +11,8 @@ cosines as weights.
 Defined cases: a null or empty text holds one term of its own; a text that is
 near no labelled vector gets the labelled share of label 1, and 0.5 if nothing
 is labelled; labels that are null, or whose document is missing, are not used;
-of several labels of one document the largest counts; a null key is never held
+of several labels of one document the largest counts, of several texts of one
+document that with the least hash; a null key is never held
 out; repeated rows get equal scores; other columns are ignored.
 """
 
@@ -31,7 +32,12 @@ from pyspark.sql import types as T
 
 from skyfold.llm.common import CHUNK_ROWS, kept_by_worker, lean
 
-SLOTS = 4096
+#: Slots of shapes and repetition, and of words, which follow them.
+SHAPE_SLOTS = 4096
+WORD_SLOTS = 4096
+SLOTS = SHAPE_SLOTS + WORD_SLOTS
+#: Weight of a word beside that of a shape.
+WORD_WEIGHT = np.float32(0.5)
 RANK = 32
 NEIGHBOURS = 25
 #: Labelled rows that are learnt from, at most.
@@ -59,7 +65,13 @@ _SHAPES: dict[str, tuple[int, ...]] = kept_by_worker({})
 
 
 def slot(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % SLOTS
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % SHAPE_SLOTS
+
+
+def word_slot(token: str) -> int:
+    """Slot of a token's letters, whatever their case and the marks around them."""
+    word = "".join(c for c in token if c.isalnum()).lower()
+    return SHAPE_SLOTS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS
 
 
 def shapes(token: str) -> list[str]:
@@ -77,17 +89,19 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     for t in tokens:
         s = kept.get(t)
         if s is None:
-            s = kept[t] = tuple(map(slot, shapes(t)))
+            s = kept[t] = (*map(slot, shapes(t)), word_slot(t))
         out += s
     slots, counts = np.unique(np.array(out, dtype=np.int64), return_counts=True)
-    many = len(out)
+    many = len(out) - n  # shapes; each token has one word besides
     again = sum(map(str.__eq__, tokens, tokens[1:])) / n
     # Repetition has terms of its own, by degrees.
     extra = [slot(f"#again {least}") for least in AGAIN if again >= least]
     if extra:
         slots = np.append(slots, extra)
         counts = np.append(counts, [many * max(again, 0.25)] * len(extra))
-    return slots, np.log1p(100.0 * counts / many).astype(np.float32)
+    weights = np.log1p(100.0 * counts / many).astype(np.float32)
+    weights[slots >= SHAPE_SLOTS] *= WORD_WEIGHT
+    return slots, weights
 
 
 def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,16 +123,17 @@ class Model:
     neighbours: int
 
     def latent(self, slots: np.ndarray, weights: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        z = np.add.reduceat(self.basis[slots] * (weights * self.idf[slots])[:, None], firsts)
+        z = np.add.reduceat(self.basis[slots] * (weights * self.idf[slots])[:, None], firsts, dtype=np.float64)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), self.prior)
-        cos = self.latent(*bags(texts)) @ self.vectors.T
+        # In double precision, so that a score does not hang on the rows beside it.
+        cos = self.latent(*bags(texts)).astype(np.float64) @ self.vectors.T.astype(np.float64)
         k = min(self.neighbours, cos.shape[1])
         near = np.argpartition(cos, cos.shape[1] - k, axis=1)[:, -k:]
-        w = np.clip(np.take_along_axis(cos, near, axis=1), 0, 1).astype(np.float64) ** 4
+        w = np.clip(np.take_along_axis(cos, near, axis=1), 0, 1) ** 4
         total = w.sum(axis=1)
         vote = (w * self.labels[near]).sum(axis=1)
         # One neighbour's worth of the labelled share keeps weak votes near it.
@@ -154,17 +169,23 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return n, df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, keep: F.Column, most: int) -> DataFrame:
-    """(label, text) of at most ``most`` labelled rows, chosen by a hash of the key."""
-    some = (
+def labelled_rows(labels: DataFrame, key: str, label: str, keep: F.Column, most: int) -> DataFrame:
+    """(k, y) of at most ``most`` labelled keys, chosen by a hash of the key."""
+    return (
         labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & keep)
         .groupBy(F.col(key).alias("k"))
         .agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64(F.col("k").cast("string")), "k")
         .limit(most)
     )
+
+
+def with_texts(docs: DataFrame, some: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, y, t): the bounded rows ``some`` (k, y) with their texts; of several
+    texts of one key that with the least hash.
+    """
     one = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(some), "k")
-    return one.dropDuplicates(["k"])
+    return one.groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t")).select("k", "t", "y")
 
 
 def basis_of(matrix: np.ndarray, rank: int) -> np.ndarray:
@@ -181,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn from labelled rows outside the held-out fold; see the module's text."""
     n, df = document_frequencies(docs, text)
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32) + np.float32(0.05)
-    sample = labelled_sample(docs, labels, key, text, label, ~held_out(key, folds, fold), most)
+    sample = with_texts(docs, labelled_rows(labels, key, label, ~held_out(key, folds, fold), most), key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

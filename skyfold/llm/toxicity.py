@@ -1,25 +1,30 @@
 """Operator 10: toxicity severity by cumulative-link ordinal regression.
 
 The probability of at least grade k is ``sigmoid(w . x - theta_k)`` with one
-weight vector for all ordered thresholds.  ``x`` holds the damped counts of
-``MAX_TERMS`` words at most; the output is the expected grade.
-
-Grade 0 is an unlabelled-as-toxic row; rows labelled toxic are graded 1 to 3 by
-the thirds of their number of hits on the chosen words.  A word is chosen if
-toxic texts of several families hold it (near copies of one text, told by
-pairs of least word hashes, count once) and clean texts hardly do.  Both the words and the
-weights are learnt from a bounded sample of labelled rows (``MAX_TOXIC`` toxic
-and ``MAX_CLEAN`` clean rows); every row is scored whole.
+weight vector for all ordered thresholds; the output is the expected grade.
+``x`` is sparse: every word of a text and its beginnings of ``HEADS`` letters have a
+slot each (of ``SLOTS``, by a hash), with the damped share of the text's words that
+fall into it, so a longer text is not a graver one.
+
+Grade 0 is a row labelled as not toxic.  Every row labelled toxic has a grade
+from 1 to 3, by the thirds of how densely it is set with words that mark toxic
+texts: the mean, over its words, of the log odds that a naive Bayes model gives
+them.  That model is fitted on the other half of the sample only, so that no
+row grades itself.  Weights and thresholds are learnt from a bounded sample of
+labelled rows (``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean ones, which hold all
+rows where there are fewer); slots that fewer than ``LEAST_ROWS`` of them hold
+carry no weight.  Every row is scored whole.
 
 Defined cases: a null or empty text has no words and gets the severity of an
 empty bag; with no labelled toxic rows every severity is 0; labels that are null
 or have no document are not used; of several labels of one document the largest
-counts; repeated rows get equal values; null keys stay null; other columns are
-ignored.
+counts, of several texts of one document that with the least hash; repeated
+rows get equal values; null keys stay null; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -32,36 +37,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import CHUNK_ROWS, kept_by_worker, lean, mix
-from skyfold.llm.quality import labelled_sample
+from skyfold.llm.common import CHUNK_ROWS, Workspace, kept_by_worker, lean
+from skyfold.llm.quality import held_out, labelled_rows, with_texts
 
 GRADES = 3
 MAX_TOXIC = 4096
 MAX_CLEAN = 8192
-MAX_TERMS = 1024
-#: Families of toxic texts that must hold a word, and its least share of them.
-LEAST_FAMILIES = 3
-LEAST_SHARE = 0.9
-#: Least part of the toxic families, once there are many.
-LEAST_PART = 0.005
-#: Pairs of least word hashes by which near copies are told.
-BANDS = 4
+SLOTS = 1 << 18
+#: Letters of a word's beginnings that have slots of their own.
+HEADS = (5, 6, 7)
+LEAST_ROWS = 5
+PENALTY = 3e-3
+#: Part of the weight of all rows that the toxic ones have in the fit.
+TOXIC_SHARE = 0.4
+#: Words that a text is taken to have at least: the share of one word in three says little.
+LEAST_WORDS = 20
 CACHE_ENTRIES = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def slots_of(word: str) -> list[int]:
+    """Slots of a word and its beginnings."""
+    names = [word, *("^" + word[:n] for n in HEADS if len(word) > n)]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % SLOTS for n in names]
+
+
+def bag(text: str) -> tuple[list[int], list[int], int]:
+    """(slots, counts, words) of a text."""
+    words = Counter(_WORD.findall(text.lower()))
+    found: Counter = Counter()
+    for w, n in words.items():
+        for s in slots_of(w):
+            found[s] += n
+    return list(found), list(found.values()), words.total()
+
+
+def damped(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.log1p(100.0 * counts / np.maximum(words, LEAST_WORDS))
+
+
+_SEEN: dict[str, tuple[int, ...]] = kept_by_worker({})
+_SEEN_FOR: list[bytes] = [b""]
+
+
 @dataclass
 class Model:
-    terms: dict[str, int]
-    weights: np.ndarray
+    weights: np.ndarray  # SLOTS; 0 for slots that are not learnt
     thresholds: np.ndarray  # rising
 
+    def __post_init__(self) -> None:
+        self.mark = hashlib.blake2b(self.weights.tobytes(), digest_size=16).digest()
+
     def eta(self, texts: list[str | None]) -> np.ndarray:
-        return np.array([sum(self.weights[i] * np.log1p(c) for i, c in hits(t or "", self.terms).items()) for t in texts], dtype=np.float64)
+        if _SEEN_FOR[0] != self.mark or len(_SEEN) > CACHE_ENTRIES:  # words of another model
+            _SEEN.clear()
+            _SEEN_FOR[0] = self.mark
+        kept, weights, out = _SEEN, self.weights, np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            words = Counter(_WORD.findall((t or "").lower()))
+            at: list[int] = []
+            times: list[int] = []
+            for w, n in words.items():
+                got = kept.get(w)
+                if got is None:  # only slots that carry weight
+                    got = kept[w] = tuple(s for s in slots_of(w) if weights[s])
+                if got:
+                    at += got
+                    times += [n] * len(got)
+            if at:
+                used, place = np.unique(np.array(at), return_inverse=True)
+                out[i] = weights[used] @ damped(np.bincount(place, weights=times), np.array(words.total()))
+        return out
 
     def severity(self, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(expected grade, probability of at least grade 1)."""
-        if not len(self.terms):
+        if not self.weights.any():
             return np.zeros(len(eta)), np.zeros(len(eta))
         p = sigmoid(eta[:, None] - self.thresholds[None, :])
         return p.sum(axis=1), p[:, 0]
@@ -71,126 +121,121 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-_SEEN: dict[str, tuple[int, ...]] = kept_by_worker({})
-_SEEN_FOR: list[int] = [0]
-
-
-def hits(text: str, terms: dict[str, int]) -> Counter:
-    """How often each chosen word stands in a text."""
-    if _SEEN_FOR[0] != id(terms) or len(_SEEN) > CACHE_ENTRIES:
-        _SEEN.clear()
-        _SEEN_FOR[0] = id(terms)
-    kept, found = _SEEN, Counter()
-    for run in text.split():
-        got = kept.get(run)
-        if got is None:
-            got = kept[run] = tuple(terms[w] for w in _WORD.findall(run.lower()) if w in terms)
-        if got:
-            found.update(got)
-    return found
-
-
-def train(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds that maximise the likelihood (Adam, full batch)."""
-    w = np.zeros(x.shape[1])
+@dataclass
+class Sparse:
+    """A matrix by its entries, ordered by row."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=self.values * w[self.columns], minlength=self.shape[0])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, weights=self.values * g[self.rows], minlength=self.shape[1])
+
+
+def train(x: Sparse, y: np.ndarray, grades: int = GRADES, penalty: float = PENALTY, steps: int = 200, share: float = TOXIC_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds that maximise the likelihood (Adam, full batch);
+    toxic rows have ``share`` of the weight of all.
+    """
+    n = x.shape[1]
+    w = np.zeros(n)
     b = np.array([1.0, *([0.0] * (grades - 1))])  # first threshold, then logs of the gaps
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-    m, v = np.zeros(len(w) + grades), np.zeros(len(w) + grades)
+    weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1.0 - share) / max(1, (y == 0).sum()))
+    m, v = np.zeros(n + grades), np.zeros(n + grades)
+    rows = np.arange(len(y))
     for t in range(1, steps + 1):
         theta = b[0] + np.append(0.0, np.cumsum(np.exp(b[1:])))
-        eta = x @ w
+        eta = x.dot(w)
         up = sigmoid(eta[:, None] - np.append(-np.inf, theta)[None, :])  # P(y >= k), k = 0..
         up[:, 0] = 1.0
         down = np.append(up[:, 1:], np.zeros((len(y), 1)), axis=1)
-        rows = np.arange(len(y))
         p = np.maximum(up[rows, y] - down[rows, y], 1e-12)
         g_up, g_down = up[rows, y] * (1 - up[rows, y]) / p, down[rows, y] * (1 - down[rows, y]) / p
-        g_eta = -(g_up - g_down) * weight
         g_theta = np.zeros(grades)
         np.add.at(g_theta, y[y > 0] - 1, (g_up * weight)[y > 0])
         np.add.at(g_theta, y[y < grades], -(g_down * weight)[y < grades])
         g_b = np.append(g_theta.sum(), [np.exp(b[k]) * g_theta[k:].sum() for k in range(1, grades)])
-        g = np.append(x.T @ g_eta + penalty * w, g_b)
+        g = np.append(x.back(-(g_up - g_down) * weight) + penalty * w, g_b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[: len(w)], b - step[len(w) :]
+        w, b = w - step[:n], b - step[n:]
     return w, b[0] + np.append(0.0, np.cumsum(np.exp(b[1:])))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, y, bands, words): a text's distinct words, and pairs of least word hashes."""
-    lean()
-    seeds = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
-    for batch in batches:
-        words = [sorted(set(_WORD.findall((t or "").lower()))) for t in batch.column(0).to_pylist()]
-        bands = []
-        for ws in words:
-            h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws] or [0], dtype=np.uint64)
-            least = np.array([mix(h ^ s).min() for s in seeds])
-            bands.append(mix(least[::2] ^ mix(least[1::2])).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], names=["k", "y", "bands", "words"])
-
-
-def _families(rows: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
-    """(k, family): texts that share a pair of least hashes, directly or by way of others."""
-    parent = list(range(len(rows)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for b in range(BANDS):
-        first: dict[int, int] = {}
-        for i, (_, bands) in enumerate(rows):
-            parent[find(i)] = find(first.setdefault(bands[b], i))
-    return [(k, find(i)) for i, (k, _) in enumerate(rows)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Choose words and fit the ordinal model on a bounded labelled sample."""
-    per = [labelled_sample(docs, labels.filter(F.col(label) == y), key, text, label, F.lit(True), n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    sample = per[0].unionByName(per[1]).groupBy("k").agg(F.max_by("t", "y").alias("t"), F.max("y").alias("y"))
-    keyed = sample.select("t", "y", F.xxhash64(F.col("k").cast("string")).alias("k"))
-    seen = keyed.mapInArrow(_words, "k long, y int, bands array<long>, words array<string>")
-    # Families are told on the driver, for the bounded sample's toxic rows alone.
-    toxic_rows = sorted((r.k, r.bands) for r in seen.filter("y = 1").select("k", "bands").collect())
-    families = docs.sparkSession.createDataFrame(_families(toxic_rows), "fk long, family int")
-    seen = seen.join(F.broadcast(families), (F.col("k") == F.col("fk")) & (F.col("y") == 1), "left").select("k", "y", "family", F.explode("words").alias("word"))
-    least = max(LEAST_FAMILIES, round(LEAST_PART * len({f for _, f in _families(toxic_rows)})))
-    counts = (
-        seen.groupBy("word")
-        .agg(F.countDistinct("family").alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
-        .filter((F.col("bad") >= least) & (F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good"))))
-        .orderBy(F.desc("bad"), "word")
-        .limit(MAX_TERMS)
-        .collect()
-    )
-    terms = {r.word: i for i, r in enumerate(counts)}
-    if not terms:
-        return Model({}, np.zeros(0), np.arange(1.0, GRADES + 1))
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def grades_of(rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, words: np.ndarray, toxic: np.ndarray, half: np.ndarray, n_columns: int) -> np.ndarray:
+    """0 for other rows, 1 to ``GRADES`` for toxic ones by their density of marking words."""
+    density = np.zeros(len(toxic))
+    for h in (False, True):
+        other, here = half != h, half == h
+        odds = []
+        for group in (toxic & other, ~toxic & other):
+            held = np.bincount(columns[group[rows]], minlength=n_columns)
+            odds.append(np.log((held + 0.5) / (group.sum() + 1.0)))
+        mark = np.maximum(odds[0] - odds[1], 0.0)
+        total = np.bincount(rows, weights=mark[columns] * counts, minlength=len(toxic))
+        density[here] = (total / np.maximum(words, LEAST_WORDS))[here]
+    cuts = np.quantile(density[toxic], np.arange(1, GRADES) / GRADES)
+    return np.where(toxic, 1 + (density[:, None] > cuts[None, :]).sum(axis=1), 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep: F.Column | None = None) -> Model:
+    """The ordinal model of a bounded labelled sample; ``keep`` tells which labels may be learnt from."""
+    nothing = Model(np.zeros(SLOTS), np.arange(1.0, GRADES + 1))
+    use = F.lit(True) if keep is None else keep
+    # The largest label of each document, then the sample of both kinds: one scan of the texts.
+    worst = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & use).groupBy(key).agg(F.max(label).alias(label))
+    some = None
+    for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
+        part = labelled_rows(worst.filter(F.col(label) == y), key, label, F.lit(True), n)
+        some = part if some is None else some.unionByName(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            found = [hits(t or "", shared.value) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([list(h) for h in found], pa.list_(pa.int32())), pa.array([list(h.values()) for h in found], pa.list_(pa.int32()))], names=["k", "y", "terms", "counts"])
-
-    rows = keyed.mapInArrow(run, "k long, y int, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: r.k)
-    x = np.zeros((len(rows), len(terms)), dtype=np.float32)
-    for i, r in enumerate(rows):
-        x[i, r.terms] = np.log1p(r.counts)
-    total = np.array([sum(r.counts) for r in rows])
-    toxic = np.array([r.y == 1 for r in rows])
-    # A row labelled toxic without a chosen word tells nothing about the words.
-    use = ~toxic | (total > 0)
-    x, total, toxic = x[use], total[use], toxic[use]
-    cuts = np.quantile(total[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
-    y = np.where(toxic, 1 + (total > cuts[0]).astype(int) + (total > cuts[1]).astype(int), 0)
-    w, theta = train(x.astype(np.float64), y)
-    return Model(terms, w, theta)
+            for lo in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(lo, CHUNK_ROWS)
+                found = [bag(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([f[2] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["k", "y", "words", "slots", "counts"])
+
+    work = Workspace(docs.sparkSession, "toxicity")
+    texts = with_texts(docs, some, key, text).select(F.xxhash64(F.col("k").cast("string")).alias("k"), "t", "y")
+    sample = work.save(texts.mapInArrow(run, "k long, y int, words long, slots array<int>, counts array<int>"), "sample")
+    seen = sample.select(F.explode("slots").alias("s")).groupBy("s").count().filter(F.col("count") >= LEAST_ROWS).select("s").toArrow()
+    live = np.zeros(SLOTS, dtype=bool)
+    live[seen.column("s").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(live)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, counts = (c.flatten() for c in (batch.column(3), batch.column(4)))
+            use = shared.value[slots.to_numpy()]
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())[use]
+            ends = np.append(0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), c.filter(pa.array(use))) for c in (slots, counts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["k", "y", "words", "slots", "counts"])
+
+    table = sample.mapInArrow(kept, "k long, y int, words long, slots array<int>, counts array<int>").toArrow()
+    work.drop("sample")
+    table = table.sort_by([("k", "ascending")]).combine_chunks()
+    toxic = table.column("y").to_numpy() == 1
+    if not toxic.any() or not live.any():
+        return nothing
+    lists = table.column("slots").combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    slots, counts = lists.flatten().to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    used, columns = np.unique(slots, return_inverse=True)
+    words = table.column("words").to_numpy()
+    half = (table.column("k").to_numpy() & 1).astype(bool)
+    y = grades_of(rows, columns, counts, words, toxic, half, len(used))
+    w, theta = train(Sparse(rows, columns, damped(counts, words[rows]), (len(sizes), len(used))), y)
+    weights = np.zeros(SLOTS)
+    weights[used] = w
+    return Model(weights, theta)
 
 
 def severity_column(docs: DataFrame, model: Model, text: str = "text") -> F.Column:
@@ -209,9 +254,12 @@ def severity_column(docs: DataFrame, model: Model, text: str = "text") -> F.Colu
     return grade(F.col(text))
 
 
-def grade(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = 0.5) -> DataFrame:
-    """(key, severity, toxic_probability, toxic): toxic where the probability of grade 1 or more reaches ``cut``."""
-    model = fit(docs, labels, key, text)
+def grade(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = 0.5, folds: int | None = None) -> DataFrame:
+    """(key, severity, toxic_probability, toxic): toxic where the probability of grade 1 or more reaches ``cut``.
+
+    With ``folds`` the rows whose key's crc32 leaves 0 by it are not learnt from.
+    """
+    model = fit(docs, labels, key, text, keep=None if folds is None else ~held_out(key, folds, 0))
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     out = out.withColumn("g", severity_column(out, model, "t"))
     return out.select(F.col("k").alias(key), "g.severity", "g.toxic_probability", (F.col("g.toxic_probability") >= cut).cast("int").alias("toxic"))

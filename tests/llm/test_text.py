@@ -1,7 +1,9 @@
 """BPE, packing, quality, toxicity and surrogates on small fixtures."""
 
 import hashlib
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -175,22 +177,56 @@ def test_all_of_a_long_token_counts():
     head, tail = "aB1-" * 4, "é?" * 8
     assert quality.shapes(head + tail) == [*quality.shapes(head), *quality.shapes(tail)]
     (one, _), (other, _) = quality.bag(head + tail), quality.bag(head + "x9" * 8)
-    assert len(one) == len(other) == 2 and set(one) != set(other)
+    pieces = [{s for s in x if s < quality.SHAPE_SLOTS} for x in (one, other)]
+    assert len(pieces[0]) == len(pieces[1]) == 2 and pieces[0] != pieces[1]
 
 
 def test_toxicity(spark):
     docs, labels, rows = labelled(spark)
     model = toxicity.fit(docs, labels)
-    assert set(model.terms) == {"scoundrel", "villain"}
     assert (np.diff(model.thresholds) > 0).all()
-    got = {(r.doc_id, r.toxic): r for r in toxicity.grade(docs, labels).collect()}
+    heavy = {w: sum(model.weights[x] for x in toxicity.slots_of(w)) for w in ("scoundrel", "villain")}
+    assert min(heavy.values()) > 0.5
+    got = toxicity.grade(docs, labels).collect()
     truth = {r.doc_id: r.toxic for r in labels.filter("toxic is not null and doc_id is not null").collect()}
-    assert all(truth.get(i, 0) == t for i, t in got if i != 5)
-    few = [r.severity for (i, t), r in got.items() if t and i % 9 < 3]
-    many = [r.severity for (i, t), r in got.items() if t and i % 9 > 6]
+    assert all(truth.get(r.doc_id, 0) == r.toxic for r in got if r.doc_id != 5)
+    few = [r.severity for r in got if r.toxic and r.doc_id % 9 < 3]
+    many = [r.severity for r in got if r.toxic and r.doc_id % 9 > 6]
     assert np.mean(few) < np.mean(many) <= toxicity.GRADES
+    # Every text by brute force from the weights.
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add(t)
+    for r in got:
+        wanted = []
+        for t in texts[r.doc_id]:
+            words = re.findall(r"[^\W\d_]+", (t or "").lower())
+            counts = Counter(s for w in words for s in toxicity.slots_of(w))
+            eta = sum(model.weights[s] * np.log1p(100 * n / max(len(words), 20)) for s, n in counts.items())
+            p = [1 / (1 + np.exp(-(eta - th))) for th in model.thresholds]
+            wanted.append((sum(p), p[0]))
+        assert any((r.severity, r.toxic_probability) == pytest.approx(w, abs=1e-9) for w in wanted)
     assert {r.severity for r in toxicity.grade(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.grade(docs.limit(0), labels).count() == 0
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(model.weights, again.weights)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels, _ = labelled(spark)
+    got = {r.doc_id: r.toxic for r in toxicity.grade(docs, labels, folds=4).collect()}
+    out = [r for r in labels.filter("toxic is not null and doc_id < 240").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 0 and r.doc_id != 5]
+    assert sum(got[r.doc_id] == r.toxic for r in out) >= 0.95 * len(out) > 40
+
+
+def test_grades_do_not_follow_length():
+    """A row's grade comes from the other half's odds and from densities."""
+    words = np.array([100, 1000, 100, 1000, 50, 60, 70, 80] * 3)
+    toxic = np.array([True] * 4 + [False] * 4 + [True] * 4 + [False] * 4 + [True] * 4 + [False] * 4)
+    counts = np.where(toxic, np.array([1, 10, 30, 300, 5, 5, 5, 5] * 3), 1)
+    y = toxicity.grades_of(np.arange(24), np.where(toxic, 0, 1), counts, words, toxic, np.arange(24) % 8 >= 2, 2)
+    assert (y[~toxic] == 0).all() and (y[toxic] > 0).all()
+    assert y[0] == y[1] < y[2] == y[3]
 
 
 def test_ordinal_gradient():
@@ -198,7 +234,8 @@ def test_ordinal_gradient():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((200, 3))
     y = np.clip((x @ [1.5, -1.0, 0.0] + rng.standard_normal(200)).round().astype(int) + 1, 0, 3)
-    w, theta = toxicity.train(x, y, penalty=1e-3, steps=4000)
+    at = np.indices(x.shape)
+    w, theta = toxicity.train(toxicity.Sparse(at[0].ravel(), at[1].ravel(), x.ravel(), x.shape), y, penalty=1e-3, steps=4000, share=0.5)
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
 
     def loss(w, theta):
