@@ -6,24 +6,29 @@ query q gets 0; then |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the largest inner
 products are the nearest vectors of a metric space.
 
 The rows are dealt by a hash of their id into blocks of about ``BLOCK_ROWS``.
-A task builds the M-tree of its block: pages of routing objects with covering
-radius and distance to the parent's routing object, down to leaf pages.  Each
-query walks every block's tree best first, by the least distance a page can
-hold.  An entry whose stored distance to the parent, with the query's own
-distance to it, shows by the triangle inequality that it lies too far is passed
-over without computing its distance.  The blocks' answers are merged.  Queries
-are dealt into groups of ``QUERY_ROWS``, so that no task holds all of them.
+The M-tree of each block is built once and written: pages of routing objects
+with covering radius and distance to the parent's routing object, down to leaf
+pages.  Queries are broadcast in groups of at most ``QUERY_ROWS``; for each group the
+trees are read, nothing is shuffled but the answers.  A query walks the trees
+of a task one after the other, each best first by the least distance a page can
+hold, and takes the best of the trees before along as its bound.  An entry
+whose stored distance to the parent, with the query's own distance to it, shows
+by the triangle inequality that it lies too far is passed over without computing
+its distance.  The tasks' answers are merged.
 
 Defined cases: a vector that is null, empty, or holds null or non-finite
 components, and a row with a null id, take no part; of rows that repeat an id
 the least vector counts; vectors of different lengths are never compared; equal
 scores go by the smaller id; with fewer than k candidates all are returned; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored; vectors so long that a
+score could leave 64 bits are an error.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyfold.llm.common import Workspace
+
 BLOCK_ROWS = 8192
-QUERY_ROWS = 4096
+#: Queries that are broadcast together: at most 16,384 x 64 x 8 bytes for 64 components.
+QUERY_ROWS = 16_384
 LEAF = 128
 FANOUT = 16
 #: Whole numbers up to this are exact in double precision.
@@ -45,12 +53,7 @@ class MTree:
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        wide = self.x.astype(np.float64)
-        self.exact = bool(len(x)) and float(np.abs(wide).max(initial=0.0)) ** 2 * x.shape[1] < EXACT / 4
-        self.wide = wide
-        norms = (wide * wide).sum(axis=1)
-        self.top = float(norms.max(initial=0.0))
-        self.lift = np.sqrt(np.maximum(self.top - norms, 0.0))
+        self._widen()
         self.leaf, self.fanout = leaf, fanout
         # Pages: routing object, covering radius, distance to the parent's
         # routing object, then either children or the rows with their distances.
@@ -58,6 +61,24 @@ class MTree:
         self.computed = 0
         self.root = self._build(np.arange(len(ids)), 0, None) if len(ids) else None
 
+    def _widen(self) -> None:
+        wide = self.x.astype(np.float64)
+        self.exact = bool(len(wide)) and float(np.abs(wide).max(initial=0.0)) ** 2 * wide.shape[1] < EXACT / 4
+        self.wide = wide
+        norms = (wide * wide).sum(axis=1)
+        if norms.max(initial=0.0) >= 2.0**62:
+            raise OverflowError("an inner product of these vectors may leave 64 bits")
+        self.top = float(norms.max(initial=0.0))
+        self.lift = np.sqrt(np.maximum(self.top - norms, 0.0))
+
+    def __getstate__(self) -> dict:
+        """What is written: not what follows from the vectors."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("wide", "lift")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._widen()
+
     def _apart(self, row: int, rows: np.ndarray) -> np.ndarray:
         diff = self.wide[rows] - self.wide[row]
         return np.sqrt((diff * diff).sum(axis=1) + (self.lift[rows] - self.lift[row]) ** 2)
@@ -100,10 +121,12 @@ class MTree:
             return (self.wide[rows] @ wide).astype(np.int64)
         return (self.x[rows] * q).sum(axis=1)
 
-    def search(self, q: np.ndarray, k: int, own: int | None) -> list[tuple[int, int]]:
-        """The k best (score, id), without the id ``own``; ties by smaller id."""
+    def search(self, q: np.ndarray, k: int, own: int | None, known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+        """The k best (score, id) of these rows and the ``known`` ones, without the id
+        ``own``; ties by smaller id.
+        """
         if self.root is None:
-            return []
+            return sorted(known, key=lambda f: (-f[0], f[1]))
         wide = q.astype(np.float64)
         shift = float(wide @ wide) + self.top
         slack = 1e-9 * np.sqrt(shift) + 1e-6
@@ -113,8 +136,9 @@ class MTree:
             scores = self._scores(q, wide, rows)
             return scores, np.sqrt(np.maximum(shift - 2.0 * scores, 0.0))
 
-        best: list[tuple[int, int]] = []  # (score, -id), the worst first
-        reach = np.inf
+        best = [(s, -i) for s, i in known]  # (score, -id), the worst first
+        heapq.heapify(best)
+        reach = np.sqrt(max(shift - 2.0 * best[0][0], 0.0)) if len(best) == k else np.inf
         _, d = far(np.array([self.pages[self.root]["router"]]))
         queue = [(max(float(d[0]) - self.pages[self.root]["radius"], 0.0), self.root, float(d[0]))]
         while queue:
@@ -161,29 +185,56 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, key: str = "vec_
     """(query_id, rank, vec_id, score): for each row whose id is divisible by
     ``every`` the k largest scores of the other rows; see the module's text.
     """
+    work = Workspace(embeddings.sparkSession, "m-tree")
     x = whole_vectors(embeddings, key, vector).withColumn("dim", F.size("x"))
     n = embeddings.count()
-    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-n // (every * query_rows)))
-    rows = x.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = x.filter(F.col("vec_id") % every == 0).withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            dim = left.column("dim")[0].as_py()
-            x, q = (t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim) for t in (left, right))
-            tree = MTree(left.column("vec_id").to_numpy(), x)
-            for i, v in zip(right.column("vec_id").to_pylist(), q, strict=True):
-                out += [(i, s, j) for s, j in tree.search(v, k, i)]
-        a, s, j = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(j, pa.int64()), "score": pa.array(s, pa.int64())})
-
-    by = ("dim", "block", "group")
-    found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
+    blocks = max(1, -(-n // block_rows))
+    dealt = x.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+
+    def plant(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        rows = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+        tree = MTree(table.column("vec_id").to_numpy(), rows)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "block": table.column("block").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    trees = work.save(dealt.groupBy("dim", "block").applyInArrow(plant, "dim int, block int, tree binary"), "trees")
+    asked = x.filter(F.col("vec_id") % every == 0)
+    # The queries have no order that matters: ids are dealt by a hash, and each group is read once.
+    groups = max(1, -(-asked.count() // (query_rows // 2)))
+    asked = work.save(asked.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")), "queries")
+    found = None
+    for g in range(groups):
+        answers = _answers(trees, asked.filter(F.col("group") == g), k)
+        found = answers if found is None else found.unionByName(answers)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _answers(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): per task the best of its trees for each query of a group."""
+    table = asked.select("vec_id", "dim", "x").toArrow()
+    sent: dict[int, tuple[list[int], np.ndarray]] = {}
+    for dim in set(table.column("dim").to_pylist()):
+        part = table.filter(pa.array(table.column("dim").to_numpy() == dim))
+        sent[dim] = part.column("vec_id").to_pylist(), part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    shared = trees.sparkSession.sparkContext.broadcast(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[int, int]]] = {}
+        for batch in batches:
+            for dim, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if dim not in shared.value:
+                    continue
+                tree = pickle.loads(blob.as_buffer())
+                for i, v in zip(*shared.value[dim], strict=True):
+                    best[i] = tree.search(v, k, i, best.get(i, []))
+        rows = [(i, j, s) for i, found in best.items() for s, j in found]
+        i, j, s = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (i, j, s)], names=["query_id", "vec_id", "score"])
+
+    return trees.select("dim", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
 ORACLE_SQL = """
 WITH e AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(1024 AS DOUBLE) * CAST(c AS DOUBLE)) AS BIGINT)) AS x
            FROM embeddings

@@ -6,17 +6,20 @@ into shards of about ``SHARD_ROWS``, each with a neighbour graph of its own, so
 a task's memory never follows the input.
 
 The graph starts from random neighbours.  One iteration joins, in Spark, each
-block of nodes with the rows of its neighbours, forward and reversed; those
-rows bring the neighbours' vectors and neighbours, so the block sees its
-neighbours' neighbours, scores those whose vectors came along, and keeps the
-best ``NEIGHBOURS``.  A node takes at most ``REVERSED`` reversed neighbours in an
-iteration, chosen by a hash that changes with it.  Every iteration's graph is
-written to the shared folder.
-
-A query walks the graph of every shard greedily with a list of ``BEAM`` nodes,
-starting from fixed entry nodes and from its own node if it is indexed; the
-shards' answers are merged.  Scores are double-precision inner products of the
-original vectors.
+block of nodes with the rows of its neighbours, forward and reversed, which bring
+the neighbours' neighbours, and with the vectors of its shard, so that every
+neighbour's neighbour is scored; the best ``NEIGHBOURS`` are kept.  A node takes at
+most ``REVERSED`` reversed neighbours in an iteration, chosen by a hash that changes
+with it.  Every iteration's graph is written to the shared folder.  At the end each
+shard is packed once: vectors, links, ids.
+
+Queries are broadcast in groups of at most ``QUERY_ROWS``; for each group the packed
+shards are read and nothing but answers is shuffled.  A query walks the graph of
+every shard greedily with a list of ``BEAM`` nodes, starting from fixed entry nodes
+and from its own node if it is indexed; the shards' answers are merged.  Scores
+are double-precision inner products of the original vectors.  The search is
+approximate by nature: ``BEAM``, ``REVERSED`` and ``ITERATIONS`` trade recall for work,
+and the recall is measured against brute force.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite
 components, and a row with a null id, take no part; of rows that repeat an id
@@ -27,17 +30,20 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyfold.llm.common import Workspace
+from skyfold.llm.common import Workspace, pack, unpack
 
 SHARD_ROWS = 12_288
 BLOCK_ROWS = 4096
-QUERY_ROWS = 2048
+#: Queries that are broadcast together, half of it on average.
+QUERY_ROWS = 16_384
 NEIGHBOURS = 16
 REVERSED = 16
 ITERATIONS = 6
@@ -161,7 +167,7 @@ def _around(graph: DataFrame, reversed_: int, iteration: int) -> DataFrame:
 
 
 def build(points: DataFrame, n: int, k: int = NEIGHBOURS, reversed_: int = REVERSED, iterations: int = ITERATIONS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Neighbour graph of every shard (schema ``GRAPH``) over the rows of :func:`nodes`."""
+    """(shard, dim, payload): the packed graph of every shard over the rows of :func:`nodes`."""
     work = Workspace(points.sparkSession, "nn-descent")
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-min(n, shard_rows) // block_rows))
@@ -170,15 +176,33 @@ def build(points: DataFrame, n: int, k: int = NEIGHBOURS, reversed_: int = REVER
     for i in range(iterations):
         around = work.save(_around(graph, reversed_, i).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int")), f"around-{i}")
         need = around.select("shard", "dim", "block", F.explode("around").alias("u")).distinct()
-        rows = graph.select("shard", "dim", F.col("node").alias("u"), F.col("v").alias("vec"), F.col("near").alias("next"))
-        fetched = need.join(rows, ["shard", "dim", "u"])
+        rows = graph.select(F.col("shard").alias("shard"), F.col("dim").alias("dim"), F.col("node").alias("u"), F.col("v").alias("vec"), F.col("near").alias("next"))
+        # Each block gets all vectors of its shard, and the links of its nodes' neighbours.
+        every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        links = every.join(need.withColumn("asked", F.lit(True)), ["shard", "dim", "block", "u"], "left")
+        fetched = links.withColumn("next", F.when(F.col("asked"), F.col("next")).otherwise(F.array().cast("array<long>"))).drop("asked")
+        fetched = fetched.select(*(F.col(c).alias(c) for c in ("shard", "dim", "block", "u", "vec", "next")))
         own = graph.join(around, ["shard", "dim", "node"], "left").withColumn("around", F.coalesce("around", F.array().cast("array<long>"))).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int"))
         by = ("shard", "dim", "block")
         graph = work.save(own.groupBy(*by).cogroup(fetched.groupBy(*by)).applyInArrow(_improve(k), GRAPH), f"graph-{i + 1}")
         work.drop(f"graph-{i}")
         work.drop(f"around-{i}")
     final = graph.join(_around(graph, reversed_, iterations), ["shard", "dim", "node"], "left")
-    return work.save(final.withColumn("around", F.coalesce("around", F.array().cast("array<long>"))), "final")
+    final = final.withColumn("around", F.coalesce("around", F.array().cast("array<long>")))
+    index = work.save(final.groupBy("shard", "dim").applyInArrow(_packed, "shard int, dim int, payload binary"), "index")
+    work.drop(f"graph-{iterations}")
+    return index
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A shard as one row: nodes in order, vectors, places of the neighbours, ids of each node."""
+    table = table.take(pa.array(np.argsort(table.column("node").to_numpy(), kind="stable")))
+    dim = table.column("dim")[0].as_py()
+    ids = table.column("node").to_numpy().astype("<i8")
+    around = _places(ids, _padded(*_lists(table.column("around")))).astype("<i4")
+    rows, edges = _lists(table.column("ids"))
+    blob = pack(np.array([dim, around.shape[1]], "<i8"), ids, _matrix(table.column("v"), dim).astype("<f8").ravel(), around.ravel(), rows.astype("<i8"), edges.astype("<i8"))
+    return pa.table({"shard": table.column("shard").slice(0, 1), "dim": table.column("dim").slice(0, 1), "payload": pa.array([blob], pa.binary())})
 
 
 def greedy(x: np.ndarray, around: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,49 +225,54 @@ def greedy(x: np.ndarray, around: np.ndarray, q: np.ndarray, start: np.ndarray,
         ids, scores, open_ = np.append(ids, new), np.append(scores, x[new] @ q), np.append(open_, np.ones(len(new), dtype=bool))
 
 
-def search(graph: DataFrame, queries: DataFrame, n_queries: int, k: int = 20, beam: int = BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of ``queries`` (query_id, v)."""
-    groups = max(1, -(-n_queries // query_rows))
-    shards = graph.select(F.col("shard").alias("shard"), F.col("dim").alias("dim")).distinct()
-    rows = graph.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = queries.select("query_id", "v", F.size("v").alias("dim")).withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    asked = asked.join(shards, "dim")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if left.num_rows and right.num_rows:
-            left = left.take(pa.array(np.argsort(left.column("node").to_numpy(), kind="stable")))
-            dim = left.column("dim")[0].as_py()
-            ids = left.column("node").to_numpy()
-            x, q = _matrix(left.column("v"), dim), _matrix(right.column("v"), dim)
-            around = _places(ids, _padded(*_lists(left.column("around"))))
-            rows, edges = _lists(left.column("ids"))
-            entries = np.linspace(0, len(ids) - 1, min(ENTRIES, len(ids))).astype(np.int64)
-            where = {v.tobytes(): i for i, v in enumerate(x)}
-            seen = np.zeros(len(ids), dtype=bool)
-            for i, v in zip(right.column("query_id").to_pylist(), q, strict=True):
-                own = where.get((v + 0.0).tobytes())
-                places, scores = greedy(x, around, v, entries if own is None else np.append(entries, own), max(beam, k + 1), seen)
-                order = np.lexsort((ids[places], -scores))[: k + 1]
-                found = [(j, s) for p, s in zip(places[order].tolist(), scores[order].tolist(), strict=True) for j in rows[edges[p] : edges[p + 1]].tolist() if j != i]
-                found.sort(key=lambda f: (-f[1], f[0]))
-                out += [(i, j, s) for j, s in found[:k]]
-        a, j, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(j, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    by = ("shard", "dim", "group")
-    found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", **settings) -> DataFrame:
+def search(index: DataFrame, asked: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
+    """(query_id, vec_id, score): answers of every task's shards to a bounded group of queries (query_id, v, dim)."""
+    table = asked.select("query_id", "dim", "v").toArrow()
+    sent: dict[int, tuple[list[int], np.ndarray]] = {}
+    for dim in set(table.column("dim").to_pylist()):
+        part = table.filter(pa.array(table.column("dim").to_numpy() == dim))
+        sent[dim] = part.column("query_id").to_pylist(), _matrix(part.column("v"), dim)
+    shared = index.sparkSession.sparkContext.broadcast(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                head, ids, x, around, rows, edges = unpack(blob.as_buffer(), "<i8", "<i8", "<f8", "<i4", "<i8", "<i8")
+                dim, width = head.tolist()
+                if dim not in shared.value:
+                    continue
+                x, around = x.reshape(-1, dim), around.reshape(-1, width)
+                entries = np.linspace(0, len(ids) - 1, min(ENTRIES, len(ids))).astype(np.int64)
+                where = {v.tobytes(): i for i, v in enumerate(x)}
+                seen = np.zeros(len(ids), dtype=bool)
+                out: list[tuple[int, int, float]] = []
+                for i, v in zip(*shared.value[dim], strict=True):
+                    own = where.get((v + 0.0).tobytes())
+                    places, scores = greedy(x, around, v, entries if own is None else np.append(entries, own), max(beam, k + 1), seen)
+                    order = np.lexsort((ids[places], -scores))[: k + 1]
+                    found = [(j, s) for p, s in zip(places[order].tolist(), scores[order].tolist(), strict=True) for j in rows[edges[p] : edges[p + 1]].tolist() if j != i]
+                    found.sort(key=lambda f: (-f[1], f[0]))
+                    out += [(i, j, s) for j, s in found[:k]]
+                i, j, s = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return index.select("payload").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", beam: int = BEAM, query_rows: int = QUERY_ROWS, **settings) -> DataFrame:
     """Index every row, then search for the rows whose id is divisible by ``every``."""
     work = Workspace(embeddings.sparkSession, "neighbours")
     points = work.save(nodes(embeddings, key, vector, k), "nodes")
-    n = points.count()
-    graph = build(points, n, **settings)
+    index = build(points, points.count(), **settings)
+    work.drop("nodes")
     v = F.transform(F.col("v"), lambda c: c.cast("double"))
     asked = embeddings.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("v")).filter(F.col("query_id") % every == 0).filter("v is not null and size(v) > 0")
     asked = asked.select("query_id", v.alias("v")).filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)).groupBy("query_id").agg(F.min(F.transform("v", lambda c: c + F.lit(0.0))).alias("v"))
-    return search(graph, asked, -(-n // every), k)
+    asked = work.save(asked.withColumn("dim", F.size("v")), "queries")
+    groups = max(1, -(-asked.count() // (query_rows // 2)))
+    found = None
+    for g in range(groups):
+        answers = search(index, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g), k, beam)
+        found = answers if found is None else found.unionByName(answers)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 """Jaccard join, M-tree, NN-descent, WARC and lattice against brute force."""
 
 import math
+import pickle
 import re
 import struct
 import zlib
@@ -248,6 +249,11 @@ def test_mtree_passes_over_far_pages():
         assert tree.search(x[q], 10, None) == [(-a, i) for a, i in want[:10]]
         assert tree.computed < 2500
     assert mtree.MTree(np.zeros(0, np.int64), np.zeros((0, 4), np.int64)).search(x[0], 3, None) == []
+    again = pickle.loads(pickle.dumps(tree))
+    first = again.search(x[5], 10, 5, [(10**13, 9000)])
+    assert first[0] == (10**13, 9000) and first[1:] == tree.search(x[5], 9, 5)
+    with pytest.raises(OverflowError):
+        mtree.MTree(np.arange(2), np.full((2, 4), 1 << 31))
 
 
 def test_few_candidates(spark):
@@ -258,7 +264,9 @@ def test_few_candidates(spark):
     assert mtree.top_k(df.limit(0)).count() == 0 and nndescent.neighbours(df.limit(0), iterations=1).count() == 0
 
 
-def test_nn_descent_recall_and_ties(spark):
+@pytest.mark.parametrize("settings", [{"shard_rows": 500, "block_rows": 200, "query_rows": 20}, {"shard_rows": 60, "block_rows": 30}])
+def test_nn_descent_recall_and_ties(spark, settings):
+    """A few shards, and many."""
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1200, 24))
     x[300:700] = x[300]
@@ -266,7 +274,7 @@ def test_nn_descent_recall_and_ties(spark):
     df = vector_frame(spark, x, ids)
     hit = total = 0
     found = {}
-    for r in nndescent.neighbours(df, shard_rows=500, block_rows=200, iterations=4).collect():
+    for r in nndescent.neighbours(df, iterations=4, **settings).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(found) == set(range(0, 1200, 20))
     for q, rows in found.items():
