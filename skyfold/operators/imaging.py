@@ -7,6 +7,7 @@ what is shuffled to the grid's size for each task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import cplx, sky
 from skyfold.operators import dense
-from skyfold.operators.predict import is_small, small
+from skyfold.operators.predict import small
 
 DEG = math.pi / 180.0
 
@@ -211,17 +212,63 @@ def grid(samples: DataFrame, npix: int, cell_arcsec: float, kernel: np.ndarray |
     return out
 
 
+#: Numbers of a grid that is broadcast for degridding: 64 MB.
+GRID_NUMBERS = 8_000_000
+
+
 def degrid(samples: DataFrame, plane: DataFrame, npix: int, cell_arcsec: float, kernel: np.ndarray, width: int = 7, oversample: int = 5) -> DataFrame:
     """(row_id, chan, re, im): grid values gathered by the kernel, over its sum + 1e-8.
 
     ``samples``: row_id, chan, band, u, v, wavelength; ``plane``: band, y, x, re, im.
+    A grid of at most ``GRID_NUMBERS`` is broadcast and gathered from where the
+    samples are; a larger one is joined to the samples' taps.
     """
+    bands = [r.band for r in plane.select("band").distinct().limit(GRID_NUMBERS // (2 * npix * npix) + 1).collect()]
+    if len(bands) * 2 * npix * npix <= GRID_NUMBERS:
+        return _gathered(samples, plane, sorted(bands), npix, cell_arcsec, kernel, width, oversample)
     s = _taps(samples, npix, cell_arcsec, kernel, width, oversample)
     hit = s.drop("re", "im").join(plane, ["band", "y", "x"], "left")
     total = F.sum("kernel") + 1e-8
     return hit.groupBy("row_id", "chan").agg(*((F.sum(F.col("kernel") * F.coalesce(F.col(c), F.lit(0.0))) / total).alias(c) for c in ("re", "im")))
 
 
+def _gathered(samples: DataFrame, plane: DataFrame, bands: list[int], npix: int, cell_arcsec: float, kernel: np.ndarray, width: int, oversample: int) -> DataFrame:
+    found = plane.select("band", "y", "x", "re", "im").filter(_inside(npix)).toArrow()
+    # A rim of zeros takes the taps that lie outside.
+    rim = width
+    grid = np.zeros((len(bands), npix + 2 * rim, npix + 2 * rim), dtype=np.complex128)
+    at = {b: i for i, b in enumerate(bands)}
+    y, x = (found.column(c).to_numpy().astype(np.int64) + rim for c in ("y", "x"))
+    grid[np.array([at[b] for b in found.column("band").to_pylist()], dtype=np.int64), y, x] = found.column("re").to_numpy() + 1j * found.column("im").to_numpy()
+    shared = samples.sparkSession.sparkContext.broadcast((grid, at, np.asarray(kernel, dtype=float)))
+    placed = _placed(samples, npix, cell_arcsec)
+    some = placed.select("row_id", F.col("chan").cast("int").alias("chan"), F.col("band").cast("int").alias("band"), *(F.col(c).cast("double").alias(c) for c in ("_u", "_v")), "_du", "_dv")
+    key = samples.schema["row_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, at, k = shared.value
+        t = np.arange(width)
+        for batch in batches:
+            n = batch.num_rows
+            u, v, du, dv = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_u", "_v", "_du", "_dv"))
+            weights, places = [], []
+            for exact, near in ((u, du), (v, dv)):
+                part = np.trunc((near - exact) * oversample).astype(np.int64)
+                weights.append(k[(t + 1)[None, :] * oversample + part[:, None]])
+                cells = near.astype(np.int64)[:, None] + t - width // 2
+                places.append(np.where((cells >= 0) & (cells < npix), cells + rim, 0))
+            band = np.array([at.get(b, -1) for b in batch.column("band").to_pylist()], dtype=np.int64)
+            value = np.zeros(n, dtype=np.complex128)
+            total = weights[0].sum(axis=1) * weights[1].sum(axis=1) + 1e-8
+            for j in range(width):
+                for i in range(width):
+                    value += weights[0][:, i] * weights[1][:, j] * grid[band, places[1][:, j], places[0][:, i]]
+            value = np.where(band >= 0, value, 0.0) / total
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("chan"), pa.array(value.real.copy()), pa.array(value.imag.copy())], names=["row_id", "chan", "re", "im"])
+
+    return some.mapInArrow(run, f"row_id {key}, chan int, re double, im double")
+
+
 def rotate_uvw(u: Column, v: Column, w: Column, ra: float, dec: float, ra0: float, dec0: float) -> tuple[Column, Column, Column]:
     """Baseline coordinates turned to another phase centre."""
     d = ra - ra0
@@ -330,6 +377,40 @@ def gaussian_2d(shape: tuple[int, int], centre: tuple[float, float], sigma: tupl
     return amplitude * np.exp(-0.5 * ((a / sigma[0]) ** 2 + (b / sigma[1]) ** 2))
 
 
+def convolve(images: DataFrame, ny: int, nx: int, sigma: tuple[float, float], angle: float) -> DataFrame:
+    """(image_id, y, x, value): images (absent pixels are 0) convolved with a Gaussian of
+    height 1, by padded transforms.  An image is one plane, so its size bounds a task.
+    """
+    lobe = np.fft.ifftshift(gaussian_2d((2 * ny, 2 * nx), (ny, nx), sigma, angle))
+    turned = np.fft.rfft2(lobe)
+
+    def run(table: pa.Table) -> pa.Table:
+        whole = np.zeros((2 * ny, 2 * nx))
+        whole[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("value").to_numpy()
+        out = np.fft.irfft2(np.fft.rfft2(whole) * turned, s=whole.shape)[:ny, :nx]
+        y, x = np.indices(out.shape)
+        return pa.table({"image_id": pa.array([table.column("image_id")[0].as_py()] * out.size, pa.int64()), "y": pa.array(y.ravel(), pa.int32()), "x": pa.array(x.ravel(), pa.int32()), "value": out.ravel()})
+
+    some = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("value").cast("double").alias("value"))
+    return some.groupBy("image_id").applyInArrow(run, "image_id long, y int, x int, value double")
+
+
+def above_threshold(images: DataFrame, times_rms: float | None = None, dynamic_range: float | None = None, residual_: DataFrame | None = None) -> DataFrame:
+    """Pixels (image_id, y, x, value) whose least value over the images is above a bound.
+
+    The bound is ``times_rms`` times the standard deviation of ``residual_`` (of the
+    images themselves without one), else the largest value over ``dynamic_range``.
+    """
+    if (times_rms is None) == (dynamic_range is None):
+        raise ValueError("either a multiple of the rms or a dynamic range is given")
+    if times_rms is not None:
+        bound = (images if residual_ is None else residual_).agg((F.stddev_pop("value") * times_rms).alias("_bound"))
+    else:
+        bound = images.agg((F.max("value") / dynamic_range).alias("_bound"))
+    lit = images.groupBy("y", "x").agg(F.min("value").alias("_least")).crossJoin(F.broadcast(bound)).filter("_least > _bound").select("y", "x")
+    return images.join(lit, ["y", "x"]).select("image_id", "y", "x", "value")
+
+
 def fit_psf(psf: np.ndarray) -> tuple[tuple[float, float], float]:
     """(sigmas, angle) of the main lobe, from second moments above half its height."""
     cy, cx = np.unravel_index(int(psf.argmax()), psf.shape)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.functions import cplx, sky, stokes
-from skyfold.operators import averaging, calibration, imaging, linalg, predict
+from skyfold.operators import averaging, calibration, imaging, linalg, predict, wstack
+from skyfold.operators.lineage import checkpoint_folder
 from skyfold.plans import rime as language
 from skyfold.plans import views as v
 from skyfold.plans.views import with_views
-from skyfold.sources import fits, wsclean
+from skyfold.sources import fits, measurement, skymodel, wsclean
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -753,6 +755,298 @@ def wsclean_source(s, d):
     return out.select("name", r6("ra", "ra", 9), r6("dec", "dec", 9), "i", r6(F.col("spectralindex")[0], "alpha"), "referencefrequency")
 
 
+# ------------------------------------------------- two by two, rotations, facets
+Expr = tuple[str, str]  # real and imaginary part in SQL
+
+
+def _mul(a: Expr, b: Expr) -> Expr:
+    return f"({a[0]} * {b[0]} - {a[1]} * {b[1]})", f"({a[0]} * {b[1]} + {a[1]} * {b[0]})"
+
+
+def _matrix(a: list[Expr], b: list[Expr]) -> list[Expr]:
+    """Product of 2 x 2 matrices of SQL expressions."""
+    add = lambda x, y: (f"({x[0]} + {y[0]})", f"({x[1]} + {y[1]})")
+    return [add(_mul(a[2 * i], b[j]), _mul(a[2 * i + 1], b[2 + j])) for i in (0, 1) for j in (0, 1)]
+
+
+def _turned(a: list[Expr]) -> list[Expr]:
+    """Conjugate transpose."""
+    return [(a[i][0], f"(-{a[i][1]})") for i in (0, 2, 1, 3)]
+
+
+def _named(stem: str) -> list[Expr]:
+    return [(f"{stem}r{i}", f"{stem}i{i}") for i in range(4)]
+
+
+def _columns(values: list[Expr], stem: str, wrap: str = "{}") -> str:
+    return ", ".join(f"{wrap.format(e)} AS {stem}{p}{i}" for i, x in enumerate(values) for p, e in zip("ri", x, strict=True))
+
+
+def _gain4(stem: str, t: str, ant: str, chan: str) -> list[Expr]:
+    """Entries of the test gains: close to one on the diagonal, small beside it."""
+    return [(f"(1e0 + 1e-1 * cos({t} + {ant}))", f"(1e-1 * sin({t} * {ant}))"), (f"(1e-2 * {chan})", "2e-2"), ("-3e-2", f"(1e-2 * cos({ant}))"), (f"(9e-1 + 1e-1 * sin({t}))", f"(5e-2 * cos({chan}))")]
+
+
+def _jones4(s, d):
+    t, a, c = (F.col(x).cast("double") for x in ("time_idx", "ant", "chan"))
+    g = [(1.0 + 0.1 * F.cos(t + a), 0.1 * F.sin(t * a)), (0.01 * c, F.lit(0.02)), (F.lit(-0.03), 0.01 * F.cos(a)), (0.9 + 0.1 * F.sin(t), 0.05 * F.cos(c))]
+    return v.jones(s, d).select("time_idx", "ant", "chan", "dir", F.array(*(F.struct(re.alias("re"), im.alias("im")) for re, im in g)).alias("g"))
+
+
+def _model4(rows, *extra):
+    """2 x 2 visibilities of each row and channel, scaled by 1 + ``extra``."""
+    k = 1.0 + sum((F.col(e) for e in extra), F.lit(0.0))
+    r, c = (F.col(x).cast("double") for x in ("row_id", "chan"))
+    x = [(1.0 + 0.01 * (r % 10), 0.1 * c), (0.2 + 0.0 * c, -0.1 * c), (0.1 * (r % 3), F.lit(0.3)), (F.lit(0.8), 0.05 * (r % 4))]
+    return rows.withColumn("vis", F.array(*(F.struct((re * k).alias("re"), (im * k).alias("im")) for re, im in x)))
+
+
+_CELLS4 = ", base AS (SELECT row_id, CAST(c AS INTEGER) AS chan, time_idx, antenna1, antenna2 FROM main, range(8) q(c))"
+
+
+def _vis4(k: str = "1e0") -> list[Expr]:
+    return [(f"({k} * (1e0 + 1e-2 * (row_id % 10)))", f"({k} * 1e-1 * chan)"), (f"({k} * 2e-1)", f"({k} * -1e-1 * chan)"), (f"({k} * 1e-1 * (row_id % 3))", f"({k} * 3e-1)"), (f"({k} * 8e-1)", f"({k} * 5e-2 * (row_id % 4))")]
+
+
+def _out4(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *(c for i, x in enumerate(cplx.entries(F.col("vis"), 4)) for c in (r6(x.re, f"re{i}"), r6(x.im, f"im{i}"))))
+
+
+def _select4(stem: str, keys: str = "row_id, chan") -> str:
+    return f"SELECT {keys}, " + ", ".join(f"round({stem}{p}{i}, 6) + 0e0 AS {q}{i}" for i in range(4) for p, q in (("r", "re"), ("i", "im")))
+
+
+def _rows4(s, d):
+    return v.main(s, d).select("row_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan"))
+
+
+_CORRUPT4 = _CELLS4 + f", l AS (SELECT *, {_columns(_matrix(_gain4('p', 'time_idx', 'antenna1', 'chan'), _vis4()), 'a')} FROM base), z AS (SELECT *, {_columns(_matrix(_named('a'), _turned(_gain4('q', 'time_idx', 'antenna2', 'chan'))), 'b')} FROM l) "
+
+
+@query(with_views("main", _CORRUPT4 + _select4("b") + " FROM z"))
+def corrupt_vis_full(s, d):
+    return _out4(calibration.corrupt_vis(v.main(s, d), _jones4(s, d), _model4(_rows4(s, d).withColumn("dir", F.lit(0))), 4), "row_id", "chan")
+
+
+_INVERSE = [_named("g")[3], tuple(f"(-{x})" for x in _named("g")[1]), tuple(f"(-{x})" for x in _named("g")[2]), _named("g")[0]]
+
+
+def _inverse_sql(name: str, source: str, ant: str) -> str:
+    """Rows of ``source`` with the inverse gain of one antenna as ``{name}..``."""
+    det = [f"({_mul(_named('g')[0], _named('g')[3])[k]} - {_mul(_named('g')[1], _named('g')[2])[k]})" for k in (0, 1)]
+    over = [_mul(x, ("(dr / (dr * dr + di * di))", "(-di / (dr * dr + di * di))")) for x in _INVERSE]
+    return f"(SELECT * EXCLUDE (gr0, gi0, gr1, gi1, gr2, gi2, gr3, gi3, dr, di), {_columns(over, name)} FROM (SELECT *, {det[0]} AS dr, {det[1]} AS di FROM (SELECT *, {_columns(_gain4('g', 'time_idx', ant, 'chan'), 'g')} FROM {source})))"
+
+
+@query(with_views("main", _CELLS4 + f", p AS {_inverse_sql('p', 'base', 'antenna1')}, q AS {_inverse_sql('q', 'p', 'antenna2')}, l AS (SELECT *, {_columns(_matrix(_named('p'), _vis4()), 'a')} FROM q), z AS (SELECT *, {_columns(_matrix(_named('a'), _turned(_named('q'))), 'b')} FROM l) " + _select4("b") + " FROM z"))
+def correct_vis_full(s, d):
+    return _out4(calibration.correct_vis(v.main(s, d), _jones4(s, d), _model4(_rows4(s, d)), 4), "row_id", "chan")
+
+
+@query(with_views("main", _CELLS4 + f""", e AS (SELECT base.*, x FROM base, range(3) t(x)), l AS (SELECT *, {_columns(_matrix(_gain4('p', 'time_idx', 'antenna1', 'chan'), _vis4('(1e0 + x)')), 'a')} FROM e),
+k AS (SELECT *, {_columns(_matrix(_named('a'), _turned(_gain4('q', 'time_idx', 'antenna2', 'chan'))), 'b')} FROM l), n AS (SELECT row_id, chan, time_idx, antenna1, antenna2, {_columns(_named('b'), 'n', 'sum({})')} FROM k GROUP BY ALL),
+m AS (SELECT * EXCLUDE ({', '.join(f'n{p}{i}' for i in range(4) for p in 'ri')}), {_columns([(f'(nr{i} + {a})', f'(ni{i} + {b})') for i, (a, b) in enumerate(_vis4())], 'm')} FROM n),
+f AS (SELECT *, {_columns(_matrix(_gain4('p', 'time_idx', 'antenna1', 'chan'), _named('m')), 'f')} FROM m), z AS (SELECT *, {_columns(_matrix(_named('f'), _turned(_gain4('q', 'time_idx', 'antenna2', 'chan'))), 'z')} FROM f) """ + _select4("z") + " FROM z"))
+def predict_vis_full(s, d):
+    """Direction-dependent and -independent 2 x 2 terms on both sides, and base visibilities."""
+    g = _jones4(s, d)
+    dde = g.drop("dir").crossJoin(F.broadcast(s.range(3).select(F.col("id").cast("int").alias("source_id"))))
+    coh = _model4(_rows4(s, d).select("row_id", "chan", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("source_id")), "source_id")
+    out = predict.predict_vis(v.main(s, d), dde, coh, dde, g.drop("dir"), _model4(_rows4(s, d)), g.drop("dir"), n=4)
+    return _out4(out, "row_id", "chan")
+
+
+_FEED = [("cos({})", "0e0"), ("sin({})", "0e0"), ("(-sin({}))", "0e0"), ("cos({})", "0e0")]
+
+
+def _feed(angle: str) -> list[Expr]:
+    return [(a.format(angle), b) for a, b in _FEED]
+
+
+_RIME = f""", c AS (SELECT row_id, chan, time, {GAUSS} AS g, -{TAU} / {C} * {PATH} * freq AS ph, stokes_i * pow(freq / 1e9, -7e-1) AS si, stokes_i * 1e-1 * pow(freq / 1e9, -7e-1) AS sq, stokes_i * 5e-2 * pow(freq / 1e9, -7e-1) AS su, stokes_i * 2e-2 * pow(freq / 1e9, -7e-1) AS sv FROM snapshot, sources, channels),
+b AS (SELECT *, {_columns([('(si + sq)', '0e0'), ('su', 'sv'), ('su', '(-sv)'), ('(si - sq)', '0e0')], 'x')} FROM c),
+l AS (SELECT *, {_columns(_matrix(_feed('(time * 1e-6)'), _named('x')), 'a')} FROM b), q AS (SELECT *, {_columns(_matrix(_named('a'), _turned(_feed('(time * 2e-6)'))), 'y')} FROM l),
+z AS (SELECT row_id, chan, {_columns([_mul((f'yr{i}', f'yi{i}'), ('(g * cos(ph))', '(g * sin(ph))')) for i in range(4)], 'z', 'sum({})')} FROM q GROUP BY row_id, chan) """
+
+
+@query(with_views("snapshot sources channels", _RIME + _select4("z") + " FROM z"))
+def rime_full(s, d):
+    """Feed rotations of both antennas, Gaussian shapes, phases and a 2 x 2 brightness."""
+    src = v.sources(s, d).select("l", "m", F.array(*(F.col("stokes_i") * k for k in (1.0, 0.1, 0.05, 0.02))).alias("stokes"), F.array(F.lit(-0.7)).alias("spi"), "ref_freq", "emaj", "emin", "pa")
+    rows = v.snapshot(s, d).select("row_id", "u", "v", "w", (F.col("time") * 1e-6).alias("feed_angle_p"), (F.col("time") * 2e-6).alias("feed_angle_q"))
+    return _out4(language.rime("(Lp, Gpq, Kpq, Bpq, Lq): [I,Q,U,V] -> [XX,XY,YX,YY]", rows, src, v.channels(s).select("chan", "freq")), "row_id", "chan")
+
+
+@query(with_views("snapshot channels", f"SELECT row_id, chan, round(cos(-{TAU} / {C} * freq * (1e-2 * u - 2e-2 * v + (sqrt(1e0 - 1e-4 - 4e-4) - 1) * w)), 6) + 0e0 AS re, round(sin(-{TAU} / {C} * freq * (1e-2 * u - 2e-2 * v + (sqrt(1e0 - 1e-4 - 4e-4) - 1) * w)), 6) + 0e0 AS im FROM snapshot, channels"))
+def phase_steer(s, d):
+    x = sky.phase_steer(F.col("u"), F.col("v"), F.col("w"), 0.01, -0.02, F.col("freq"))
+    return v.snapshot(s, d).crossJoin(predict.small(v.channels(s))).select("row_id", "chan", r6(x.re, "re"), r6(x.im, "im"))
+
+
+_SHAPE_W = f""", t AS (SELECT row_id, chan, {TAU} / {C} * freq * u AS fu, {TAU} / {C} * freq * v AS fv, 1e-4 AS b, -{TAU} / {C} * freq * (1e-2 * u - 2e-2 * v + (sqrt(1e0 - 1e-4 - 4e-4) - 1) * w) AS ph FROM snapshot, channels),
+x AS (SELECT row_id, chan, ph, sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fu * b, 2) / 2) * sqrt({TAU}) / sqrt(sqrt(pi()) / b) * exp(-pow({TAU} * fv * b, 2) / 2) AS u0, sqrt(2e0) * {TAU} * fv * b AS h1 FROM t)
+SELECT row_id, chan, round(1e3 * u0 * cos(ph) - 5e2 * u0 * h1 * sin(ph), 6) + 0e0 AS re, round(1e3 * u0 * sin(ph) + 5e2 * u0 * h1 * cos(ph), 6) + 0e0 AS im FROM x"""
+
+
+@query(with_views("snapshot channels", _SHAPE_W))
+def shapelet_with_w(s, d):
+    x = sky.shapelet_with_w(F.col("u"), F.col("v"), F.col("w"), F.col("freq"), [[1000.0, 500.0]], (1e-4, 1e-4), 0.01, -0.02)
+    return v.snapshot(s, d).crossJoin(predict.small(v.channels(s))).select("row_id", "chan", r6(x.re, "re"), r6(x.im, "im"))
+
+
+# A facet at (ra, dec) = (1.03, 0.52) of a field at (1.0, 0.5): rows of the direction cosines' frames.
+_FACET = """, f AS (SELECT *, 3e-2 AS d, cos(52e-2) AS c, sin(52e-2) AS s, cos(5e-1) AS c0, sin(5e-1) AS s0 FROM snapshot),
+g AS (SELECT *, c * sin(d) AS l0, s * c0 - c * s0 * cos(d) AS m0, s * s0 + c * c0 * cos(d) AS n0 FROM f)"""
+
+
+@query(with_views("snapshot", _FACET + " SELECT row_id, round(cos(d) * u + sin(d) * (s0 * v - c0 * w), 6) + 0e0 AS u, round(c * (c0 * v + s0 * w) - s * (sin(d) * u - cos(d) * (s0 * v - c0 * w)), 6) + 0e0 AS v, round(l0 * u + m0 * v + n0 * w, 6) + 0e0 AS w FROM g"))
+def facet_rotation(s, d):
+    out = imaging.rotate_uvw(F.col("u"), F.col("v"), F.col("w"), 1.03, 0.52, 1.0, 0.5)
+    return v.snapshot(s, d).select("row_id", *(r6(x, n) for n, x in zip("uvw", out, strict=True)))
+
+
+@query(with_views("snapshot", _FACET + " SELECT row_id, round(u - w * l0 / n0, 6) + 0e0 AS u, round(v - w * m0 / n0, 6) + 0e0 AS v, round(w, 6) + 0e0 AS w FROM g"))
+def facet_tilt(s, d):
+    out = imaging.tilt_uvw(F.col("u"), F.col("v"), F.col("w"), 1.03, 0.52, 1.0, 0.5)
+    return v.snapshot(s, d).select("row_id", *(r6(x, n) for n, x in zip("uvw", out, strict=True)))
+
+
+@query(with_views("snapshot", _FACET + f" SELECT row_id, round(cos({TAU} / 21e-2 * (u * l0 + v * m0 + w * (n0 - 1))), 6) + 0e0 AS re, round(sin({TAU} / 21e-2 * (u * l0 + v * m0 + w * (n0 - 1))), 6) + 0e0 AS im FROM g"))
+def facet_phase(s, d):
+    x = imaging.facet_phase(F.col("u"), F.col("v"), F.col("w"), F.lit(0.21), 1.03, 0.52, 1.0, 0.5)
+    return v.snapshot(s, d).select("row_id", r6(x.re, "re"), r6(x.im, "im"))
+
+
+# ------------------------------------------------------------ fast gridding, kernels
+_STACK_PIX = "px AS (SELECT CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, (i - 8) * 2e-3 AS l, (j - 6) * 2e-3 AS m FROM range(16) r(i), range(12) q(j))"
+
+
+def _stack() -> wstack.Config:
+    return wstack.Config(16, 12, 2e-3, 1e-10)
+
+
+@query(with_views("samples", f", {_STACK_PIX}, t AS (SELECT band, x, y, re, im, {_KP} AS p, {N1} + 1e0 AS n FROM samples, px WHERE NOT flag) SELECT band, x, y, round(sum((re * cos(p) - im * sin(p)) / n), 2) + 0e0 AS value FROM t GROUP BY band, x, y"))
+def dirty_stacked(s, d):
+    return wstack.dirty(v.samples(s, d), _stack()).select("band", "x", "y", r6("value", "value", 2))
+
+
+@query(with_views("samples", f", {_STACK_PIX}, mv AS (SELECT row_id, chan, sum((1e0 + x * y + 5e-1 * band) / ({N1} + 1e0) * cos(-({_KP}))) AS pr, sum((1e0 + x * y + 5e-1 * band) / ({N1} + 1e0) * sin(-({_KP}))) AS pi_ FROM samples, px GROUP BY row_id, chan) SELECT row_id, chan, round(pr, 3) + 0e0 AS re, round(pi_, 3) + 0e0 AS im FROM mv"))
+def model_stacked(s, d):
+    x, y = (s.range(n).select(F.col("id").cast("int").alias(c)) for n, c in ((16, "x"), (12, "y")))
+    image = x.crossJoin(y).crossJoin(F.broadcast(s.range(2).select(F.col("id").cast("int").alias("band")))).withColumn("value", 1.0 + F.col("x") * F.col("y") + 0.5 * F.col("band"))
+    return wstack.model(v.samples(s, d), image, _stack()).select("row_id", "chan", r6("re", "re", 3), r6("im", "im", 3))
+
+
+_SINC = "CASE WHEN t = 0 THEN 1e0 ELSE sin(pi() * t) / (pi() * t) END"
+
+
+@query(f"""WITH tap AS (SELECT i, i / 5e0 - 4 AS t FROM range(45) r(i)), s AS (SELECT i, {_SINC} AS k FROM tap),
+w AS (SELECT i, t, sqrt(greatest(1 - pow(t / 5e0, 2), 0)) * 9e0 AS b FROM tap),
+kb AS (SELECT i, any_value(t) AS t, avg(cos(15 * (j + 5e-1) * pi() / 4096 - b * sin((j + 5e-1) * pi() / 4096))) AS k FROM w, range(4096) q(j) GROUP BY i),
+kbs AS (SELECT i, {_SINC} * k AS k FROM kb)
+SELECT 'sinc' AS kind, CAST(i AS INTEGER) AS i, round(k / (SELECT sum(k) FROM s), 9) + 0e0 AS value FROM s UNION ALL SELECT 'kaiser', CAST(i AS INTEGER), round(k / (SELECT sum(k) FROM kbs), 9) + 0e0 FROM kbs""")
+def kernels(s, d):
+    found = [("sinc", imaging.sinc_kernel(7, 5)), ("kaiser", imaging.kaiser_sinc_kernel(7, 9.0, 5))]
+    return s.createDataFrame([(kind, i, float(x)) for kind, k in found for i, x in enumerate(k)], "kind string, i int, value double").select("kind", "i", r6("value", "value", 9))
+
+
+@query(f"""WITH tap AS (SELECT i, i / 5e0 - 4 AS t FROM range(45) r(i)), s AS (SELECT i, {_SINC} AS k FROM tap), n AS (SELECT sum(k) AS total FROM s),
+one AS (SELECT x, sqrt(pow(sum(k / total * cos(2 * pi() * (x - 8) / 16e0 * (i - 22) / 5e0)), 2) + pow(sum(k / total * sin(2 * pi() * (x - 8) / 16e0 * (i - 22) / 5e0)), 2)) AS a FROM s, n, range(16) r(x) GROUP BY x)
+SELECT CAST(p.x AS INTEGER) AS y, CAST(q.x AS INTEGER) AS x, round(p.a * q.a, 9) + 0e0 AS value FROM one p, one q""")
+def detaper(s, d):
+    out = imaging.detaper(imaging.sinc_kernel(7, 5), 16, 5)
+    return s.createDataFrame([(y, x, float(out[y, x])) for y in range(16) for x in range(16)], "y int, x int, value double").select("y", "x", r6("value", "value", 9))
+
+
+# ------------------------------------------- further averages, algebra and regions
+@query(with_views("main", _BINS + """, k AS (SELECT * FROM binned JOIN flags USING (antenna1, antenna2, bin) WHERE flag_row = bin_flag)
+SELECT antenna1, antenna2, CAST(bin AS INTEGER) AS bin, bin_flag AS flag_row, round(sum(weight), 6) + 0e0 AS w0, round(sum(2 * weight), 6) + 0e0 AS w1, round(sqrt(sum(pow(sigma * weight, 2)) / pow(sum(weight), 2)), 6) + 0e0 AS s0, round(sqrt(sum(pow((sigma + 1) * 2 * weight, 2)) / pow(sum(2 * weight), 2)), 6) + 0e0 AS s1 FROM k GROUP BY antenna1, antenna2, bin, bin_flag""", True))
+def row_average_corr(s, d):
+    """Weights and sigmas with a number for each correlation."""
+    m = v.main(s, d)
+    wide = m.withColumn("weight", F.array("weight", F.col("weight") * 2)).withColumn("sigma", F.array("sigma", F.col("sigma") + 1))
+    out = averaging.row_average(wide, averaging.time_bins(m, BIN_SECS).select("row_id", "bin"))
+    return out.select("antenna1", "antenna2", "bin", "flag_row", r6(F.col("weight")[0], "w0"), r6(F.col("weight")[1], "w1"), r6(F.col("sigma")[0], "s0"), r6(F.col("sigma")[1], "s1"))
+
+
+def _block(s, n, m, k):
+    return s.range(n * m).select(F.floor(F.col("id") / m).cast("int").alias("i"), (F.col("id") % m).cast("int").alias("j")).withColumn("value", F.cos((F.col("i") + 2 * F.col("j") + k).cast("double")))
+
+
+@query("SELECT CAST(a * 4 + c AS BIGINT) AS i, CAST(b * 2 + e AS BIGINT) AS j, round(cos(a + 2 * b) * cos(c + 2 * e + 1), 9) + 0e0 AS value FROM range(3) p(a), range(5) q(b), range(4) r(c), range(2) t(e)")
+def kron(s, d):
+    return linalg.kron([_block(s, 3, 5, 0), _block(s, 4, 2, 1)]).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("value", "value", 9))
+
+
+@query("""WITH b AS (SELECT l_partkey % 10 AS k, l_suppkey % 3 AS j, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)
+SELECT CAST(r AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(cos(r // 4 + 2 * (k // 2)) * cos(r % 4 + 2 * (k % 2) + 1) * value), 3) + 0e0 AS value FROM b, range(12) q(r) GROUP BY r, j""")
+def kron_tensormat(s, d):
+    b = v.table(s, d, "lineitem").groupBy((F.col("l_partkey") % 10).alias("i"), (F.col("l_suppkey") % 3).alias("j")).agg(F.sum("l_quantity").alias("value"))
+    return linalg.kron_tensormat([_block(s, 3, 5, 0), _block(s, 4, 2, 1)], b).select("i", F.col("j").cast("long").alias("j"), r6("value", "value", 3))
+
+
+@query(with_views("plane", """, s AS (SELECT x AS y, y AS x, value FROM plane), t AS (SELECT *, (4e1 * (y - 5) - 15e0 * (x - 10)) / sqrt(4e1 * 4e1 + 15e0 * 15e0) > -5e-1 AND (-3e1 * (y - 20) - 4e1 * (x - 50)) / 5e1 > -5e-1 AND (-1e1 * (y - 60) + 55e0 * (x - 20)) / sqrt(1e2 + 55e0 * 55e0) > -5e-1 AS inside FROM s)
+SELECT y, x, round(CASE WHEN inside THEN value ELSE 0e0 END, 6) + 0e0 AS value FROM t WHERE x BETWEEN 10 AND 50 AND y BETWEEN 5 AND 60"""))
+def region_cut_out(s, d):
+    return linalg.cut_out(v.plane(s, d).withColumnsRenamed({"x": "y", "y": "x"}), linalg.convex_hull(_TRI)).select("y", "x", r6("value", "value"))
+
+
+# --------------------------------------------------- headers, measurement tables
+_HEADER = {"NAXIS": 3, "CTYPE1": "RA---SIN", "NAXIS1": 5, "CRPIX1": 3.0, "CDELT1": -0.01, "CRVAL1": 10.0, "CUNIT1": "deg", "CTYPE2": "-Y", "NAXIS2": 4, "CRPIX2": 1.0, "CDELT2": 0.5, "CRVAL2": -1.0, "CTYPE3": "FREQ", "NAXIS3": 3, "GFREQ1": 1.0e9, "GFREQ2": 1.1e9, "GFREQ3": 1.3e9}
+
+
+@query("""SELECT 'RA---SIN' AS axis, CAST(i AS INTEGER) AS idx, round(radians((i - 2) * -1e-2 + 1e1), 12) AS coord FROM range(5) r(i) UNION ALL SELECT '-Y', CAST(i AS INTEGER), i * 5e-1 - 1 FROM range(4) r(i)
+UNION ALL SELECT 'FREQ', CAST(i AS INTEGER), [1e9, 11e8, 13e8][i + 1] FROM range(3) r(i)""")
+def header_axes(s, d):
+    return fits.axis_table(s, _HEADER).select("axis", "idx", r6("coord", "coord", 12))
+
+
+@query("SELECT c AS corr, 'b_' || c || '_re.fits' AS re, 'b_' || c || '_im.fits' AS im FROM (SELECT unnest(['xx', 'xy', 'yx', 'yy']) AS c)")
+def beam_files(s, d):
+    found = fits.beam_filenames("b_$(corr)_$(reim).fits", [9, 10, "YX", 12])
+    return s.createDataFrame([(c, *names) for c, names in found.items()], "corr string, re string, im string")
+
+
+@query("SELECT event_id AS row_id, CAST(event_id % 3 AS INTEGER) AS field_id, CAST(event_id % 2 AS INTEGER) AS data_desc_id, value, value * 2 AS corrected, round(1e9 + 1e8 * (event_id % 2), 3) AS freq0 FROM events WHERE event_id % 3 = 1")
+def measurement_scan(s, d):
+    """A measurement is written, a column added, and one field's groups scanned with their spectral windows."""
+    path = f"{checkpoint_folder(s).rstrip('/')}/measurement-{uuid.uuid4().hex}"
+    rows = v.table(s, d, "events").select(F.col("event_id").alias("row_id"), "value", (F.col("event_id") % 3).cast("int").alias("field_id"), (F.col("event_id") % 2).cast("int").alias("data_desc_id"))
+    described = s.range(2).select(F.col("id").cast("int").alias("data_desc_id"), F.col("id").cast("int").alias("spectral_window_id"))
+    windows = s.range(2).select(F.col("id").cast("int").alias("spectral_window_id"), (1e9 + 1e8 * F.col("id")).alias("freq0"))
+    measurement.write(path, rows, {"DATA_DESCRIPTION": described, "SPECTRAL_WINDOW": windows})
+    measurement.write_column(path, rows.select("row_id", (F.col("value") * 2).alias("corrected")), "corrected")
+    found = measurement.scan(s, path, ["value"], field_id=1, written=["corrected"])
+    return found.join(measurement.spectral_windows(s, path), ["field_id", "data_desc_id"]).select("row_id", "field_id", "data_desc_id", "value", "corrected", r6("freq0", "freq0", 3))
+
+
+@query("""SELECT p_partkey::VARCHAR AS name, CASE WHEN p_size % 2 = 0 THEN 'GAUSSIAN' ELSE 'POINT' END AS type, round(radians((p_partkey % 360)::DOUBLE), 9) AS ra, round(radians((p_size - 25)::DOUBLE), 9) AS dec, p_retailprice AS i, round(CASE WHEN p_size % 2 = 0 THEN radians(p_size / 36e2) ELSE 0e0 END, 12) AS emaj, 1e9 AS ref_freq FROM part""")
+def catalogue(s, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    line = F.concat_ws(" ", k, k % 360, size - 25, F.col("p_retailprice"), F.when(size % 2 == 0, size).otherwise(0), F.lit("0"))
+    lines = v.table(s, d, "part").select(line.alias("value"))
+    return skymodel.catalogue(lines, "#format: name ra_d dec_d i emaj_s emin_s", 1e9).select("name", "type", r6("ra", "ra", 9), r6("dec", "dec", 9), F.col("stokes")[0].alias("i"), r6("emaj", "emaj", 12), "ref_freq")
+
+
+@query(with_views("plane", """, b AS (SELECT y, x, CAST(b AS INTEGER) AS band, CASE WHEN (x + y) % 7 = 0 THEN 0e0 ELSE value * (1 - b * ((x + y) % 2)) END AS value FROM plane, range(2) r(b))
+SELECT round(radians(-1e-2) * ((63 - x) + 1 - 33), 12) + 0e0 AS l, round(radians(1e-2) * (y + 1 - 33), 12) + 0e0 AS m, band, round(value, 6) + 0e0 AS flux FROM b WHERE (x + y) % 7 <> 0"""))
+def cube_components(s, d):
+    header = {"CUNIT1": "deg", "CUNIT2": "deg", "NAXIS1": 64, "NAXIS2": 64, "CRPIX1": 33.0, "CRPIX2": 33.0, "CDELT1": -0.01, "CDELT2": 0.01, "CTYPE3": "FREQ"}
+    x, y, b = F.col("x"), F.col("y"), F.col("band")
+    cube = v.plane(s, d).crossJoin(F.broadcast(s.range(2).select(F.col("id").cast("int").alias("band")))).withColumn("corr", F.lit(0))
+    cube = cube.withColumn("value", F.when((x + y) % 7 == 0, F.lit(0.0)).otherwise(F.col("value") * (1 - b * ((x + y) % 2))))
+    return skymodel.cube_components(cube, header).select(r6("l", "l", 12), r6("m", "m", 12), "band", r6("flux", "flux"))
+
+
+@query(with_views("plane", f""", g AS (SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x FROM range(64) p(a), range(64) q(b)), s AS (SELECT p.y, p.x, sum(coalesce(value, 0) * exp(-(pow(g.y - p.y, 2) + pow(g.x - p.x, 2)) / 2e0)) AS v FROM g p, g LEFT JOIN plane ON plane.y = g.y AND plane.x = g.x WHERE abs(g.y - p.y) <= 8 AND abs(g.x - p.x) <= 8 GROUP BY p.y, p.x),
+t AS (SELECT stddev_pop(v) * 15e-1 AS cut FROM s) SELECT s.y, s.x, round(v, 4) + 0e0 AS value FROM s, t WHERE v > cut"""))
+def smoothed_threshold(s, d):
+    """A map convolved with a Gaussian, and its pixels above a multiple of its rms."""
+    images = v.plane(s, d).select(F.lit(0).alias("image_id"), "y", "x", "value")
+    smooth = imaging.convolve(images, 64, 64, (1.0, 1.0), 0.0)
+    return imaging.above_threshold(smooth, 1.5).select("y", "x", r6("value", "value", 4))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
