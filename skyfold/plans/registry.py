@@ -922,7 +922,7 @@ _STACK_PIX = "px AS (SELECT CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, (i
 
 
 def _stack() -> wstack.Config:
-    return wstack.Config(16, 12, 2e-3, 1e-10)
+    return wstack.Config(16, 12, 2e-3, 1e-12)
 
 
 @query(with_views("samples", f", {_STACK_PIX}, t AS (SELECT band, x, y, re, im, {_KP} AS p, {N1} + 1e0 AS n FROM samples, px WHERE NOT flag) SELECT band, x, y, round(sum((re * cos(p) - im * sin(p)) / n), 2) + 0e0 AS value FROM t GROUP BY band, x, y"))
@@ -930,11 +930,11 @@ def dirty_stacked(s, d):
     return wstack.dirty(v.samples(s, d), _stack()).select("band", "x", "y", r6("value", "value", 2))
 
 
-@query(with_views("samples", f", {_STACK_PIX}, mv AS (SELECT row_id, chan, sum((1e0 + x * y + 5e-1 * band) / ({N1} + 1e0) * cos(-({_KP}))) AS pr, sum((1e0 + x * y + 5e-1 * band) / ({N1} + 1e0) * sin(-({_KP}))) AS pi_ FROM samples, px GROUP BY row_id, chan) SELECT row_id, chan, round(pr, 3) + 0e0 AS re, round(pi_, 3) + 0e0 AS im FROM mv"))
+@query(with_views("samples", f", {_STACK_PIX}, mv AS (SELECT row_id, chan, sum((1e0 + x * y + 5e-1 * band) / ({N1} + 1e0) * cos(-({_KP}))) AS pr, sum((1e0 + x * y + 5e-1 * band) / ({N1} + 1e0) * sin(-({_KP}))) AS pi_ FROM samples, px GROUP BY row_id, chan) SELECT row_id, chan, round(pr, 2) + 0e0 AS re, round(pi_, 2) + 0e0 AS im FROM mv"))
 def model_stacked(s, d):
     x, y = (s.range(n).select(F.col("id").cast("int").alias(c)) for n, c in ((16, "x"), (12, "y")))
     image = x.crossJoin(y).crossJoin(F.broadcast(s.range(2).select(F.col("id").cast("int").alias("band")))).withColumn("value", 1.0 + F.col("x") * F.col("y") + 0.5 * F.col("band"))
-    return wstack.model(v.samples(s, d), image, _stack()).select("row_id", "chan", r6("re", "re", 3), r6("im", "im", 3))
+    return wstack.model(v.samples(s, d), image, _stack()).select("row_id", "chan", r6("re", "re", 2), r6("im", "im", 2))
 
 
 _SINC = "CASE WHEN t = 0 THEN 1e0 ELSE sin(pi() * t) / (pi() * t) END"
@@ -988,7 +988,7 @@ def kron_tensormat(s, d):
 @query(with_views("plane", """, s AS (SELECT x AS y, y AS x, value FROM plane), t AS (SELECT *, (4e1 * (y - 5) - 15e0 * (x - 10)) / sqrt(4e1 * 4e1 + 15e0 * 15e0) > -5e-1 AND (-3e1 * (y - 20) - 4e1 * (x - 50)) / 5e1 > -5e-1 AND (-1e1 * (y - 60) + 55e0 * (x - 20)) / sqrt(1e2 + 55e0 * 55e0) > -5e-1 AS inside FROM s)
 SELECT y, x, round(CASE WHEN inside THEN value ELSE 0e0 END, 6) + 0e0 AS value FROM t WHERE x BETWEEN 10 AND 50 AND y BETWEEN 5 AND 60"""))
 def region_cut_out(s, d):
-    return linalg.cut_out(v.plane(s, d).withColumnsRenamed({"x": "y", "y": "x"}), linalg.convex_hull(_TRI)).select("y", "x", r6("value", "value"))
+    return linalg.cut_out(v.plane(s, d).select(F.col("x").alias("y"), F.col("y").alias("x"), "value"), linalg.convex_hull(_TRI)).select("y", "x", r6("value", "value"))
 
 
 # --------------------------------------------------- headers, measurement tables
