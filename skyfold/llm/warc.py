@@ -25,11 +25,14 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,8 @@ DICTIONARY_SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 32_768
 #: Payload bytes that an archive file is meant to hold.
 ARCHIVE_BYTES = 32 << 20
+#: Payload bytes that a step of the writer holds as Python objects.
+STEP_BYTES = 8 << 20
 #: Frame that takes up the writer's line feed.
 _PAD = struct.pack("<II", 0x184D2A50, 1)
 
@@ -160,19 +165,37 @@ def frames(data: bytes) -> Iterator[bytes]:
         yield out
 
 
+_DIGEST = re.compile(r"[0-9a-f]{64}")
+
+
+def record_id(page: int | None, digest: str, again: int = 0) -> str:
+    """Record name of a page's response (``again`` 0) or of its later revisits."""
+    ident = hashlib.sha256(f"{page}|{digest}|{again}".encode()).hexdigest()
+    return f"<urn:uuid:{ident[:8]}-{ident[8:12]}-{ident[12:16]}-{ident[16:20]}-{ident[20:32]}>"
+
+
 def _read_page(record: Record) -> tuple:
     """(page id, payload bytes, digest, type, refers to) of a record, checked."""
     h = record.headers
     digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
     page = int(h["x-page-id"]) if "x-page-id" in h else None
-    if h["warc-type"] == "revisit":
-        return page, int(h["x-payload-length"]), digest, "revisit", int(h["x-refers-to-page-id"])
-    if h["warc-type"] != "response":
+    if not _DIGEST.fullmatch(digest):
+        raise WarcError(f"not a digest: {digest!r}")
+    if h["warc-type"] not in ("response", "revisit"):
         raise WarcError(f"not a type this reader knows: {h['warc-type']!r}")
     head, blank, payload = record.block.partition(b"\r\n\r\n")
     if not blank or not head.startswith(b"HTTP/1.1 "):
-        raise WarcError("a response without an HTTP header")
+        raise WarcError("a record without an HTTP header")
     length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    if length != int(h.get("x-payload-length", -1)):
+        raise WarcError(f"a payload of {length} bytes in the HTTP header, {h.get('x-payload-length')} in the record's")
+    if h["warc-type"] == "revisit":
+        if payload:
+            raise WarcError("a revisit with a payload")
+        refers = h.get("x-refers-to-page-id")
+        if not refers or h.get("warc-refers-to") != record_id(int(refers), digest):
+            raise WarcError("a revisit that does not name its response's record")
+        return page, length, digest, "revisit", int(refers)
     if length != len(payload):
         raise WarcError(f"a payload of {length} bytes was announced, {len(payload)} are there")
     if hashlib.sha256(payload).hexdigest() != digest:
@@ -203,14 +226,34 @@ def decide(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     work = Workspace(pages.sparkSession, "warc-digests")
     one = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     one = one.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    again = one.filter(F.col("size") >= LEAST_REVISIT).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("d", "least")
+    pages_of = one.filter(F.col("size") >= LEAST_REVISIT).groupBy(F.col("digest").alias("d"), "page_id").agg(F.count("*").alias("twins"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "twins")))
+    again = pages_of.groupBy("d").agg(first.alias("f"), F.sum("twins").alias("n")).filter("n > 1").select("d", F.col("f.page_id").alias("least"), F.col("f.twins").alias("twins"))
     again = work.save(again, "again")
     few = again.limit(MOST_SENT + 1).count() <= MOST_SENT
     small = one.join(F.broadcast(again) if few else again, one.digest == again.d, "left")
     small = small.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")))
+    if not again.filter("twins > 1").isEmpty():
+        # The smallest id itself is repeated: one of its rows is the response, as
+        # many as are left are revisits of it.
+        twin = (F.col("twins") > 1) & F.col("page_id").eqNullSafe(F.col("least"))
+        rows = small.filter(twin).groupBy("digest", "page_id").agg(F.min("url").alias("url"), F.first("payload").alias("payload"), F.first("size").alias("size"), F.count("*").alias("twins"))
+        rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("twins"))).alias("k")).withColumn("refers_to", F.when(F.col("k") > 1, F.col("page_id")))
+        kept = ["page_id", "url", "payload", "size", "digest", "refers_to"]
+        small = small.filter(~F.coalesce(twin, F.lit(False))).select(kept).unionByName(rows.select(kept))
     return small.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
 
+def _steps(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose payloads have at most ``STEP_BYTES``, or one row."""
+    sizes = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index("payload"))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + STEP_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record for every page to archives under ``path``."""
     dictionary = train_dictionary(pages, html)
@@ -222,16 +265,15 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         coder = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True, write_checksum=True) if shared else zstandard.ZstdCompressor(level=level, write_checksum=True)
         begun = False
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for lo, hi in _steps(batch):
                 out = []
                 if not begun:
                     begun = True
                     if dictionary:
                         out.append(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary + _PAD)
-                for page, target, payload, size, digest, refers in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    ident = hashlib.sha256(f"{page}|{target}|{digest}".encode()).hexdigest()
+                for page, target, payload, size, digest, refers in zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns), strict=True):
                     target = (target or "").replace("\r", "%0D").replace("\n", "%0A")
-                    head = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{ident[:8]}-{ident[8:12]}-{ident[12:16]}-{ident[16:20]}-{ident[20:32]}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
+                    head = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page, digest, int(refers is not None))), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
                     if page is not None:
                         head.append(("X-Page-ID", str(page)))
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -239,7 +281,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
                         head.append(("Content-Type", "application/http; msgtype=response"))
                         record = build(head, http + payload)
                     else:
-                        head += [("Content-Type", "application/http; msgtype=response"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers))]
+                        head += [("Content-Type", "application/http; msgtype=response"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers, digest)), ("X-Refers-To-Page-ID", str(refers))]
                         record = build(head, http)
                     out.append(coder.compress(record) + _PAD)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])

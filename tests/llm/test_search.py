@@ -311,6 +311,21 @@ def test_warc_round_trip(spark, tmp_path):
         own = len(raw) < 100 or first[h or ""] == p
         assert (r.record_type, r.refers_to) == (("response", None) if own else ("revisit", first[h or ""]))
     assert warc.round_trip(df.limit(0)).count() == 0
+    # The smallest id of equal payloads is repeated: one response, the rest revisit it.
+    twins = spark.createDataFrame([(7, "u", body), (7, "u", body), (8, "u", body), (7, "v", body), (9, None, None), (9, None, None)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.round_trip(twins).collect())
+    assert got == [(7, "response", 0), (7, "revisit", 7), (7, "revisit", 7), (8, "revisit", 7), (9, "response", 0), (9, "response", 0)]
+
+
+@pytest.mark.parametrize(("change", "said"), [
+    ({"X-Payload-Length": "3"}, "bytes in the HTTP header"), ({"WARC-Type": "revisit"}, "with a payload"), ({"WARC-Payload-Digest": "sha256:zz"}, "not a digest"), ({"WARC-Type": "metadata"}, "not a type"),
+])
+def test_warc_headers_are_checked(change, said):
+    import hashlib
+
+    headers = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-Date": "2024-01-01T00:00:00Z", "X-Payload-Length": "2", "WARC-Payload-Digest": "sha256:" + hashlib.sha256(b"hi").hexdigest(), "X-Page-ID": "1"} | change
+    with pytest.raises(warc.WarcError, match=said):
+        warc._read_page(warc.parse(warc.build(list(headers.items()), b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi")))
 
 
 def record(**change):
