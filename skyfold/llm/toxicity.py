@@ -121,6 +121,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+#: Entries of a sparse matrix that are multiplied at a time.
+ENTRIES = 1 << 19
+
+
 @dataclass
 class Sparse:
     """A matrix by its entries, ordered by row."""
@@ -130,11 +134,18 @@ class Sparse:
     values: np.ndarray
     shape: tuple[int, int]
 
+    def _sum(self, by: np.ndarray, other: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for lo in range(0, len(by), ENTRIES):
+            part = slice(lo, lo + ENTRIES)
+            out += np.bincount(by[part], weights=self.values[part] * x[other[part]], minlength=n)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights=self.values * w[self.columns], minlength=self.shape[0])
+        return self._sum(self.rows, self.columns, w, self.shape[0])
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, weights=self.values * g[self.rows], minlength=self.shape[1])
+        return self._sum(self.columns, self.rows, g, self.shape[1])
 
 
 def train(x: Sparse, y: np.ndarray, grades: int = GRADES, penalty: float = PENALTY, steps: int = 200, share: float = TOXIC_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -173,10 +184,10 @@ def grades_of(rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, words:
         other, here = half != h, half == h
         odds = []
         for group in (toxic & other, ~toxic & other):
-            held = np.bincount(columns[group[rows]], minlength=n_columns)
+            held = Sparse(rows, columns, np.ones(1, np.float32).repeat(len(rows)), (len(toxic), n_columns)).back(group.astype(np.float64))
             odds.append(np.log((held + 0.5) / (group.sum() + 1.0)))
         mark = np.maximum(odds[0] - odds[1], 0.0)
-        total = np.bincount(rows, weights=mark[columns] * counts, minlength=len(toxic))
+        total = Sparse(rows, columns, counts, (len(toxic), n_columns)).dot(mark)
         density[here] = (total / np.maximum(words, LEAST_WORDS))[here]
     cuts = np.quantile(density[toxic], np.arange(1, GRADES) / GRADES)
     return np.where(toxic, 1 + (density[:, None] > cuts[None, :]).sum(axis=1), 0)
@@ -224,15 +235,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     toxic = table.column("y").to_numpy() == 1
     if not toxic.any() or not live.any():
         return nothing
-    lists = table.column("slots").combine_chunks()
-    sizes = lists.value_lengths().to_numpy()
-    slots, counts = lists.flatten().to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy()
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    used, columns = np.unique(slots, return_inverse=True)
     words = table.column("words").to_numpy()
     half = (table.column("k").to_numpy() & 1).astype(bool)
+    lists = table.column("slots").combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    used = np.flatnonzero(live)
+    place = np.zeros(SLOTS, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    columns = place[lists.flatten().to_numpy()]
+    counts = table.column("counts").combine_chunks().flatten().to_numpy().astype(np.float32)
+    del table, lists
     y = grades_of(rows, columns, counts, words, toxic, half, len(used))
-    w, theta = train(Sparse(rows, columns, damped(counts, words[rows]), (len(sizes), len(used))), y)
+    w, theta = train(Sparse(rows, columns, damped(counts, words[rows]).astype(np.float32), (len(sizes), len(used))), y)
     weights = np.zeros(SLOTS)
     weights[used] = w
     return Model(weights, theta)
