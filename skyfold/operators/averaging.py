@@ -43,6 +43,17 @@ def unique_baselines(main: DataFrame) -> DataFrame:
     return with_dense_index(found, ["antenna2", "antenna1"], "baseline")
 
 
+def row_indices(main: DataFrame) -> DataFrame:
+    """(row_id, time_idx, baseline): for each row its place among the distinct times and baselines.
+
+    Both tables of distinct values are joined back; times may be many, so that
+    join is left to Spark.
+    """
+    times = unique_time(main).select("time", "time_idx")
+    pairs = unique_baselines(main).select(*BASELINE, "baseline")
+    return main.select("row_id", "time", *BASELINE).join(times, "time").join(small(pairs), list(BASELINE)).select("row_id", "time_idx", "baseline")
+
+
 def with_dense_index(distinct: DataFrame, order: list[str], name: str) -> DataFrame:
     """Numbers 0, 1, ... in the order of distinct rows.
 

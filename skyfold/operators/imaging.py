@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.functions import cplx, sky
+from skyfold.functions import cplx, sky, stokes
 from skyfold.operators import dense
 from skyfold.operators.predict import small
 
@@ -173,6 +173,34 @@ def detaper(kernel: np.ndarray, npix: int, oversample: int) -> np.ndarray:
 
 
 
+Facet = tuple[float, float, float, float]
+
+
+def to_stokes(samples: DataFrame, inputs: list[str], output: str) -> DataFrame:
+    """``samples`` with ``re`` and ``im`` of one polarisation, from ``vis``, an array of
+    complex structs in the order of ``inputs``.
+    """
+    values = dict(zip(inputs, cplx.entries(F.col("vis"), len(inputs)), strict=True))
+    (value,) = stokes.convert(values, [output])
+    return samples.withColumns({"re": value.re, "im": value.im})
+
+
+def to_facet(samples: DataFrame, facet: Facet, baselines: str = "rotate", phase: bool = True, back: bool = False) -> DataFrame:
+    """``samples`` as a facet's centre sees them: visibilities turned by its phase,
+    baselines rotated, tilted or kept ("rotate", "tilt", "none"); ``back`` turns the
+    phase back, as prediction needs it.
+
+    ``facet``: ra, dec of the facet, ra0, dec0 of the phase centre, in radians.
+    """
+    u, v, w = F.col("u"), F.col("v"), F.col("w")
+    changed = {}
+    if phase:
+        turned = cplx.Complex(F.col("re"), F.col("im")) * facet_phase(u, v, w, F.col("wavelength"), *facet, sign=-1.0 if back else 1.0)
+        changed |= {"re": turned.re, "im": turned.im}
+    moved = {"rotate": rotate_uvw, "tilt": tilt_uvw, "none": lambda u, v, w, *_: (u, v, w)}[baselines](u, v, w, *facet)
+    return samples.withColumns(changed | dict(zip("uvw", moved, strict=True)))
+
+
 def _placed(samples: DataFrame, npix: int, cell_arcsec: float) -> DataFrame:
     scale = npix * cell_arcsec / 3600.0 * DEG
     s = samples.withColumn("_u", F.col("u") * scale / F.col("wavelength") + npix // 2).withColumn("_v", F.col("v") * scale / F.col("wavelength") + npix // 2)
@@ -194,13 +222,18 @@ def _inside(npix: int) -> Column:
     return F.col("x").between(0, npix - 1) & F.col("y").between(0, npix - 1)
 
 
-def grid(samples: DataFrame, npix: int, cell_arcsec: float, kernel: np.ndarray | None = None, width: int = 7, oversample: int = 5, normalize: bool = False) -> DataFrame:
+def grid(samples: DataFrame, npix: int, cell_arcsec: float, kernel: np.ndarray | None = None, width: int = 7, oversample: int = 5, normalize: bool = False, facet: Facet | None = None, baselines: str = "rotate", polarisation: tuple[list[str], str] | None = None) -> DataFrame:
     """(band, y, x, re, im): samples scattered to a grid by a separable kernel.
 
-    ``samples``: band, u, v, wavelength, re, im (one polarisation, see
-    ``functions.stokes``).  Without a kernel the nearest pixel takes the sample.
+    ``samples``: band, u, v, wavelength, re, im; with ``polarisation`` (the order of
+    ``vis``, and what to grid) they come from ``vis``, and with ``facet`` they are moved
+    to it first (w is needed).  Without a kernel the nearest pixel takes the sample.
     Normalised, each band is divided by its kernel weights + 1e-8.
     """
+    if polarisation is not None:
+        samples = to_stokes(samples, *polarisation)
+    if facet is not None:
+        samples = to_facet(samples, facet, baselines)
     if kernel is None:
         s = _placed(samples, npix, cell_arcsec).withColumnsRenamed({"_du": "x", "_dv": "y"}).withColumn("kernel", F.lit(1.0))
     else:

@@ -755,6 +755,27 @@ def wsclean_source(s, d):
     return out.select("name", r6("ra", "ra", 9), r6("dec", "dec", 9), "i", r6(F.col("spectralindex")[0], "alpha"), "referencefrequency")
 
 
+@query(with_views("main", "SELECT row_id, CAST(dense_rank() OVER (ORDER BY time) - 1 AS INTEGER) AS time_idx, CAST(dense_rank() OVER (ORDER BY antenna2, antenna1) - 1 AS INTEGER) AS baseline FROM main"))
+def row_indices(s, d):
+    return averaging.row_indices(v.main(s, d))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS x FROM embeddings) SELECT vec_id, round(1e0, 6) AS h0, round(2 * x, 6) + 0e0 AS h1, round(4 * x * x - 2, 6) + 0e0 AS h2, round(8 * pow(x, 3) - 12 * x, 6) + 0e0 AS h3,
+round(16 * pow(x, 4) - 48 * x * x + 12, 6) + 0e0 AS h4, round(32 * pow(x, 5) - 160 * pow(x, 3) + 120 * x, 6) + 0e0 AS h5 FROM e""")
+def hermite(s, d):
+    x = F.col("embedding")[0].cast("double") * 4
+    return v.table(s, d, "embeddings").select("vec_id", *(r6(sky.hermite(n, x), f"h{n}") for n in range(6)))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 40 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 40 AS DOUBLE) AS y, 2e0 + s_nationkey AS w, 2e0 + s_suppkey % 7 AS h FROM supplier)
+SELECT p.id AS a, q.id AS b FROM r p JOIN r q ON p.id < q.id AND p.x + p.w + 5e-1 >= q.x AND q.x + q.w + 5e-1 >= p.x AND p.y + p.h + 5e-1 >= q.y AND q.y + q.h + 5e-1 >= p.y""")
+def region_overlaps(s, d):
+    k = F.col("s_suppkey")
+    x, y, w, h = (k * 37 % 40).cast("double"), (k * 91 % 40).cast("double"), 2.0 + F.col("s_nationkey"), 2.0 + k % 7
+    corners = F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))))
+    return linalg.overlap_pairs(v.table(s, d, "supplier").select(k.alias("region"), corners.alias("hull")))
+
+
 # ------------------------------------------------- two by two, rotations, facets
 Expr = tuple[str, str]  # real and imaginary part in SQL
 
@@ -917,6 +938,20 @@ def facet_phase(s, d):
     return v.snapshot(s, d).select("row_id", r6(x.re, "re"), r6(x.im, "im"))
 
 
+@query(with_views("samples", f""", f AS (SELECT band, wavelength, 75e-2 * re AS re, im, u, v, w, 3e-2 AS d, cos(52e-2) AS c, sin(52e-2) AS s, cos(5e-1) AS c0, sin(5e-1) AS s0 FROM samples),
+g AS (SELECT *, c * sin(d) AS l0, s * c0 - c * s0 * cos(d) AS m0, s * s0 + c * c0 * cos(d) AS n0 FROM f),
+h AS (SELECT band, re, im, {TAU} / wavelength * (u * l0 + v * m0 + w * (n0 - 1)) AS p, CAST(round_even((cos(d) * u + sin(d) * (s0 * v - c0 * w)) * {_SCALE} / wavelength + {NPIX // 2}, 0) AS INTEGER) AS x,
+  CAST(round_even((c * (c0 * v + s0 * w) - s * (sin(d) * u - cos(d) * (s0 * v - c0 * w))) * {_SCALE} / wavelength + {NPIX // 2}, 0) AS INTEGER) AS y FROM g)
+SELECT band, y, x, round(sum(re * cos(p) - im * sin(p)), 6) + 0e0 AS re, round(sum(re * sin(p) + im * cos(p)), 6) + 0e0 AS im FROM h WHERE x BETWEEN 0 AND {NPIX - 1} AND y BETWEEN 0 AND {NPIX - 1} GROUP BY band, y, x"""))
+def grid_facet(s, d):
+    """Stokes I of four correlations, moved to a facet and gridded."""
+    pair = lambda a, b: F.struct(a.alias("re"), b.alias("im"))
+    re, im, zero = F.col("re"), F.col("im"), F.lit(0.0)
+    samples = v.samples(s, d).withColumn("vis", F.array(pair(re, im), pair(re * 0.1, zero), pair(re * 0.1, zero), pair(re * 0.5, im)))
+    out = imaging.grid(samples, NPIX, CELL, facet=(1.03, 0.52, 1.0, 0.5), polarisation=(["XX", "XY", "YX", "YY"], "I"))
+    return _re_im(out, "band", "y", "x")
+
+
 # ------------------------------------------------------------ fast gridding, kernels
 _STACK_PIX = "px AS (SELECT CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, (i - 8) * 2e-3 AS l, (j - 6) * 2e-3 AS m FROM range(16) r(i), range(12) q(j))"
 
