@@ -61,6 +61,7 @@ class _Classes(dict):
 
 _CLASSES = _Classes()
 _RUN = re.compile(r"(.)\1+", re.S)
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”„‘’«»…–—¿¡"
 _SHAPES: dict[str, tuple[int, ...]] = kept_by_worker({})
 
 
@@ -69,13 +70,14 @@ def slot(term: str) -> int:
 
 
 def word_slot(token: str) -> int:
-    """Slot of a token's letters, whatever their case and the marks around them."""
-    word = "".join(c for c in token if c.isalnum()).lower()
-    return SHAPE_SLOTS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS
+    """Slot of a token without the marks around it, whatever its case."""
+    return SHAPE_SLOTS + zlib.crc32(token.strip(_MARKS).lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS
 
 
 def shapes(token: str) -> list[str]:
     """The token's character classes with runs collapsed, in pieces of at most 16 of them."""
+    if token.islower() and token.isalpha():  # most tokens
+        return ["x"]
     s = _RUN.sub(r"\1", token.translate(_CLASSES))
     return [s[i : i + 16] for i in range(0, len(s), 16)]
 
