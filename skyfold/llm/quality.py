@@ -43,6 +43,8 @@ NEIGHBOURS = 25
 #: Labelled rows that are learnt from, at most.
 MAX_LABELLED = 4096
 CACHE_ENTRIES = 100_000
+#: Tokens from which counting by slot is quicker than sorting.
+LONG_TEXT = 200
 #: Shares of tokens equal to the one before that count as a term each.
 AGAIN = (0.05, 0.15, 0.4)
 #: Rows whose cosines with all labelled vectors are held at a time.
@@ -62,7 +64,8 @@ class _Classes(dict):
 _CLASSES = _Classes()
 _RUN = re.compile(r"(.)\1+", re.S)
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”„‘’«»…–—¿¡"
-_SHAPES: dict[str, tuple[int, ...]] = kept_by_worker({})
+#: Slots of tokens, two bytes each.
+_SHAPES: dict[str, bytes] = kept_by_worker({})
 
 
 def slot(term: str) -> int:
@@ -82,18 +85,37 @@ def shapes(token: str) -> list[str]:
     return [s[i : i + 16] for i in range(0, len(s), 16)]
 
 
+_PIECES: dict[str, bytes] = kept_by_worker({})
+
+
+def slot_bytes(token: str) -> bytes:
+    """Slots of a token's shape and of its word, two bytes each."""
+    out = b""
+    for piece in shapes(token):
+        found = _PIECES.get(piece)
+        if found is None:
+            if len(_PIECES) > CACHE_ENTRIES:
+                _PIECES.clear()
+            found = _PIECES[piece] = slot(piece).to_bytes(2, "little")
+        out += found
+    return out + word_slot(token).to_bytes(2, "little")
+
+
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) of a text: damped relative frequencies of its shapes."""
     tokens = text.split()
     if not tokens:
         return np.array([slot("#empty")]), np.array([1.0], dtype=np.float32)
-    kept, out, n = _SHAPES, [], len(tokens)
-    for t in tokens:
-        s = kept.get(t)
-        if s is None:
-            s = kept[t] = (*map(slot, shapes(t)), word_slot(t))
-        out += s
-    slots, counts = np.unique(np.array(out, dtype=np.int64), return_counts=True)
+    kept, n = _SHAPES, len(tokens)
+    for t in set(tokens).difference(kept):
+        kept[t] = slot_bytes(t)
+    out = np.frombuffer(b"".join(map(kept.__getitem__, tokens)), dtype="<u2")
+    if n > LONG_TEXT:
+        counts = np.bincount(out, minlength=SLOTS)
+        slots = np.flatnonzero(counts)
+        counts = counts[slots]
+    else:
+        slots, counts = np.unique(out.astype(np.int64), return_counts=True)
     many = len(out) - n  # shapes; each token has one word besides
     again = sum(map(str.__eq__, tokens, tokens[1:])) / n
     # Repetition has terms of its own, by degrees.
@@ -151,7 +173,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     """(documents, documents that hold each slot), over every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean(_SHAPES)
+        lean(_SHAPES, _PIECES)
         n, df = 0, np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK_ROWS):
