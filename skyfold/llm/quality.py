@@ -212,13 +212,42 @@ def with_texts(docs: DataFrame, some: DataFrame, key: str, text: str) -> DataFra
     return one.groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t")).select("k", "t", "y")
 
 
-def basis_of(matrix: np.ndarray, rank: int) -> np.ndarray:
+class SampleRows:
+    """The sample's weighted bags as unit rows, made dense a few rows at a time."""
+
+    def __init__(self, slots: list[np.ndarray], weights: list[np.ndarray], idf: np.ndarray) -> None:
+        self.slots = [np.asarray(x, dtype=np.int32) for x in slots]
+        self.weights = []
+        for at, w in zip(self.slots, weights, strict=True):
+            row = np.bincount(at, weights=np.asarray(w, np.float64) * idf[at])  # a slot may stand twice
+            self.weights.append((np.asarray(w, np.float64) * idf[at] / max(float(np.linalg.norm(row)), 1e-12)).astype(np.float32))
+        self.shape = len(self.slots), len(idf)
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for lo in range(0, self.shape[0], SCORE_ROWS):
+            part = range(lo, min(lo + SCORE_ROWS, self.shape[0]))
+            out = np.zeros((len(part), self.shape[1]), dtype=np.float32)
+            for i, k in enumerate(part):
+                np.add.at(out[i], self.slots[k], self.weights[k])
+            yield out
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([b @ q for b in self.blocks()])
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1], y.shape[1]), dtype=np.float32)
+        for i, b in enumerate(self.blocks()):
+            out += b.T @ y[i * SCORE_ROWS : i * SCORE_ROWS + len(b)]
+        return out
+
+
+def basis_of(rows: SampleRows, rank: int) -> np.ndarray:
     """Leading right singular vectors by subspace iteration with a fixed start."""
-    rank = min(rank, *matrix.shape)
-    q = np.random.default_rng(7).standard_normal((matrix.shape[1], min(rank + 8, *matrix.shape))).astype(np.float32)
+    rank = min(rank, *rows.shape)
+    q = np.random.default_rng(7).standard_normal((rows.shape[1], min(rank + 8, *rows.shape))).astype(np.float32)
     for _ in range(4):
-        q, _ = np.linalg.qr(matrix.T @ (matrix @ q))
-    _, _, right = np.linalg.svd(matrix @ q, full_matrices=False)
+        q, _ = np.linalg.qr(rows.back(rows.times(q)))
+    _, _, right = np.linalg.svd(rows.times(q), full_matrices=False)
     return (q @ right.T)[:, :rank].astype(np.float32)
 
 
@@ -233,17 +262,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = [bag(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s for s, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float32()))], names=["k", "y", "slots", "weights"])
 
-    rows = sample.select(F.xxhash64(F.col("k").cast("string")).alias("k"), "t", "y").mapInArrow(run, "k long, y int, slots array<long>, weights array<float>").collect()
-    rows.sort(key=lambda r: r.k)
-    y = np.array([r.y for r in rows], dtype=np.float64)
-    if not len(rows):
+    table = sample.select(F.xxhash64(F.col("k").cast("string")).alias("k"), "t", "y").mapInArrow(run, "k long, y int, slots array<long>, weights array<float>").toArrow()
+    table = table.sort_by([("k", "ascending")]).combine_chunks()
+    y = table.column("y").to_numpy().astype(np.float64)
+    if not len(y):
         return Model(idf, np.zeros((SLOTS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5, neighbours)
-    matrix = np.zeros((len(rows), SLOTS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        np.add.at(matrix[i], r.slots, np.array(r.weights, np.float32) * idf[r.slots])
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    model = Model(idf, basis_of(matrix, rank), np.zeros((0, 1), np.float32), y, float(y.mean()), neighbours)
-    z = matrix @ model.basis
+    ends = np.cumsum(table.column("slots").combine_chunks().value_lengths().to_numpy())[:-1]
+    parts = [np.split(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), ends) for c in ("slots", "weights")]
+    sample_rows = SampleRows(*parts, idf)
+    del table, parts
+    model = Model(idf, basis_of(sample_rows, rank), np.zeros((0, 1), np.float32), y, float(y.mean()), neighbours)
+    z = sample_rows.times(model.basis)
     model.vectors = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     return model
 
