@@ -84,6 +84,42 @@ def test_components_in_small_rounds(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_components_tasks_stay_small_as_the_input_grows(spark, monkeypatch):
+    """Many fragments make no bucket large, and copies from many tasks no fragment."""
+    monkeypatch.setattr(jaccard, "FRAGMENT_KEYS", 200)
+    monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 200, raising=False)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)], 200)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate([*texts * 6, *(t + " tail" for t in texts[:20])])]
+    count_keys, sum_by_node = jaccard._count_keys, jaccard._sum_by_node
+
+    def few_keys(buckets):
+        run = count_keys(buckets)
+
+        def checked(table):
+            held = sum(b.size for b in jaccard.column_blobs(table, "payload")) // 8
+            assert held <= 5 * 200, f"{held} words of 8 bytes in a fragment"
+            return run(table)
+
+        return checked
+
+    def few_entries(num, den):
+        run = sum_by_node(num, den)
+
+        def checked(table):
+            held = sum(len(jaccard._zunpack(b, "<u8", "<u4", "<u4")[0]) for b in jaccard.column_blobs(table, "payload"))
+            assert held <= 900, f"{held} entries in a bucket"
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_sum_by_node", few_entries)
+    monkeypatch.setattr(jaccard, "_count_keys", few_keys)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df).collect()), key=repr)
+    assert got == brute_components(rows)
+
+
 def test_candidates_reach_all_pairs_with_a_small_budget(monkeypatch):
     """A fragment that leaves pairs to the next rounds lists every one in the end."""
     monkeypatch.setattr(jaccard, "ROUND_PAIRS", 5)
