@@ -120,6 +120,29 @@ def test_components_tasks_stay_small_as_the_input_grows(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_live_parts_number_their_keys_without_gaps(spark, monkeypatch):
+    """Counts by key are as long as a part's keys, whatever the other sets hold."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    lone = [" ".join(f"l{i}x{j}" for j in range(100)) for i in range(100)]
+    near = [" ".join(rng.choice([f"w{i}" for i in range(50)], 60)) for _ in range(5)]
+    rows = list(enumerate([*lone, *near, *(t + " tail" for t in near)]))
+    only_live, spans = jaccard._only_live, []
+
+    def spied(*args):
+        live = only_live(*args)
+        for row in live.filter("kind = 0").select("payload").collect():
+            part = jaccard.Part(pa.table({"payload": pa.array([bytes(row.payload)], pa.binary())}))
+            spans.append((part.span, len(part.tokens)))
+        return live
+
+    monkeypatch.setattr(jaccard, "_only_live", spied)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert spans and all(span <= keys for span, keys in spans), spans
+
+
 def test_candidates_reach_all_pairs_with_a_small_budget(monkeypatch):
     """A fragment that leaves pairs to the next rounds lists every one in the end."""
     monkeypatch.setattr(jaccard, "ROUND_PAIRS", 5)
