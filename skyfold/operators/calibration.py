@@ -1,8 +1,9 @@
 """Gain corruption, correction, residuals and phase-only calibration.
 
-``cells``: row_id, time_idx, antenna1, antenna2, chan and a ``vis`` array of
-complex structs; ``jones``: time_idx, ant, chan, dir, g (array of 1, 2 or 4);
-``model``: row_id, chan, dir, vis.  A (row, chan) with any flagged correlation
+``vis`` and ``model``: row_id, chan and a ``vis`` array of complex structs; if they
+bring time_idx, antenna1 and antenna2 too, they are not joined with ``main``.
+``jones``: time_idx, ant, chan, dir, g (array of 1, 2 or 4);
+``model`` has dir.  A (row, chan) with any flagged correlation
 is left out of solutions and set to 0 where it is corrected.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from skyfold.functions import cplx, sky
 from skyfold.functions.cplx import Complex
 from skyfold.operators.lineage import cut
-from skyfold.operators.predict import _sum, apply_jones, as_array, small
+from skyfold.operators.predict import _sum, apply_jones, as_array, gains, placed, small
 
 DIAG_DIAG, DIAG, FULL = "DIAG_DIAG", "DIAG", "FULL"
 
@@ -39,6 +40,7 @@ def chunkify_rows(main: DataFrame, times_per_chunk: int) -> DataFrame:
 
 
 def _both(cells: DataFrame, jones: DataFrame, keys: list[str]) -> DataFrame:
+    jones = gains(jones)
     p = jones.select(*keys, F.col("ant").alias("antenna1"), F.col("g").alias("gp"))
     q = jones.select(*keys, F.col("ant").alias("antenna2"), F.col("g").alias("gq"))
     return cells.join(p, [*keys, "antenna1"]).join(q, [*keys, "antenna2"])
@@ -47,8 +49,7 @@ def _both(cells: DataFrame, jones: DataFrame, keys: list[str]) -> DataFrame:
 def corrupt_vis(main: DataFrame, jones: DataFrame, model: DataFrame, n: int, n_jones: int | None = None) -> DataFrame:
     """(row_id, chan, vis): sum over directions of G_p M G_q^H."""
     check_type(n_jones or n, n)
-    rows = main.select("row_id", "time_idx", "antenna1", "antenna2")
-    cells = _both(model.withColumnRenamed("vis", "m").join(rows, "row_id"), jones, ["time_idx", "chan", "dir"])
+    cells = _both(placed(model.withColumnRenamed("vis", "m"), main), jones, ["time_idx", "chan", "dir"])
     value = apply_jones(cplx.entries(F.col("m"), n), F.col("gp"), F.col("gq"), n_jones or n)
     return cells.groupBy("row_id", "chan").agg(*_sum(value)).select("row_id", "chan", _packed(n).alias("vis"))
 
@@ -70,10 +71,9 @@ def correct_vis(main: DataFrame, jones: DataFrame, vis: DataFrame, n: int, n_jon
     check_type(k, n)
     if "dir" in jones.columns and jones.select("dir").distinct().limit(2).count() > 1:
         raise ValueError("visibilities are corrected for one direction only")
-    rows = main.select("row_id", "time_idx", "antenna1", "antenna2")
     # Each gain is inverted once, before the joins.
     inverted = jones.select("time_idx", "ant", "chan", as_array(cplx.inverse(cplx.entries(F.col("g"), k))).alias("g"))
-    cells = _both(vis.join(rows, "row_id"), inverted, ["time_idx", "chan"])
+    cells = _both(placed(vis, main), inverted, ["time_idx", "chan"])
     value = apply_jones(cplx.entries(F.col("vis"), n), F.col("gp"), F.col("gq"), k)
     flag = F.col("flag") if "flag" in vis.columns else F.lit(False)
     return cells.select("row_id", "chan", as_array(_zero_if(flag, value)).alias("vis"))
@@ -82,7 +82,7 @@ def correct_vis(main: DataFrame, jones: DataFrame, vis: DataFrame, n: int, n_jon
 def residual_vis(main: DataFrame, jones: DataFrame, vis: DataFrame, model: DataFrame, n: int, n_jones: int | None = None) -> DataFrame:
     """(row_id, chan, vis): V - sum over directions of G_p M G_q^H; 0 where flagged."""
     corrupted = corrupt_vis(main, jones, model, n, n_jones).withColumnRenamed("vis", "c")
-    both = vis.join(corrupted, ["row_id", "chan"], "left")
+    both = vis.join(corrupted.hint("merge"), ["row_id", "chan"], "left")
     value = [a - Complex(F.coalesce(b.re, F.lit(0.0)), F.coalesce(b.im, F.lit(0.0))) for a, b in zip(cplx.entries(F.col("vis"), n), cplx.entries(F.col("c"), n), strict=True)]
     flag = F.col("flag") if "flag" in vis.columns else F.lit(False)
     return both.select("row_id", "chan", as_array(_zero_if(flag, value)).alias("vis"))
@@ -95,7 +95,7 @@ def compute_and_corrupt_vis(main: DataFrame, jones: DataFrame, model: DataFrame,
     with the time index, not the row.
     """
     rows = main.select("row_id", "time_idx", "antenna1", "antenna2", "u", "v", "w")
-    cells = rows.join(model.withColumnRenamed("vis", "x"), "time_idx").join(positions, ["time_idx", "dir"]).join(small(freqs.select("chan", "freq")), "chan")
+    cells = rows.join(gains(model.withColumnRenamed("vis", "x")), "time_idx").join(gains(positions), ["time_idx", "dir"]).join(small(freqs.select("chan", "freq")), "chan")
     cells = _both(cells, jones, ["time_idx", "chan", "dir"])
     l, m = F.col("l"), F.col("m")
     n1 = sky.n_minus_one(l, m, clamp=False)
@@ -114,12 +114,11 @@ def normal_equations(main: DataFrame, jones: DataFrame, residual: DataFrame | No
     check_type(n, n)
     if n > 2:
         raise NotImplementedError("only diagonal gains and visibilities are solved for")
-    rows = main.select("row_id", "time_idx", "antenna1", "antenna2")
-    cells = model.withColumnRenamed("vis", "m").join(rows, "row_id")
+    cells = placed(model.withColumnRenamed("vis", "m"), main)
     if residual is not None:
-        cells = cells.join(residual.withColumnRenamed("vis", "r"), ["row_id", "chan"])
+        cells = cells.join(residual.select("row_id", "chan", F.col("vis").alias("r")).hint("merge"), ["row_id", "chan"])
     if flags is not None:
-        cells = cells.join(flags.filter("flag").select("row_id", "chan"), ["row_id", "chan"], "left_anti")
+        cells = cells.join(flags.filter("flag").select("row_id", "chan").hint("merge"), ["row_id", "chan"], "left_anti")
     cells = _both(cells, jones, ["time_idx", "chan", "dir"])
     product = apply_jones(cplx.entries(F.col("m"), n), F.col("gp"), F.col("gq"), n)
     # The products are materialised as plain numbers before both antennas take their part.

@@ -415,7 +415,7 @@ def compute_and_corrupt_vis(s, d):
 @query(with_views("main jones", _GAINS + " SELECT row_id, chan, round(sum(xr * kr - xi * ki), 6) + 0e0 AS re, round(sum(xr * ki + xi * kr), 6) + 0e0 AS im FROM (SELECT *, 1e0 + 1e-1 * x AS xr, 1e-2 * (row_id % 7) * x AS xi FROM h, range(3) r(x)) GROUP BY row_id, chan"))
 def predict_vis_dde(s, d):
     g = v.jones(s, d).drop("dir").crossJoin(F.broadcast(s.range(3).select(F.col("id").cast("int").alias("source_id"))))
-    coh = v.main(s, d).select("row_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan")).select("row_id", "chan", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("source_id"))
+    coh = v.main(s, d).select("row_id", *v.PLACED, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan")).select("row_id", *v.PLACED, "chan", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("source_id"))
     coh = coh.withColumn("vis", F.array(F.struct((1.0 + 0.1 * F.col("source_id")).alias("re"), (0.01 * (F.col("row_id") % 7) * F.col("source_id")).alias("im"))))
     return vis1(predict.predict_vis(v.main(s, d), g, coh, g, n=1), "row_id", "chan")
 
@@ -838,7 +838,7 @@ def _select4(stem: str, keys: str = "row_id, chan") -> str:
 
 
 def _rows4(s, d):
-    return v.main(s, d).select("row_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan"))
+    return v.main(s, d).select("row_id", *v.PLACED, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan"))
 
 
 _CORRUPT4 = _CELLS4 + f", l AS (SELECT *, {_columns(_matrix(_gain4('p', 'time_idx', 'antenna1', 'chan'), _vis4()), 'a')} FROM base), z AS (SELECT *, {_columns(_matrix(_named('a'), _turned(_gain4('q', 'time_idx', 'antenna2', 'chan'))), 'b')} FROM l) "
@@ -872,7 +872,7 @@ def predict_vis_full(s, d):
     """Direction-dependent and -independent 2 x 2 terms on both sides, and base visibilities."""
     g = _jones4(s, d)
     dde = g.drop("dir").crossJoin(F.broadcast(s.range(3).select(F.col("id").cast("int").alias("source_id"))))
-    coh = _model4(_rows4(s, d).select("row_id", "chan", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("source_id")), "source_id")
+    coh = _model4(_rows4(s, d).select("row_id", *v.PLACED, "chan", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("source_id")), "source_id")
     out = predict.predict_vis(v.main(s, d), dde, coh, dde, g.drop("dir"), _model4(_rows4(s, d)), g.drop("dir"), n=4)
     return _out4(out, "row_id", "chan")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfold.operators.predict import PLACED
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -79,16 +81,16 @@ def jones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_vis(spark: SparkSession, d: str) -> DataFrame:
-    """One complex model visibility for each row and channel."""
-    m = main(spark, d).select("row_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan"))
+    """One complex model visibility for each row and channel, with its row's place."""
+    m = main(spark, d).select("row_id", *PLACED, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan"))
     g = F.struct((1.0 + 0.01 * (F.col("row_id") % 10)).alias("re"), (0.1 * F.col("chan")).alias("im"))
-    return m.select("row_id", "chan", F.lit(0).alias("dir"), F.array(g).alias("vis"))
+    return m.select("row_id", *PLACED, "chan", F.lit(0).alias("dir"), F.array(g).alias("vis"))
 
 
 def data_vis(spark: SparkSession, d: str) -> DataFrame:
-    m = main(spark, d).select("row_id", "flag_row", "value", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan"))
+    m = main(spark, d).select("row_id", *PLACED, "flag_row", "value", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chan"))
     g = F.struct((F.col("value") / 100.0).alias("re"), (0.05 * F.col("chan") - 0.1).alias("im"))
-    return m.select("row_id", "chan", F.col("flag_row").alias("flag"), F.array(g).alias("vis"))
+    return m.select("row_id", *PLACED, "chan", F.col("flag_row").alias("flag"), F.array(g).alias("vis"))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
