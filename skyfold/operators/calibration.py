@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import cplx, sky
 from skyfold.functions.cplx import Complex
-from skyfold.operators.lineage import cut
-from skyfold.operators.predict import _sum, apply_jones, as_array, gains, placed, small
+from skyfold.operators.lineage import cut, kept
+from skyfold.operators.predict import PLACED, _sum, apply_jones, as_array, gains, placed, small
 
 DIAG_DIAG, DIAG, FULL = "DIAG_DIAG", "DIAG", "FULL"
 
@@ -165,11 +165,12 @@ def gauss_newton(main: DataFrame, jones: DataFrame, vis: DataFrame, model: DataF
     if n > 2:
         raise NotImplementedError("only diagonal gains and visibilities are solved for")
     key = ["time_idx", "ant", "chan", "dir"]
-    rows = main.select("row_id", "time_idx", "antenna1", "antenna2")
     data = vis.filter("not flag") if "flag" in vis.columns else vis
-    # What no step changes is joined once.
-    cells = cut(model.withColumnRenamed("vis", "m").join(data.select("row_id", "chan", F.col("vis").alias("r")), ["row_id", "chan"]).join(rows, "row_id"))
     one_direction = jones.select("dir").distinct().limit(2).count() == 1
+    # What no step changes is joined once, and kept as plain numbers in a compressed table.
+    cells = placed(model.withColumnRenamed("vis", "m").join(data.select("row_id", "chan", F.col("vis").alias("r")).hint("merge"), ["row_id", "chan"]), main)
+    numbers = [c.alias(f"{s}{p}{i}") for s in "mr" for i, x in enumerate(cplx.entries(F.col(s), n)) for p, c in (("re", x.re), ("im", x.im))]
+    cells, forget = kept(cells.select(*([] if one_direction else ["row_id"]), *PLACED, "chan", "dir", *numbers))
     jones = cut(jones.select(*key, "g"))
     jhj = cut(_jacobian_sums(cells, jones, n, one_direction, False))
     eps, k = 1.0, 0
@@ -184,15 +185,20 @@ def gauss_newton(main: DataFrame, jones: DataFrame, vis: DataFrame, model: DataF
         k += 1
         eps = moved.agg(F.max("most")).first()[0] or 0.0
         jones = moved.drop("most")
+    forget()
     return jones, k
 
 
 def _jacobian_sums(cells: DataFrame, jones: DataFrame, n: int, one_direction: bool, with_residual: bool) -> DataFrame:
     """(time_idx, ant, chan, dir, jr0, ...) real parts of jhr, or (..., jj0, ...) of jhj."""
-    both = _both(cells, small(jones), ["time_idx", "chan", "dir"])
-    product = apply_jones(cplx.entries(F.col("m"), n), F.col("gp"), F.col("gq"), n)
-    both = both.select("row_id", "time_idx", "antenna1", "antenna2", "chan", "dir", "r", as_array(product).alias("j"))
-    j = cplx.entries(F.col("j"), n)
+    both = _both(cells, jones, ["time_idx", "chan", "dir"])
+
+    def named(s: str) -> list[Complex]:
+        return [Complex(F.col(f"{s}re{i}"), F.col(f"{s}im{i}")) for i in range(n)]
+
+    product = apply_jones(named("m"), F.col("gp"), F.col("gq"), n)
+    both = both.withColumns({f"j{p}{i}": c for i, x in enumerate(product) for p, c in (("re", x.re), ("im", x.im))})
+    j = named("j")
     if not with_residual:
         values = [x.abs2() for x in j]
         signs, name = (1.0, 1.0), "jj"
@@ -200,10 +206,10 @@ def _jacobian_sums(cells: DataFrame, jones: DataFrame, n: int, one_direction: bo
         if one_direction:
             total = j
         else:
-            summed = both.groupBy("row_id", "chan").agg(*_sum(j)).select("row_id", "chan", _packed(n).alias("total"))
-            both = both.join(summed, ["row_id", "chan"])
-            total = cplx.entries(F.col("total"), n)
-        left = [r - t for r, t in zip(cplx.entries(F.col("r"), n), total, strict=True)]
+            summed = both.groupBy("row_id", "chan").agg(*(F.sum(f"j{p}{i}").alias(f"t{p}{i}") for i in range(n) for p in ("re", "im")))
+            both = both.join(summed.hint("merge"), ["row_id", "chan"])
+            total = named("t")
+        left = [r - t for r, t in zip(named("r"), total, strict=True)]
         values = [(Complex(-x.im, x.re).conj() * e).re for x, e in zip(j, left, strict=True)]
         signs, name = (1.0, -1.0), "jr"
     ends = [F.struct(F.col(a).alias("ant"), *((x * s).alias(f"x{c}") for c, x in enumerate(values))) for a, s in zip(("antenna1", "antenna2"), signs, strict=True)]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a compressed table in the checkpoint folder, and what deletes it.
+
+    For tables as large as the data, which a checkpoint would hold uncompressed.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def forget() -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.schema(df.schema).parquet(path), forget
