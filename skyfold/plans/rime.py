@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import cplx, sky, stokes
 from skyfold.functions.cplx import Complex
+from skyfold.operators import dense
 from skyfold.operators.predict import small
 
+#: Channels up to which a source's factors are computed for each.
+MOST_SUMMED = 64
 STOKES = ("I", "Q", "U", "V")
 LINEAR, CIRCULAR = ("XX", "XY", "YX", "YY"), ("RR", "RL", "LR", "LL")
 
@@ -214,6 +217,12 @@ class Rime:
         main = self._derive(main, needs)
         if {"l", "m"} <= set(sources.columns):
             sources = sources.withColumn("_n1", sky.n_minus_one(F.col("l"), F.col("m")))
+        known = set(sources.columns) | {"freq"}
+        phases = [i for i, ((_, place), t) in enumerate(zip(self.spec.terms, used, strict=True)) if type(t) is Phase and place == "pq"]
+        if len(phases) == 1 and {"u", "v", "w"} <= set(main.columns) and all(set(t.needs) <= known for i, t in enumerate(used) if i not in phases) and "freq" not in sources.columns:
+            spw = dense.spectral_window(channels)
+            if len(spw) <= MOST_SUMMED:
+                return self._sum(main, sources, spw, used, phases[0])
         lit = sources.crossJoin(small(channels))
         # A factor that hangs on the source and channel alone, or on the row
         # alone, is computed there, once, and crossed in as numbers.
@@ -252,6 +261,25 @@ class Rime:
         vis = F.array(*(F.struct(F.col(f"_re{i}").alias("re"), F.col(f"_im{i}").alias("im")) for i in range(n)))
         return sums.select("row_id", "chan", vis.alias("vis"))
 
+    def _sum(self, main: DataFrame, sources: DataFrame, spw: list[tuple[int, float]], used: list[Term], phase: int) -> DataFrame:
+        """The sum where rows and sources meet in the phase alone: no pair becomes a row."""
+        n = 1
+        for _, f in spw:
+            sources = sources.withColumn("freq", F.lit(f))
+            product: list[Complex] = [cplx.real(1.0)]
+            for i, ((_, place), term) in enumerate(zip(self.spec.terms, used, strict=True)):
+                if i != phase:
+                    factor = term.columns(self.spec, "q" if place == "q" else "p")
+                    product = cplx.matmul(product, cplx.hermitian(factor) if place == "q" else factor)
+            n = len(product)
+            sources = sources.withColumn(f"_p{f!r}", F.array(*(c for x in product for c in (x.re, x.im))))
+        # Real and imaginary parts are summed as correlations of their own; those of zeros cost nothing.
+        flux = F.concat(*(F.col(f"`_p{f!r}`") for _, f in spw))
+        out = dense.sum_over_sources(main, sources.select(*dense.place(), flux.alias("flux")), spw, 2 * n, {"fourier": -1.0, "casa": 1.0}[used[phase].convention])
+        parts = cplx.entries(F.col("vis"), 2 * n)
+        vis = F.array(*((a + Complex(-b.im, b.re)).struct() for a, b in zip(parts[::2], parts[1::2], strict=True)))
+        return out.select("row_id", "chan", vis.alias("vis"))
+
     def _derive(self, df: DataFrame, names: set[str]) -> DataFrame:
         """``df`` with what transformers can make of it alone."""
         for _ in self.transformers:
